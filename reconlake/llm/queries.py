@@ -1,21 +1,44 @@
-"""Registered queries of this subpackage, with SQL where SQL can express them."""
+"""Registered queries of this subpackage: each applies its operator, with production parameters, to its whole table."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from reconlake.llm import simhash
+from reconlake.llm import bpe, packing, quality_rules, secret_scan, simhash
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score_units", "n_grams")
+
+
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets(_table(spark, sf_dir, "documents"))
+
+
+def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe.round_trip(_table(spark, sf_dir, "documents"), TOKENIZER)
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_groups(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op10_simhash_near_dedup,)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_secret_scans, op8_bpe_round_trip, op9_best_fit_packing, op10_simhash_near_dedup)}
 
 SQL: dict[str, str] = {}
