@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reconlake.llm import bpe, packing, quality_rules, secret_scan, simhash, suffix_dedup
+from reconlake.llm import ann_tree, bpe, packing, quality_rules, secret_scan, simhash, suffix_dedup, warc
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -30,6 +30,15 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secrets(_table(spark, sf_dir, "documents"))
 
 
+def op4_ann_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_tree.search(_table(spark, sf_dir, "embeddings"))
+
+
+def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.archived(_table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.round_trip(_table(spark, sf_dir, "documents"), TOKENIZER)
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")
@@ -45,6 +54,6 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_quality_rules, op3_secret_scans, op8_bpe_round_trip, op9_best_fit_packing, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_quality_rules, op3_secret_scans, op4_ann_kmeans_tree, op5_warc_round_trip, op8_bpe_round_trip, op9_best_fit_packing, op10_simhash_near_dedup)}
 
 SQL: dict[str, str] = {}
