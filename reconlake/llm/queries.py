@@ -6,9 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reconlake.llm import ann_tree, bpe, packing, quality_rules, secret_scan, simhash, suffix_dedup, warc
+from reconlake.llm import ann_tree, bpe, packing, quality_rules, quote_links, secret_scan, simhash, suffix_dedup, token_counts, warc
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+UNIGRAM = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +40,14 @@ def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), UNIGRAM)
+
+
+def op7_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quote_links.link(_table(spark, sf_dir, "conversations"))
+
+
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.round_trip(_table(spark, sf_dir, "documents"), TOKENIZER)
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")
@@ -54,6 +63,6 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_quality_rules, op3_secret_scans, op4_ann_kmeans_tree, op5_warc_round_trip, op8_bpe_round_trip, op9_best_fit_packing, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_quality_rules, op3_secret_scans, op4_ann_kmeans_tree, op5_warc_round_trip, op6_trie_token_counts, op7_quotation_linking, op8_bpe_round_trip, op9_best_fit_packing, op10_simhash_near_dedup)}
 
 SQL: dict[str, str] = {}
