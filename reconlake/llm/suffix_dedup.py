@@ -305,9 +305,11 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400, a
     return rows.select("key", "size", span.alias("span")).groupBy("key", "size").agg(F.array_sort(F.collect_set("span")).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, anchor: int = ANCHOR, at_once: int = AT_ONCE, keep: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, anchor: int = ANCHOR, at_once: int = AT_ONCE, keep: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """(id, *keep, n_bytes, spans array<struct<a,b>>, kept binary): one row per input row.
 
+    as_text: kept is a string; of a character that was removed in part, the rest goes too.
+
     spans are the maximal removed byte ranges, kept the bytes that are left. Strings are judged on the input, and one that
     starts in two places is removed in both, overlaps and repeated rows included. Null texts count as empty; texts shorter
     than `length` keep everything. An empty table gives an empty table. Columns that aren't named are not read.
@@ -334,8 +336,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 out.append((len(text), [{"a": a, "b": e} for a, e in merged], b"".join(text[cuts[i] : cuts[i + 1]] for i in range(0, len(cuts), 2))))
             n, s, kept = list(zip(*out)) or [()] * 3
             spans_of = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([*[b.column(f"k{i}") for i in range(len(names))], pa.array(n, pa.int64()), pa.array(s, spans_of), pa.array(kept, pa.binary())], names=[*[f"k{i}" for i in range(len(names))], "n_bytes", "spans", "kept"])
+            left = pa.array([x.decode(errors="ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+            yield pa.RecordBatch.from_arrays([*[b.column(f"k{i}") for i in range(len(names))], pa.array(n, pa.int64()), pa.array(s, spans_of), left], names=[*[f"k{i}" for i in range(len(names))], "n_bytes", "spans", "kept"])
 
     fields = [f"k{i} {kinds[c]}" for i, c in enumerate(names)]
-    done = rows.mapInArrow(run, ", ".join([*fields, "n_bytes long", "spans array<struct<a:long,b:long>>", "kept binary"]))
+    done = rows.mapInArrow(run, ", ".join([*fields, "n_bytes long", "spans array<struct<a:long,b:long>>", "kept string" if as_text else "kept binary"]))
     return done.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(names)], "n_bytes", "spans", "kept")
