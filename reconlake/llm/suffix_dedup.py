@@ -286,11 +286,12 @@ def _counted(parts: DataFrame, length: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400, anchor: int = ANCHOR, at_once: int = AT_ONCE) -> DataFrame:
     """(key, size, spans): for each distinct text with repeats, the merged-to-be byte ranges of strings that start elsewhere too."""
     seen = stored(occurrences(docs, text_col, length, anchor), "segments")
-    often = seen.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # counts are stored first: a join of plain tables can be split where an anchor is in a large share of the texts
+    often = stored(seen.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
     seen = stored(seen.join(often, "anchor"), "segments-often")
     one = F.min(F.struct("key", "size", "start")).alias("at")
     classes = stored(seen.groupBy("anchor", "content", "strings", "before").agg(F.count("*").alias("n"), one), "classes")
-    per = classes.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    per = stored(classes.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), "kinds")
     mixed = classes.join(per, "anchor").select("anchor", "content", "strings", "before", "kinds", "at.*")
     mixed = stored(mixed, "mixed")
     few = _with_text(docs, text_col, mixed.where(F.col("kinds") <= at_once), length)
