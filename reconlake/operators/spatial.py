@@ -17,7 +17,7 @@ def _around(axes: tuple[str, ...], r) -> Column:
     """The cells of size r that are at most one away, as an array of structs."""
     cells = [F.struct(*[F.lit(d).alias(a) for a, d in zip(axes, step)]) for step in _steps(len(axes))]
     at = F.struct(*[F.floor(F.col(a) / r).alias(a) for a in axes])
-    return F.transform(F.array(*cells), lambda d: F.struct(*[(at[a] + d[a]).alias(f"c{a}") for a in axes]))
+    return F.transform(F.array(*cells), lambda d: F.struct(*[(at[a] + d[a]).alias(f"cell_{a}") for a in axes]))
 
 
 def _steps(n: int) -> list[tuple[int, ...]]:
@@ -25,7 +25,7 @@ def _steps(n: int) -> list[tuple[int, ...]]:
 
 
 def _cell(axes: tuple[str, ...], r) -> list[Column]:
-    return [F.floor(F.col(a) / r).alias(f"c{a}") for a in axes]
+    return [F.floor(F.col(a) / r).alias(f"cell_{a}") for a in axes]
 
 
 def _apart(axes: tuple[str, ...]) -> Column:
@@ -52,7 +52,7 @@ def nn_join(a: DataFrame, b: DataFrame, by: list[str], key: str, other: str, axe
     todo = known
     while True:
         last = r >= widest  # then all cells of a group are near enough to each other for every point to be met
-        cells = [f"c{x}" for x in axes]
+        cells = [f"cell_{x}" for x in axes]
         if last:
             near = todo.join(sites.select(*by, *[F.col(x).alias(f"b{x}") for x in axes], other), by)
         else:
@@ -75,7 +75,7 @@ def within(a: DataFrame, b: DataFrame, by: list[str], r: float, axes: tuple[str,
     key = F.struct(*by, *axes)
     asked = a.withColumn("_p", F.to_json(key)).withColumn("_c", F.explode(_around(axes, r))).select("_p", *by, *axes, "_c.*").distinct()
     sites = b.select(*by, *_cell(axes, r), *[F.col(x).alias(f"b{x}") for x in axes]).distinct()
-    hit = asked.join(sites, [*by, *[f"c{x}" for x in axes]]).where(_apart(axes) <= r).select("_p").distinct()
+    hit = asked.join(sites, [*by, *[f"cell_{x}" for x in axes]]).where(_apart(axes) <= r).select("_p").distinct()
     return a.withColumn("_p", F.to_json(key)).join(hit, "_p", "left_semi").drop("_p")
 
 
@@ -163,10 +163,10 @@ def point_mesh_distance(pts: DataFrame, tri: DataFrame, by: list[str], key: str,
     hi = [F.floor(F.greatest(corner[i], corner[3 + i], corner[6 + i]) / limit) for i in range(3)]
     cells = tri.select(*by, *TRIANGLE, *[F.sequence(l, h).alias(f"r{x}") for l, h, x in zip(lo, hi, AXES)])
     for x in AXES:
-        cells = cells.withColumn(f"c{x}", F.explode(f"r{x}")).drop(f"r{x}")
+        cells = cells.withColumn(f"cell_{x}", F.explode(f"r{x}")).drop(f"r{x}")
     asked = pts.select(*by, key, *AXES).withColumn("_c", F.explode(_around(AXES, limit))).select(*by, key, *AXES, "_c.*")
     d = point_triangle_distance(AXES, *[tuple(TRIANGLE[3 * k : 3 * k + 3]) for k in range(3)])
-    near = asked.join(cells, [*by, "cx", "cy", "cz"]).groupBy(*by, key).agg(F.min(d).alias("distance"))
+    near = asked.join(cells, [*by, "cell_x", "cell_y", "cell_z"]).groupBy(*by, key).agg(F.min(d).alias("distance"))
     return pts.select(*by, key).join(near.where(F.col("distance") <= limit), [*by, key], "left")
 
 

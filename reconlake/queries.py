@@ -890,11 +890,6 @@ def g08_pca_normalize(s, d):
 _CAM_PTS = "(SELECT 'view' AS sample_id, point_id, 0.4 * x AS x, 0.4 * y AS y, -1.01 + 0.01 * z AS z FROM {points})"
 
 
-@query()
-def g09_visibility(s, d):
-    return V.visibility(_cam_points(s, d), proxy(s, d, "px"), _cams(s, d)).groupBy("sample_id").agg(*[F.count_if(c).alias(c) for c in ("visible", "occluded", "uncertain", "known_free", "supported")])
-
-
 _NEAR = "(SELECT q.sample_id, q.point_id, -q.z AS zc, min(p.depth) AS lo, max(p.depth) AS hi FROM (SELECT *, 11.5 + 20 * x / -z AS pu, 14.5 - 20 * y / -z AS pv FROM %s AS t) AS q LEFT JOIN {px} AS p ON p.sample_id = q.sample_id AND p.mask AND p.depth > 0 AND pu >= -0.5 AND pu < 23.5 AND pv >= -0.5 AND pv < 29.5 AND abs(p.v - floor(pv + 0.5)) <= 1 AND abs(p.u - floor(pu + 0.5)) <= 1 GROUP BY 1, 2, 3)" % _CAM_PTS
 
 
@@ -1085,6 +1080,128 @@ def d07_audit_buckets(s, d):
     return D.audit_buckets(rows, "category", "asset", "geometry", "audit").select("category", "asset", "role")
 
 
+# ---- more checks on pixels, meshes and streams
+
+
+@query("SELECT sample_id, seed, value >= 0.999 AND value / 1000000 <= 0.00001 AS reproduced FROM {pairs} WHERE arm = 'view'")
+def p22_reproduction_gate(s, d):
+    rows = proxy(s, d, "pairs").where("arm = 'view'").selectExpr("sample_id", "seed", "value AS iou", "value / 1000000 AS depth_p95")
+    return P.reproduction_gate(rows).select("sample_id", "seed", "reproduced")
+
+
+@query("SELECT doc_id AS sample_id, problem FROM (SELECT doc_id, unnest([x FOR x IN [CASE WHEN decision IS NULL THEN 'no review' END, CASE WHEN decision = 'pass' AND n_chars % 2 = 0 AND n_chars % 3 = 0 THEN 'mask changed' END, CASE WHEN decision = 'pass' AND n_chars % 2 = 1 THEN 'accepted edit equals source' END, CASE WHEN decision <> 'pass' AND n_chars % 2 = 0 THEN 'fallback differs from source' END] IF x IS NOT NULL]) AS problem FROM documents LEFT JOIN {reviews} AS r ON r.sample_id = doc_id) AS y")
+def p15_check_reviews(s, d):
+    docs = proxy(s, d, "documents").select(F.col("doc_id").alias("sample_id"), F.lit(0).alias("variant"), "n_chars")
+    px = docs.selectExpr("sample_id", "variant", "0 AS v", "0 AS u", "n_chars % 3 = 0 AS mask", "n_chars AS source", "n_chars + CASE WHEN n_chars % 2 = 0 THEN 1 ELSE 0 END AS edited")
+    reviews = proxy(s, d, "reviews").withColumn("variant", F.lit(0))
+    return P.check_reviews(docs.select("sample_id", "variant"), reviews, px).select("sample_id", "problem")
+
+
+_PATCH = "(SELECT q.sample_id, q.point_id, -q.z AS zc, count(*) FILTER (p.depth > 0.1 AND p.depth <= 10) = 9 AND max(p.depth) - min(p.depth) <= 0.01 AS ok, median(p.depth) AS ref FROM (SELECT *, 11.5 + 20 * x / -z AS pu, 14.5 - 20 * y / -z AS pv FROM %s AS t) AS q LEFT JOIN {px} AS p ON p.sample_id = q.sample_id AND pu >= 0.5 AND pu < 22.5 AND pv >= 0.5 AND pv < 28.5 AND abs(p.v - floor(pv + 0.5)) <= 1 AND abs(p.u - floor(pu + 0.5)) <= 1 GROUP BY 1, 2, 3)" % _CAM_PTS
+
+
+@query("SELECT sample_id, count(*) FILTER (ok AND abs(zc - ref) <= 0.005) AS visible, count(*) FILTER (ok AND zc - ref > 0.005) AS occluded, count(*) - count(*) FILTER (ok AND zc - ref >= -0.005) AS uncertain, count(*) FILTER (ok AND zc - ref < -0.005) AS known_free, count(*) FILTER (ok) AS supported FROM " + _PATCH + " AS n GROUP BY 1")
+def g09_visibility(s, d):
+    return V.visibility(_cam_points(s, d), proxy(s, d, "px"), _cams(s, d)).groupBy("sample_id").agg(*[F.count_if(c).alias(c) for c in ("visible", "occluded", "uncertain", "known_free", "supported")])
+
+
+@query("SELECT sample_id, round(avg(CASE WHEN ok AND zc - ref < -0.005 THEN 1.0 ELSE 0 END), 6) AS rate_all, count(*) FILTER (ok AND zc - ref < -0.005) AS violations FROM " + _PATCH + " AS n GROUP BY 1")
+def g17_free_violations(s, d):
+    flags = V.visibility(_cam_points(s, d), proxy(s, d, "px"), _cams(s, d))
+    return r6(V.free_violations(flags, ["sample_id"]).select("sample_id", "rate_all", "violations"))
+
+
+@query("SELECT sample_id, count(*) FILTER (coalesce(zc < lo - 0.005, false)) AS certain_free, count(*) FILTER (point_id % 2 = 0 AND (hi IS NULL OR zc > hi + 0.005)) AS hidden_surface FROM " + _NEAR + " AS n GROUP BY 1")
+def g12_query_flags(s, d):
+    q = _cam_points(s, d).withColumn("udf_m", F.when(F.col("point_id") % 2 == 0, 0.001).otherwise(1.0))
+    out = V.query_flags(q, proxy(s, d, "px"), _cams(s, d))
+    return out.groupBy("sample_id").agg(F.count_if("certain_free").alias("certain_free"), F.count_if("hidden_surface").alias("hidden_surface"))
+
+
+@query()
+def j08_point_mesh_distance(s, d):
+    tri = _tri(s, d)
+    pts = proxy(s, d, "vertices").selectExpr("mesh_id", "vid AS point_id", "x + 0.05 AS x", "y", "z")
+    return r6(J.point_mesh_distance(pts, tri, ["mesh_id"], "point_id", 0.25))
+
+
+@query()
+def g19_registration(s, d):
+    pts = proxy(s, d, "vertices").selectExpr("mesh_id", "vid AS point_id", "x + 0.05 AS x", "y", "z")
+    return r6(G.registration(pts, _tri(s, d), ["mesh_id"], "point_id", 0.25))
+
+
+@query("SELECT sample_id, greatest(0, least(floor((u0 + u1 + 1 - w) / 2), 24 - w)) AS \"left\", greatest(0, least(floor((v0 + v1 + 1 - h) / 2), 30 - h)) AS top, greatest(0, least(floor((u0 + u1 + 1 - w) / 2), 24 - w)) + w AS \"right\", greatest(0, least(floor((v0 + v1 + 1 - h) / 2), 30 - h)) + h AS bottom FROM (SELECT *, floor(w * 3 / 4) AS h FROM (SELECT sample_id, min(v) AS v0, max(v) AS v1, min(u) AS u0, max(u) AS u1, least(24, 4 * ceil(greatest((max(u) - min(u) + 1) * 1.4, (max(v) - min(v) + 1) * 1.4 * 4 / 3) / 4)) AS w FROM {px} WHERE mask AND u BETWEEN 8 AND 12 AND v BETWEEN 10 AND 13 GROUP BY 1) AS y) AS x")
+def f12_crop_box(s, d):
+    return R.crop_box(proxy(s, d, "px").where("u between 8 and 12 and v between 10 and 13"), 30, 24)
+
+
+@query()
+def f16_mask_prompt(s, d):
+    return r6(R.mask_prompt(proxy(s, d, "px"), 30, 24))
+
+
+@query()
+def f19_photometric(s, d):
+    return R.photometric(proxy(s, d, "px"), "photo").select("sample_id", "v", "u", "r", "g", "b")
+
+
+@query()
+def g06_near_duplicates(s, d):
+    p = points(s, d)
+    box = A.extents(p, ["cloud"]).select("cloud", "size_x", "size_y", "size_z")
+    return r6(G.near_duplicates(box, p, "cloud", ["size_x", "size_y", "size_z"], 0.5, 1.0, 1.0, 4, 2.0, True))
+
+
+@query()
+def r04_depth_noise(s, d):
+    return r6(R.depth_noise(proxy(s, d, "px"), 1, 1, 10.0))
+
+
+def _event_stream(s, d):
+    schema = proxy(s, d, "events").schema
+    return s.readStream.schema(schema).parquet(f"{d}/events.parque[t]")
+
+
+@query("SELECT event_type AS status, count(*) AS n FROM events GROUP BY 1")
+def x01_stream_progress(s, d):
+    from reconlake.plans.lineage import scratch_path
+    from reconlake.streaming.views import stream_progress
+
+    out = scratch_path(s, "progress")
+    q = stream_progress(_event_stream(s, d).withColumnRenamed("event_type", "status"))
+    last = lambda df, k: df.write.mode("overwrite").parquet(out)
+    q.writeStream.outputMode("complete").foreachBatch(last).option("checkpointLocation", scratch_path(s, "state")).trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(out)
+
+
+@query("SELECT event_id AS record, event_type AS binding FROM events")
+def x02_stream_commit(s, d):
+    from reconlake.plans.lineage import scratch_path
+    from reconlake.streaming.views import stream_commit
+
+    out = scratch_path(s, "committed")
+    rows = _event_stream(s, d).select(F.col("event_id").alias("record"), F.col("event_type").alias("binding"), F.col("ts").cast("timestamp").alias("at"))
+    for k in range(2):  # the second run meets every record again
+        stream_commit(rows, out, scratch_path(s, f"state{k}"), "record", "binding", "at").awaitTermination()
+    return s.read.parquet(out).select("record", "binding")
+
+
+@query("SELECT event_type AS run, CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, count(*) AS steps, round(avg(value), 6) AS loss, max(value) AS longest FROM events GROUP BY 1, 2")
+def x03_stream_steps(s, d):
+    from reconlake.plans.lineage import scratch_path
+    from reconlake.streaming.views import stream_steps
+
+    out = scratch_path(s, "steps")
+    rows = _event_stream(s, d).selectExpr("event_type AS run", "event_id AS step", "value AS loss", "value AS seconds", "CAST(ts AS timestamp) AS at")
+    q = stream_steps(rows, "at", window="1 day", delay="40 days")
+    keep = lambda df, k: df.select("run", F.col("w.start").cast("timestamp_ntz").alias("start"), "steps", "loss", "longest").write.mode("append").parquet(out)
+    q.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", scratch_path(s, "state")).trigger(availableNow=True).start().awaitTermination()
+    rows = s.read.schema("run string, start timestamp_ntz, steps long, loss double, longest double").parquet(out)
+    last = rows.groupBy("run", "start").agg(F.max(F.struct("steps", "loss", "longest")).alias("m"))
+    return r6(last.select("run", "start", "m.*"))
+
+
 # ---- inputs of several queries
 
 
