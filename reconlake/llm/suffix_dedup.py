@@ -27,8 +27,8 @@ from reconlake.plans.lineage import stored
 ANCHOR = 128
 #: Segments of one anchor that are built together, at most, and segments in one construction, about.
 AT_ONCE, TOGETHER = 1024, 8192
-#: Bytes hashed at a time; positions take the low bits of an anchor's sort key.
-BUFFER_BITS = 20
+#: Bytes hashed at a time; positions take the low bits of an anchor's sort key. Texts held at a time by a task.
+BUFFER_BITS, ROWS = 19, 256
 
 _BUFFER = 1 << BUFFER_BITS
 _LOW = np.uint64(_BUFFER - 1)
@@ -41,6 +41,13 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(p)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of a few rows, since a batch of texts is large."""
+    for b in batches:
+        for k in range(0, b.num_rows, ROWS):
+            yield b.slice(k, ROWS)
+
+
 class _Hashes:
     """Polynomial hashes modulo 2^64 of any stretch of a buffer, over two bases and random values of the bytes."""
 
@@ -134,7 +141,7 @@ def occurrences(docs: DataFrame, text_col: str, length: int, anchor: int) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "size", "start", "strings", "before", "anchor", "content"]
-        for b in batches:
+        for b in _slices(batches):
             texts = [t.as_py() or b"" for t in b.column(0).cast(pa.binary())]
             keys = np.array([xxhash.xxh64_intdigest(t, 42) if len(t) >= length else 0 for t in texts], np.uint64).view(np.int64)
             sizes = np.array([len(t) for t in texts], np.int64)
@@ -211,7 +218,7 @@ def _packed(docs: DataFrame, text_col: str, keep: list[tuple[Column, str]]) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = zstandard.ZstdCompressor(level=1)
-        for b in batches:
+        for b in _slices(batches):
             z = pa.array([c.compress(t.as_py()) if t.is_valid else None for t in b.column(b.num_columns - 1).cast(pa.binary())], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], z], names=[*b.schema.names[:-1], "z"])
 
@@ -229,7 +236,7 @@ def _with_text(docs: DataFrame, text_col: str, wanted: DataFrame, length: int) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = zstandard.ZstdDecompressor()
-        for b in batches:
+        for b in _slices(batches):
             for z, want in zip(b.column(0), b.column(1).to_pylist()):
                 text = d.decompress(z.as_py())
                 cut = [text[x["start"] : x["start"] + x["strings"] - 1 + length] for x in want]
@@ -253,7 +260,7 @@ def _construct(parts: DataFrame, length: int) -> DataFrame:
             cols = list(zip(*rows)) or [()] * 4
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["anchor", "content", "lo", "hi"])
 
-        for b in batches:
+        for b in _slices(batches):
             for x in b.to_pylist():
                 if len(held) >= TOGETHER and x["anchor"] != held[-1]["anchor"]:
                     yield flush()
@@ -323,7 +330,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = zstandard.ZstdDecompressor()
-        for b in batches:
+        for b in _slices(batches):
             out = []
             for z, found in zip(b.column("z"), b.column("spans").to_pylist()):
                 text = d.decompress(z.as_py()) if z.is_valid else b""

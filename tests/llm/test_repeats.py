@@ -66,6 +66,6 @@ def test_long_texts_are_cut_without_loss():
     starts = []
     for idx, off, parts in suffix_dedup._buffers([b"x" * 500, text, b"y" * 400], 400):
         starts += [(i, o + k) for i, o, p in zip(idx, off, parts) if i == 1 for k in (0, len(p) - 400)]
-        assert sum(map(len, parts)) <= 1 << 20
+        assert sum(map(len, parts)) <= 1 << 19
     edges = [s for _, s in starts]
     assert edges[0] == 0 and edges[-1] == len(text) - 400 and all(b == a + 1 for a, b in zip(edges[1::2], edges[2::2]))
