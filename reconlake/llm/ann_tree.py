@@ -108,19 +108,28 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def cosine(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Cosines of rows of x and one vector, in double precision; equal rows give equal values."""
-    return (x * q).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((q * q).sum()))
+    """Cosines of rows of x with rows of q (or one vector), in double precision; equal rows give equal values."""
+    return (x * q).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((q * q).sum(axis=-1)))
 
 
-def best(ids: np.ndarray, x: np.ndarray, q_id: int, q: np.ndarray, near: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and cosines of the k nearest rows but q_id, ties to smaller ids. near: the cosines to about 1e-9."""
-    at = np.flatnonzero(ids != q_id)
-    if len(at) > k:
-        least = np.partition(near[at], len(at) - k)[len(at) - k]
-        at = at[near[at] >= least - 1e-9]
-    score = cosine(x[at], q)
-    first = np.lexsort((ids[at], -score))[:k]
-    return ids[at][first], score[first]
+def nearest(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query id, id, cosine) of the k nearest rows of x for each row of q but itself, ties to smaller ids.
+
+    One product finds what can be among them; their cosines are then taken exactly.
+    """
+    near = _unit(q) @ _unit(x).T
+    near[q_ids[:, None] == ids[None, :]] = -np.inf
+    if len(ids) > k:
+        least = np.partition(near, len(ids) - k, axis=1)[:, len(ids) - k]
+    else:
+        least = np.full(len(q), -2.0)
+    row, col = np.nonzero((near >= least[:, None] - 1e-9) & (near > -np.inf))
+    score = np.concatenate([cosine(x[col[i : i + 65536]], q[row[i : i + 65536]]) for i in range(0, len(row), 65536)] or [np.zeros(0)])
+    order = np.lexsort((ids[col], -score, row))
+    row, col, score = row[order], col[order], score[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    first = place < k
+    return q_ids[row[first]], ids[col[first]], score[first]
 
 
 def _top(rows: DataFrame, k: int) -> DataFrame:
@@ -130,17 +139,16 @@ def _top(rows: DataFrame, k: int) -> DataFrame:
 
 def exact(vectors: DataFrame, queries: dict[int, np.ndarray], k: int) -> DataFrame:
     """(query_id, vec_id, score, leaf, rank) of a bounded set of queries against every row, block by block."""
-    ids, q = list(queries), np.array(list(queries.values()))
-    unit = _unit(q)
+    ids, q = np.array(list(queries)), np.array(list(queries.values()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, names, leaf = _matrix(b.column(1)), b.column(0).to_numpy(), b.column(2).to_numpy()
-            near = unit @ _unit(x).T
-            leaf_of = dict(zip(names.tolist(), leaf.tolist()))
-            for i, one in enumerate(ids):
-                found, score = best(names, x, one, q[i], near[i], k)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), one, np.int64)), pa.array(found), pa.array(score), pa.array([leaf_of[f] for f in found.tolist()], pa.int32())], names=["query_id", "vec_id", "score", "leaf"])
+            if b.num_rows:
+                names = b.column(0).to_numpy()
+                one, found, score = nearest(names, _matrix(b.column(1)), ids, q, k)
+                order = np.argsort(names)
+                leaf = b.column(2).to_numpy()[order[np.searchsorted(names[order], found)]]
+                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(found), pa.array(score), pa.array(leaf)], names=["query_id", "vec_id", "score", "leaf"])
 
     return _top(vectors.select("vec_id", "v", "leaf").mapInArrow(run, "query_id long, vec_id long, score double, leaf int"), k)
 
@@ -208,14 +216,10 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_i
     right = asked.select("leaf", "query_id", "q", dealt("query_id", asks).alias("ask"), spread(parts).alias("part"))
 
     def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(a) and len(b):
-            x, q, ids = np.stack(a["v"].to_numpy()), np.stack(b["q"].to_numpy()), a["vec_id"].to_numpy()
-            near = _unit(q) @ _unit(x).T
-            for i, one in enumerate(b["query_id"].to_numpy()):
-                found, s = best(ids, x, one, q[i], near[i], k)
-                out.append(pd.DataFrame({"query_id": one, "vec_id": found, "score": s}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        if not len(a) or not len(b):
+            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        one, found, s = nearest(a["vec_id"].to_numpy(), np.stack(a["v"].to_numpy()), b["query_id"].to_numpy(), np.stack(b["q"].to_numpy()), k)
+        return pd.DataFrame({"query_id": one, "vec_id": found, "score": s})
 
     keys = ["leaf", "part", "ask"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, "query_id long, vec_id long, score double")
