@@ -115,6 +115,26 @@ def patch_join(pts: DataFrame, px: DataFrame, sample: str, point: str, value: st
     return asked.join(px.select(sample, F.col("v").cast("long").alias("v"), F.col("u").cast("long").alias("u"), F.col(value).alias("_v")), [sample, "v", "u"])
 
 
+def with_reviews(df: DataFrame, reviews: DataFrame, key: str) -> DataFrame:
+    """Df with the columns of a review where there is one; a key has one review at most."""
+    return df.join(reviews, key, "left")
+
+
+def exclude(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose key isn't listed; rows without a key stay."""
+    return df.join(ids.select(key).distinct(), key, "left_anti")
+
+
+def keep(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is listed."""
+    return df.join(ids.select(key).distinct(), key, "left_semi")
+
+
+def with_camera(px: DataFrame, cams: DataFrame, sample: str = "sample_id") -> DataFrame:
+    """Pixels with their camera. Spark broadcasts the cameras where their size is known to be small, and else shuffles."""
+    return px.join(cams, sample)
+
+
 def inherit_links(edges: DataFrame, families: DataFrame, family: str, key: str) -> DataFrame:
     """Edges and, for each earlier family, links from its members to its smallest member."""
     hub = families.groupBy(family).agg(F.min(key).alias("dst"))

@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from reconlake.plans.lineage import importable
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 PROXIES = {
@@ -27,7 +29,7 @@ _HASHED = "SELECT doc_id, source, lang, n_chars, {sha} AS sha256_text FROM {docu
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def proxy(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

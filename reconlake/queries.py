@@ -1202,6 +1202,77 @@ def x03_stream_steps(s, d):
     return r6(last.select("run", "start", "m.*"))
 
 
+@query("SELECT doc_id, n_chars, quality FROM documents LEFT JOIN (SELECT DISTINCT doc_id, quality FROM labels) AS l USING (doc_id)")
+def j02_with_reviews(s, d):
+    return J.with_reviews(proxy(s, d, "documents").select("doc_id", "n_chars"), proxy(s, d, "labels").select("doc_id", "quality").distinct(), "doc_id")
+
+
+@query("SELECT o_orderkey, 'excluded' AS side FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000) UNION ALL SELECT o_orderkey, 'kept' FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)")
+def j03_exclude_and_keep(s, d):
+    o = proxy(s, d, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
+    ids = proxy(s, d, "customer").where("c_acctbal > 5000")
+    side = lambda df, k: df.select("o_orderkey", F.lit(k).alias("side"))
+    return side(J.exclude(o, ids, "c_custkey"), "excluded").unionByName(side(J.keep(o, ids, "c_custkey"), "kept"))
+
+
+@query("SELECT sample_id, v, u, 20.0 AS fx FROM {px} WHERE depth > 0")
+def j04_with_camera(s, d):
+    return J.with_camera(proxy(s, d, "px").where("depth > 0"), _cams(s, d)).select("sample_id", "v", "u", "fx")
+
+
+@query("SELECT cloud, point_id, n = 1 AS one_to_one FROM (SELECT *, count(*) OVER (PARTITION BY cloud, o) AS n FROM (SELECT a.cloud, a.point_id, arg_min(b.point_id, (sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2), b.point_id)) AS o, min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2)) AS dd FROM {even} AS a JOIN {odd} AS b USING (cloud) GROUP BY 1, 2) AS y WHERE dd <= 0.06) AS x")
+def j11_match_poses(s, d):
+    b = points(s, d, 1).withColumnRenamed("point_id", "other")
+    return J.match_poses(points(s, d, 0), b, ["cloud"], "point_id", "other", 0.06).select("cloud", "point_id", "one_to_one")
+
+
+@query()
+def j13_first_hits(s, d):
+    tri = _tri(s, d).withColumns({f"{k}z": -F.col(f"{k}z") - 1 for k in "abc"})
+    rays = proxy(s, d, "part").selectExpr("CAST('all' AS STRING) AS mesh_id", "p_partkey AS ray", "p_size / 30.0D AS dx", "p_retailprice / 2000 AS dy")
+    return r6(J.first_hits(rays, tri, ["mesh_id"], "ray", 0.25))
+
+
+@query("SELECT p_partkey, round(0.0000005 * (p_partkey % 7), 9) AS correction FROM part")
+def f10_rotation_correction(s, d):
+    e = F.col("p_partkey") % 7 * 1e-6
+    m = [F.lit(v) for v in (1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0)]
+    m[1] = e
+    return proxy(s, d, "part").select("p_partkey", F.round(X.rotation_correction(m), 9).alias("correction"))
+
+
+@query("SELECT sample_id, v, u, CAST(floor(5 + (v + 0.5) * 10 / 30) AS BIGINT) AS source_v, CAST(floor(4 + (u + 0.5) * 12 / 24) AS BIGINT) AS source_u FROM {px}")
+def f12_nearest_map(s, d):
+    boxes = _cams(s, d).selectExpr("sample_id", "4 AS left", "5 AS top", "16 AS right", "15 AS bottom")
+    return R.nearest_map(proxy(s, d, "px"), boxes, 24, 30)
+
+
+@query("SELECT event_id, 320.0 * value AS fx, 240.0 * value AS fy, 319.5 AS cx, 239.5 AS cy FROM events")
+def f23_camera_from_projection(s, d):
+    cam = X.camera_from_projection("value", "value", F.lit(0.0), F.lit(0.0), F.lit(640), F.lit(480))
+    return proxy(s, d, "events").select("event_id", cam.alias("c")).select("event_id", "c.*")
+
+
+@query(f"SELECT grid_id, round(avg(CASE WHEN udf_m <= 0.6 THEN 1.0 ELSE 0 END), 6) AS contact FROM {_GRID} AS g WHERE ix IN (0, 8) OR iy IN (0, 8) OR iz IN (0, 8) GROUP BY 1")
+def g24_boundary_contact(s, d):
+    g = proxy(s, d, "nation").select(F.col("n_regionkey").alias("grid_id")).distinct()
+    for a in "xyz":
+        g = g.withColumn(f"i{a}", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(8).cast("long"))))
+    dist = F.sqrt(sum(((F.col(f"i{a}") / 8 - 0.5) * (F.col(f"i{a}") / 8 - 0.5) for a in "yz"), (F.col("ix") / 8 - 0.5) * (F.col("ix") / 8 - 0.5)))
+    return r6(G.boundary_contact(g.withColumn("udf_m", dist), 0.6))
+
+
+@query()
+def g25_residual_labels(s, d):
+    tri = _tri(s, d).select(F.lit("view").alias("mesh_id"), "fid", *[(0.05 * F.col(f"{k}{a}") - (1.0 if a == "z" else 0.1)).alias(f"{k}{a}") for k in "abc" for a in "xyz"])
+    return G.residual_labels(tri, proxy(s, d, "px"), _cams(s, d), 500)
+
+
+@query()
+def g07_mask_components(s, d):
+    return R.mask_components(proxy(s, d, "px")).groupBy("sample_id").agg(F.count("*").alias("parts"), F.sum("pixels").alias("pixels"))
+
+
 # ---- inputs of several queries
 
 
