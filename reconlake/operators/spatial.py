@@ -43,12 +43,12 @@ def nn_join(a: DataFrame, b: DataFrame, by: list[str], key: str, other: str, axe
     sites = stored(sites, "sites")
     left = stored(a.select(*by, key, *axes), "points")
     known = left.join(sites.select(*by).distinct(), by, "left_semi")
-    box = sites.select(*by, *axes).unionByName(known.select(*by, *axes)).agg(*[f(x).alias(f"{k}{x}") for x in axes for k, f in (("lo", F.min), ("hi", F.max))], F.count("*").alias("n")).first()
+    box = sites.select(*by, *axes).unionByName(known.select(*by, *axes)).agg(*[f(x).alias(f"{k}{x}") for x in axes for k, f in (("lo", F.min), ("hi", F.max))], F.count("*").alias("n"), F.count_distinct(F.struct(*by, F.lit(0))).alias("groups")).first()
     out = left.join(sites.select(*by).distinct(), by, "left_anti").select(*by, key, F.lit(None).cast("double").alias("distance"), F.lit(None).cast(dict(b.dtypes)[other]).alias(other))
     if not box["n"]:
         return out
     widest = max(max(box[f"hi{x}"] - box[f"lo{x}"] for x in axes), 1e-9)
-    r = start or widest / max(1.0, box["n"] ** (1 / max(1, len(axes) - 1))) / 2
+    r = start or widest / (box["n"] / box["groups"]) ** (1 / (len(axes) - 0.5))  # between points in a volume and on a surface
     todo = known
     while True:
         last = r >= widest  # then all cells of a group are near enough to each other for every point to be met
