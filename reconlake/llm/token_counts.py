@@ -45,17 +45,21 @@ class TrieCounts:
         self.new: dict[str, int] = {}
         self.old: dict[str, int] = {}
 
-    def learn(self, pretokens: set[str]) -> None:
-        if len(self.new) + len(pretokens) > self.most:
+    def learn(self, pretokens: set[str]) -> dict[str, int]:
+        """Counts of all these pre-tokens, whatever their number: a generation turns before they are worked out, never between."""
+        if len(self.new) + sum(p not in self.new for p in pretokens) > self.most:
             self.old, self.new = self.new, {}
-        kept = self.new
+        kept, old = self.new, self.old
+        here: dict[str, int] = {}
         fresh = []
         for p in pretokens:
-            n = self.old.get(p)
+            n = kept.get(p)
+            if n is None:
+                n = old.get(p)
             if n is None:
                 fresh.append(p)
             else:
-                kept[p] = n
+                here[p] = n
         costs, longest, byte_cost = self.model.costs.get, self.model.longest, self.model.byte_cost
         forward: list[tuple[int, int]] = [(0, 0)]
         before = ""
@@ -72,8 +76,10 @@ class TrieCounts:
                         if way < best:
                             best = way
                 forward.append(best)
-            kept[p] = forward[-1][1]
+            here[p] = forward[-1][1]
             before = p
+        kept.update(here)
+        return here
 
     def of(self, pretokens: list[str]) -> int:
         return sum(map(self.new.__getitem__, pretokens))
@@ -97,12 +103,9 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             words, tokens = [], []
             for k in range(0, b.num_rows, 64):
                 some = [[MARK + w for w in _WORD.findall(t.as_py() or "")] for t in b.column(1).slice(k, 64)]
-                counts.learn({w for x in some for w in x if w not in counts.new})
-                missing = {w for x in some for w in x if w not in counts.new}
-                if missing:  # the generation turned in between
-                    counts.learn(missing)
+                learned = counts.learn({w for x in some for w in x})
                 words += map(len, some)
-                tokens += map(counts.of, some)
+                tokens += (sum(map(learned.__getitem__, x)) for x in some)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], names=["doc_id", "n_pretokens", "n_tokens"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -4,6 +4,7 @@ import random
 import re
 
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
 
 from reconlake.llm import quote_links, token_counts
@@ -45,6 +46,18 @@ def test_generations_turn_without_loss():
         assert small.of(words) == sum(len(re.findall("ab|a|b", w)) for w in words)
 
 
+def test_a_slice_over_the_bound_after_an_earlier_one(spark, monkeypatch):
+    made = token_counts.TrieCounts(token_counts.Unigram({"a": 1, "b": 2, "ab": 1, "▁": 1}, 9), most=10)
+    monkeypatch.setattr(token_counts, "_counts", lambda path: made)
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda df, run, kinds: run)
+    run = token_counts.token_counts(docs, PATH)
+    texts = ["a ab b"] * 64 + ["a " + " ".join("b" * k for k in range(2, 30))] + ["ab"] * 63 + ["a bb ab"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    got = next(run(iter([batch]))).to_pylist()
+    assert [r["n_tokens"] for r in got] == [sum(1 + len(re.findall("ab|a|b", w)) for w in t.split()) for t in texts]
+
+
 def test_parse_levels():
     body, found, _ = quote_links.parse("Hi\nOn Monday Ann wrote:\n> one\n> two\n>> deep\n> back\n\nBye\n>>> x")
     assert body == "Hi\n\nBye"
