@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -27,13 +29,22 @@ def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
     words = (text or b"").lower().split()
     if not words:
         return 0
+    return int(_majority(_shingles(words, shingle, seed)))
+
+
+def _shingles(words: list[bytes], shingle: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of the windows of `shingle` words, in order; fewer words form one window, none form none."""
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), seed)
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed)] if words else [], np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-shingle] + 1)).tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :].tolist())], np.uint64)
+    return np.array([digest(joined[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :].tolist())], np.uint64)
+
+
+def _majority(h: np.ndarray) -> int:
+    """The number whose bits are those set in over half of h."""
     ones = np.zeros(64, np.int64)
     for k in range(0, len(h), 65536):
         bits = np.unpackbits(h[k : k + 65536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
@@ -41,6 +52,13 @@ def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """h under the finalizer of splitmix64: a second fingerprint from the same hashes, with bits of its own."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(id, fp): one row per document, fp the fingerprint as a signed long. Null texts count as empty."""
 
@@ -119,3 +137,90 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = named.join(first, "comp").select("fp", "component_id")
     out = rows.join(named, "fp")
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
+
+
+def _sketches(texts: DataFrame, shingle: int) -> DataFrame:
+    """(t, size, fps): number of distinct windows of `shingle` words, and two fingerprints over windows of 3 words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size, fps = [], []
+            for text in b.column(1).cast(pa.binary()):
+                words = text.as_py().lower().split()
+                size.append(len(np.unique(_shingles(words, shingle))))
+                h = _shingles(words, 3)
+                fps.append([_signed(_majority(h)), _signed(_majority(_mixed(h)))])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int32()), pa.array(fps, pa.list_(pa.int64()))], names=["t", "size", "fps"])
+
+    return texts.mapInArrow(run, "t long, size int, fps array<long>")
+
+
+def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(t, set): distinct hashes of the windows of `shingle` words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(_shingles(x.as_py().lower().split(), shingle)).view(np.int64) for x in b.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["t", "set"])
+
+    return texts.mapInArrow(run, "t long, set array<long>")
+
+
+def _candidates(sketches: DataFrame, similarity: float, distance: int, blocks: int, shared: int) -> DataFrame:
+    """(a, b), a < b: texts that in one of their fingerprints agree on `shared` of the blocks and are within `distance` bits.
+
+    Buckets are split further by size: sets of that similarity are of one class of sizes, or of neighbouring ones. A pair
+    is given by the first bucket it meets in only.
+    """
+    masks = [F.lit(_signed(m)).cast("long") for m in _blocks(blocks - shared, shared)]
+    level = F.floor(F.log("size") / math.log(1 / similarity)).cast("int")
+    rows = sketches.where("size > 0").select("t", "size", level.alias("level"), F.posexplode("fps").alias("f", "fp"))
+    keys = F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(m).alias("v")) for k, m in enumerate(masks)])
+    rows = rows.select("t", "size", "level", "f", "fp", F.explode(keys).alias("key")).select("t", "size", "level", "f", "fp", "key.k", "key.v")
+    near = rows.select(F.col("t").alias("a"), F.col("size").alias("size_a"), F.col("level").alias("level_a"), F.col("fp").alias("fp_a"), "f", "k", "v", F.explode(F.array(F.col("level"), F.col("level") + 1)).alias("level"))
+    met = near.join(rows, ["f", "k", "v", "level"])
+    met = met.where(((F.col("level_a") < F.col("level")) | (F.col("a") < F.col("t"))) & (F.least("size", "size_a") >= F.lit(similarity) * F.greatest("size", "size_a")))
+    differ = F.col("fp").bitwiseXOR(F.col("fp_a"))
+    met = met.where(F.bit_count(differ) <= distance)
+    first = reduce(lambda rest, k: F.when(differ.bitwiseAND(masks[k]) == 0, F.lit(k)).otherwise(rest), reversed(range(len(masks))), F.lit(-1))
+    return met.where(first == F.col("k")).select(F.least("a", "t").alias("a"), F.greatest("a", "t").alias("b")).distinct()
+
+
+def similar_links(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 14, blocks: int = 8, shared: int = 2) -> DataFrame:
+    """(a, b): links between texts (t, text), t distinct, whose sets of `shingle`-word windows have that Jaccard similarity.
+
+    Each link is verified on the whole sets. Candidates come from two fingerprints: all within blocks - shared bits are met,
+    wider ones with the likelihood that their differing bits leave `shared` blocks free. Pairs already connected through each
+    one's smallest neighbour are not verified, so that groups are those of all verified pairs. Texts without words have no link.
+    """
+    pairs = stored(_candidates(stored(_sketches(texts, shingle), "sketches"), similarity, distance, blocks, shared), "candidates")
+    need = pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct()
+    sets = stored(_shingle_sets(texts.join(need, "t", "left_semi").select("t", "text"), shingle), "sets")
+
+    def verified(some: DataFrame, name: str) -> DataFrame:
+        both = some.join(sets.select(F.col("t").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("t").alias("b"), F.col("set").alias("set_b")), "b")
+        both = both.withColumn("common", F.size(F.array_intersect("set_a", "set_b")))
+        union = F.size("set_a") + F.size("set_b") - F.col("common")
+        return stored(both.where(F.col("common") >= F.lit(similarity) * union).select("a", "b"), name)
+
+    star = verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "star")
+    comp = connected_components(star, "a", "b")
+    at = lambda c: comp.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    rest = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+    return star.unionByName(verified(rest, "links")).distinct()
+
+
+def one_of_each(docs: DataFrame, columns: list[str], id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """One row of each group of similar texts: the one with the smallest id, among rows without one that of the smallest hash.
+
+    Groups are the components over similar_links; equal texts are one text, and all texts without words are one group.
+    """
+    rows = docs.select(*columns).withColumn("t", F.xxhash64(F.coalesce(text_col, F.lit(""))))
+    texts = rows.select("t", F.coalesce(text_col, F.lit("")).alias("text")).dropDuplicates(["t"])
+    comp = connected_components(similar_links(texts, **how), "a", "b")
+    blank = ~F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    slim = rows.select(F.col(id_col).alias("id"), "t", blank.alias("blank")).join(comp, F.col("t") == F.col("node"), "left")
+    slim = slim.withColumns({"group": F.when(F.col("blank"), F.lit(0).cast("long")).otherwise(F.coalesce("component", "t")), "nameless": F.col("id").isNull()})
+    best = slim.groupBy("blank", "group").agg(F.min(F.struct("nameless", "id", "t")).alias("best")).select(F.col("best.id").alias("_id"), F.col("best.t").alias("_t"))
+    out = rows.join(best, (F.col("t") == F.col("_t")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    return out.dropDuplicates([id_col, "t"]).select(*columns)

@@ -1,5 +1,7 @@
 """The pipeline's stages on the small tables: columns, kept rows, and decisions against the operators' own rules."""
 
+import random
+
 import corpus_pipeline as P
 from reconlake.llm import quality_rules, simhash
 from reconlake.plans.lineage import stored
@@ -35,3 +37,21 @@ def test_repeated_rows_and_null_ids_in_near_dedup(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = sorted((r["doc_id"] or -1, r["text"]) for r in P.near_dedup(spark, docs, SF).collect())
     assert got == [(-1, "x y z w"), (1, "a b c d"), (5, "something else here")]
+
+
+def test_near_copies_go_by_jaccard(spark):
+    r = random.Random(5)
+    fresh = lambda n: ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    rows, want = [], []
+    for k in range(40):
+        words = fresh(300)
+        near, far = list(words), list(words)
+        for at in range(20, 300, 75):
+            near[at] = "changed"
+        for at in range(5, 300, 10):
+            far[at] = "changed"
+        ids = (3 * k, 3 * k + 1, 3 * k + 2) if k % 4 else (3 * k, None, 3 * k + 2)
+        rows += [(i, " ".join(w), "en", "s", 0) for i, w in zip(ids, (words, near, far))]
+        want += [ids[0], ids[2]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    assert sorted(x["doc_id"] if x["doc_id"] is not None else -1 for x in P.near_dedup(spark, docs, SF).collect()) == want
