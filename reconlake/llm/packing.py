@@ -4,26 +4,31 @@ from __future__ import annotations
 
 import json
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reconlake.llm.bpe import byte_letters
-from reconlake.llm.chunks import ChunkCache, chunks
 from reconlake.plans.lineage import stored
 
-#: Pieces of one rank bucket, about.
-RANKED_TOGETHER = 256
+#: Pieces of one rank bucket, about, and buckets whose counts are summed up together.
+RANKED_TOGETHER, BUCKETS_TOGETHER = 256, 1024
+#: White space of this length is encoded apart from the text around it.
+LONG_SPACE = 10_000
 
 # Fixed value: the pre-tokenization pattern of the vocabulary.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+_LONG_SPACE = regex.compile(r"\p{White_Space}{%d,}" % LONG_SPACE)
+
 
 class _Ids:
     """Ids of whole texts as 32-bit little-endian bytes, from a byte-level BPE file of the tokenizers library."""
@@ -34,34 +39,29 @@ class _Ids:
         letters = byte_letters()
         # in such vocabularies ids rise with the merges' ranks, so ids serve as ranks
         ranks = {bytes(letters[c] for c in s): i for s, i in spec["model"]["vocab"].items()}
-        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        encoding = tiktoken.Encoding("packing", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        self.plain = encoding.encode_ordinary
-        self.special, self.whole = tuple(special), lambda t: np.array(encoding.encode(t, allowed_special="all"), "<u4").tobytes()
-        self.size = np.zeros(1 + max(ranks.values()), np.int64)
-        for b, i in ranks.items():
-            self.size[i] = len(b)
-        self.cache = ChunkCache(lambda part: np.array(self.plain(part), "<u4").tobytes())
-
-    def learn(self, parts: list[str]) -> None:
-        """Encodes new parts together, as one text: parts begin at lone spaces, where pre-tokens begin in any text."""
-        if not parts:
-            return
-        ids = np.array(self.plain(" " + " ".join(parts)), "<u4")
-        ends = np.cumsum(np.fromiter((len(p.encode()) + 1 for p in parts), np.int64, len(parts)))
-        cut = [0, *(4 * (np.searchsorted(np.cumsum(self.size[ids]), ends) + 1)).tolist()]
-        raw = ids.tobytes()
-        for p, a, b in zip(parts, cut, cut[1:]):
-            self.cache.keep(p, raw[a:b])
-
-    def of(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of each text; texts' unknown parts are learnt at once, so pass a few at a time."""
-        new = self.cache.new
-        parts = [chunks(t) for t in texts]
-        unknown = {p for x in parts for p in x[1:] if p not in new}
-        self.learn([p for p in unknown if len(p) <= self.cache.longest and self.cache.known(p) is None])
-        for t in texts:
-            yield self.whole(t) if any(s in t for s in self.special) else b"".join(self.cache.of(t))
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        encoding = tiktoken.Encoding("packing", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.plain, self.pretoken = encoding.encode_ordinary, encoding._core_bpe.encode_single_piece
+        self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
+
+    def _part(self, text: str) -> list[int]:
+        """Ids of a text without special tokens. Its very long runs of white space, all but the last character where more follows, are
+        one pre-token each and are merged as such, since the library's matcher overflows its stack on them."""
+        if len(text) < LONG_SPACE:
+            return self.plain(text)
+        ids, at = [], 0
+        for m in _LONG_SPACE.finditer(text):
+            end = m.end() - (m.end() < len(text))
+            ids += self.plain(text[at : m.start()])
+            ids += self.pretoken(m[0][: end - m.start()].encode())
+            at = end
+        return ids + self.plain(text[at:])
+
+    def of(self, text: str) -> bytes:
+        if not any(s in text for s in self.special):
+            return array("I", self._part(text)).tobytes()
+        parts = self.cut.split(text)
+        return b"".join(array("I", [self.special[p]] if k % 2 else self._part(p)).tobytes() for k, p in enumerate(parts))
 
 
 @lru_cache(maxsize=2)
@@ -79,9 +79,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id
         tokens, end = _ids(path), np.array([end_id], "<u4").tobytes()
         for b in batches:
             rows = []
-            raws = (raw for k in range(0, b.num_rows, 64) for raw in tokens.of([t.as_py() or "" for t in b.column(1).slice(k, 64)]))
-            for d, raw in zip(b.column(0).to_pylist(), raws):
-                raw += end
+            for d, t in zip(b.column(0).to_pylist(), b.column(1)):
+                raw = tokens.of(t.as_py() or "") + end
                 n = len(raw) // 4
                 at, piece = 0, 0
                 while at < n:
@@ -143,17 +142,22 @@ def best_fit_plan(histogram: dict[int, int], capacity: int) -> dict[int, list[tu
 def ranked(rows: DataFrame, by: str, order: list[str]) -> DataFrame:
     """rows with rank, from 0 within each value of `by`, in an order that depends on the rows alone.
 
-    Rows are dealt over hash buckets; counts of (value, bucket) are summed up over the buckets, and rows are numbered
-    within theirs. A value that many rows have is spread over as many tasks.
+    Rows are dealt over hash buckets; counts of (value, bucket) are summed up in two levels, within blocks of buckets and
+    over the blocks, and rows are numbered within their bucket. A value that many rows have is spread over as many tasks.
     """
-    n = rows.count()
-    buckets = max(1, -(-n // RANKED_TOGETHER))
+    buckets = max(1, -(-rows.count() // RANKED_TOGETHER))
     rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    counts = rows.groupBy(by, "_bucket").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
-    counts = counts.select(by, "_bucket", before.alias("_before"))
+
+    def before(within: list[str], along: str, n: str) -> Column:
+        return F.sum(n).over(Window.partitionBy(*within).orderBy(along).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col(n)
+
+    counts = rows.groupBy(by, "_bucket").agg(F.count("*").alias("_n")).withColumn("_block", F.floor(F.col("_bucket") / BUCKETS_TOGETHER))
+    blocks = counts.groupBy(by, "_block").agg(F.sum("_n").alias("_m"))
+    blocks = blocks.select(by, "_block", before([by], "_block", "_m").alias("_first"))
+    counts = counts.select(by, "_bucket", "_block", before([by, "_block"], "_bucket", "_n").alias("_before")).join(blocks, [by, "_block"]).drop("_block")
     local = F.row_number().over(Window.partitionBy(by, "_bucket").orderBy(*order)) - 1
-    return rows.withColumn("_local", local).join(counts, [by, "_bucket"]).withColumn("rank", F.col("_before") + F.col("_local")).drop("_bucket", "_local", "_before")
+    out = rows.withColumn("_local", local).join(counts, [by, "_bucket"])
+    return out.withColumn("rank", F.col("_first") + F.col("_before") + F.col("_local")).drop("_bucket", "_local", "_before", "_first")
 
 
 def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
