@@ -1,23 +1,24 @@
-"""Exact removal of repeated 400-byte strings, by column-wise construction over segments that hold all repeats.
+"""Exact removal of repeated byte strings, by column-wise construction over segments that hold all repeats.
 
-1. Every string of `length` bytes has an anchor: its leftmost window of ANCHOR bytes with the least hash. Strings in a row
+1. Every string of `length` bytes has an anchor: its leftmost window of `anchor` bytes with the least hash. Strings in a row
    with one anchor form a segment, so equal strings lie in segments of equal anchor, at the same distance from it.
-2. Segments of equal content are aggregated before anything is moved further; those met twice or more are repeats in full.
+2. Segments of equal content (128-bit BLAKE2 of their bytes) are one text to the construction; met twice they are repeats in full.
 3. Different segments of one anchor are aligned at it and built column by column from the right: each round inserts one
-   symbol of every segment into the sorted order of their suffixes, which gives the transform's column of that round,
-   and updates the common prefixes of neighbours. Neighbours that share `length` symbols are repeats. Symbols are read from,
-   and columns and prefixes written to, files that are only passed through in order.
-4. Anchors with more segments than AT_ONCE (a passage in many places) are cut into single strings, counted by their hash.
+   symbol of every segment, which gives the round's column of the collection's Burrows-Wheeler transform (the symbols to the
+   left of the sorted suffixes) and the common prefixes of neighbours. Both go to a table in the shared folder, a row a round.
+4. The table is passed through once more in the order of rounds: sorting a column stably maps each suffix to its place in the
+   next round, so the transform alone tells which segments the neighbours with `length` common symbols belong to.
+5. Groups of more than AT_ONCE segments (a passage in many places) are parted by longer anchors first: strings that reach
+   far to the left of their anchor, and those that reach far to the right, until groups are small or single strings.
 """
 
 from __future__ import annotations
 
-import tempfile
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,16 +26,25 @@ from pyspark.sql import functions as F
 from reconlake.plans.lineage import stored
 
 ANCHOR = 128
-#: Segments of one anchor that are built together, at most, and segments in one construction, about.
+#: Segments of one group that are built together, at most, and segments in one construction, about.
 AT_ONCE, TOGETHER = 1024, 8192
-#: Bytes hashed at a time; positions take the low bits of an anchor's sort key. Texts held at a time by a task.
-BUFFER_BITS, ROWS = 19, 256
+#: Bytes hashed at a time; positions take the low bits of an anchor's sort key. Texts held at a time by a task. Columns made at a time.
+BUFFER_BITS, ROWS, COLUMNS = 17, 64, 64
 
 _BUFFER = 1 << BUFFER_BITS
 _LOW = np.uint64(_BUFFER - 1)
 _END = 256
 
 
+def _digest(b: bytes) -> bytes:
+    return hashlib.blake2b(b, digest_size=16).digest()
+
+
+def _text_key(text: Column) -> Column:
+    """128 bits that stand for a text."""
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     p = np.full(n, base, np.uint64)
     p[0] = 1
@@ -49,17 +59,15 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Hashes:
-    """Polynomial hashes modulo 2^64 of any stretch of a buffer, over two bases and random values of the bytes."""
+    """Polynomial hashes modulo 2^64 of any stretch of a buffer, over random values of the bytes. They only choose anchors; nothing is equal by them."""
 
-    #: odd multipliers; fixed so that every worker hashes alike
-    bases = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+    #: odd multiplier; fixed so that every worker hashes alike
+    base = 0x9E3779B97F4A7C15
     made = None
 
     def __init__(self):
-        values = np.random.default_rng(20).integers(0, 1 << 63, size=(2, 256), dtype=np.uint64)
-        self.values = values * np.uint64(2) + np.uint64(1)
-        self.up = [_powers(b, _BUFFER + 1) for b in self.bases]
-        self.down = [_powers(pow(b, -1, 1 << 64), _BUFFER + 1) for b in self.bases]
+        self.values = np.random.default_rng(20).integers(0, 1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.up, self.down = _powers(self.base, _BUFFER + 1), _powers(pow(self.base, -1, 1 << 64), _BUFFER + 1)
 
     @classmethod
     def get(cls) -> _Hashes:
@@ -67,13 +75,11 @@ class _Hashes:
             cls.made = cls()
         return cls.made
 
-    def sums(self, buf: np.ndarray, which: int) -> np.ndarray:
-        out = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(self.values[which][buf] * self.up[which][: len(buf)], out=out[1:])
-        return out
-
-    def stretch(self, sums: np.ndarray, a: np.ndarray, b: np.ndarray, which: int) -> np.ndarray:
-        return (sums[b] - sums[a]) * self.down[which][a]
+    def windows(self, buf: np.ndarray, n: int) -> np.ndarray:
+        """The hash of each n bytes in a row."""
+        sums = np.zeros(len(buf) + 1, np.uint64)
+        np.cumsum(self.values[buf] * self.up[: len(buf)], out=sums[1:])
+        return (sums[n:] - sums[:-n]) * self.down[: len(buf) - n + 1]
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -92,15 +98,13 @@ def _least(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def segments(buf: np.ndarray, ends: np.ndarray, length: int, anchor: int) -> dict[str, np.ndarray]:
-    """Segments of texts that lie one after another in buf: text, start (in buf), strings, before (the anchor), anchor, content."""
-    h = _Hashes.get()
+    """Segments of texts that lie one after another in buf: text, start (in buf), strings, before (the anchor), anchor."""
     n = len(buf)
     k = n - length + 1
     if k <= 0:
         return {}
-    one, two = h.sums(buf, 0), h.sums(buf, 1)
-    at = np.arange(n - anchor + 1)
-    keys = _mix(h.stretch(one, at, at + anchor, 0))
+    keys = _mix(_Hashes.get().windows(buf, anchor))
+    at = np.arange(len(keys))
     where = (_least((keys & ~_LOW) | at.astype(np.uint64), length - anchor + 1) & _LOW).astype(np.int64)
     at = at[:k]
     text = np.searchsorted(ends, at, "right")
@@ -110,10 +114,7 @@ def segments(buf: np.ndarray, ends: np.ndarray, length: int, anchor: int) -> dic
     s = np.flatnonzero(new)
     e = np.append(s[1:], k)
     s, e = s[inside[s]], e[inside[s]]
-    before = where[s] - s
-    shape = (e - s).astype(np.uint64) * np.uint64(0x9E3779B1) + before.astype(np.uint64)
-    content = _mix(h.stretch(two, s, e - 1 + length, 1) + _mix(shape))
-    return {"text": text[s], "start": s, "strings": e - s, "before": before, "anchor": keys[where[s]].view(np.int64), "content": content.view(np.int64)}
+    return {"text": text[s], "start": s, "strings": e - s, "before": where[s] - s, "anchor": keys[where[s]].view(np.int64)}
 
 
 def _buffers(texts: list[bytes], length: int) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
@@ -137,74 +138,80 @@ def _buffers(texts: list[bytes], length: int) -> Iterator[tuple[list[int], list[
 
 
 def occurrences(docs: DataFrame, text_col: str, length: int, anchor: int) -> DataFrame:
-    """(key, size, start, strings, before, anchor, content): a row per segment of every text; key and size stand for the text."""
+    """(key, start, strings, before, anchor, content): a row per segment of every text; key stands for the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "size", "start", "strings", "before", "anchor", "content"]
+        names = ["key", "start", "strings", "before", "anchor", "content"]
         for b in _slices(batches):
-            texts = [t.as_py() or b"" for t in b.column(0).cast(pa.binary())]
-            keys = np.array([xxhash.xxh64_intdigest(t, 42) if len(t) >= length else 0 for t in texts], np.uint64).view(np.int64)
-            sizes = np.array([len(t) for t in texts], np.int64)
+            texts = [t.as_py() for t in b.column(0).cast(pa.binary())]
+            keys = [hashlib.sha256(t).digest()[:16] for t in texts]
             for idx, off, parts in _buffers(texts, length):
-                buf = np.frombuffer(b"".join(parts), np.uint8)
+                raw = b"".join(parts)
                 ends = np.cumsum([len(p) for p in parts])
-                found = segments(buf, ends, length, anchor)
+                found = segments(np.frombuffer(raw, np.uint8), ends, length, anchor)
                 if not found or not len(found["text"]):
                     continue
                 begin = np.concatenate(([0], ends[:-1]))
                 t = np.array(idx)[found["text"]]
                 start = found["start"] - begin[found["text"]] + np.array(off)[found["text"]]
-                cols = [keys[t], sizes[t], start, found["strings"].astype(np.int32), found["before"].astype(np.int32), found["anchor"], found["content"]]
+                content = [_digest(raw[x:y]) for x, y in zip(found["start"].tolist(), (found["start"] + found["strings"] - 1 + length).tolist())]
+                cols = [pa.array([keys[i] for i in t.tolist()], pa.binary()), start, found["strings"].astype(np.int32), found["before"].astype(np.int32), found["anchor"], pa.array(content, pa.binary())]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
 
     slim = docs.select(F.col(text_col).cast("string").alias("text")).where(F.octet_length("text") >= length)
-    return slim.mapInArrow(run, "key long, size long, start long, strings int, before int, anchor long, content long")
+    return slim.mapInArrow(run, "key binary, start long, strings int, before int, anchor long, content binary")
 
 
-def columns(rows: list[bytes], strings: np.ndarray, before: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each segment, which of its strings occur in another place of these segments.
+def symbols(rows: list[bytes], before: np.ndarray) -> Iterator[np.ndarray]:
+    """Columns of the segments aligned at their anchors, from the rightmost one; a few are made at a time. _END: begins later or has ended."""
+    left = int(before.max())
+    width = max(len(r) - int(x) for r, x in zip(rows, before)) + left
+    for high in range(width, 0, -COLUMNS):
+        low = max(0, high - COLUMNS)
+        table = np.full((high - low, len(rows)), _END, np.uint16)
+        for i, r in enumerate(rows):
+            shift = left - int(before[i])
+            a, e = max(low, shift), min(high, shift + len(r))
+            if a < e:
+                table[a - low : e - low, i] = np.frombuffer(r, np.uint8)[a - shift : e - shift]
+        yield from table[::-1]
+
 
-    Round by round, from the rightmost column, the segments' suffixes are kept in order: the new symbols are sorted stably
-    (the round's column of the transform), and the common prefix of two neighbours with equal symbols is one more than the
-    least between them in the round before. A segment that hasn't begun or has ended counts as an end mark, equal to none.
+def construct(columns: Iterator[np.ndarray], length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Round by round the transform's column and the common prefixes of the suffixes it leads to.
+
+    The column holds the new symbols in the order of the suffixes that they precede. Sorted stably, they give the order of the
+    longer suffixes; the common prefix of two neighbours with equal symbols is one more than the least between them in
+    the round before. An end mark equals nothing. Prefixes over `length` count as `length`.
     """
-    n = len(rows)
-    left = int(before.max())
-    sizes = np.fromiter(map(len, rows), np.int64, n)
-    width = int((sizes - before).max()) + left
+    order = prefix = None
+    for now in columns:
+        if order is None:
+            order, prefix = np.arange(len(now)), np.zeros(len(now), np.int32)
+        column = now[order]
+        turn = np.argsort(column, kind="stable")
+        ranked = column[turn]
+        same = np.flatnonzero((ranked[1:] == ranked[:-1]) & (ranked[1:] != _END)) + 1
+        common = np.zeros(len(now), np.int32)
+        if len(same):
+            between = np.stack((turn[same - 1] + 1, turn[same] + 1), axis=1).ravel()
+            common[same] = np.minimum.reduceat(np.append(prefix, 0), between)[::2] + 1
+        order, prefix = order[turn], np.minimum(common, length)
+        yield column, prefix
+
+
+def replay(rounds: Iterator[tuple[np.ndarray, np.ndarray]], strings: np.ndarray, before: np.ndarray, width: int, length: int) -> list[np.ndarray]:
+    """For each segment, which of its strings another segment holds at the same place; read off the transform and the prefixes."""
     found = [np.zeros(k, bool) for k in strings]
-    with tempfile.TemporaryFile() as symbols, tempfile.TemporaryFile() as out:
-        table = np.full((n, width), _END, np.uint16)
-        for i, r in enumerate(rows):
-            table[i, left - before[i] : left - before[i] + len(r)] = np.frombuffer(r, np.uint8)
-        for j in range(width - 1, -1, -1):
-            symbols.write(table[:, j].tobytes())
-        del table
-        symbols.seek(0)
-        order, prefix = np.arange(n), np.zeros(n, np.int32)
-        for _ in range(width):
-            new = np.frombuffer(symbols.read(2 * n), np.uint16)[order]
-            turn = np.argsort(new, kind="stable")
-            column = new[turn]
-            same = np.flatnonzero((column[1:] == column[:-1]) & (column[1:] != _END)) + 1
-            common = np.zeros(n, np.int32)
-            if len(same):
-                between = np.stack((turn[same - 1] + 1, turn[same] + 1), axis=1).ravel()
-                common[same] = np.minimum.reduceat(np.append(prefix, 0), between)[::2] + 1
-            order, prefix = order[turn], np.minimum(common, length)
-            out.write(order.astype(np.int32).tobytes())
-            out.write(column.tobytes())
-            out.write(prefix.tobytes())
-        out.seek(0)
-        for j in range(width - 1, -1, -1):
-            order = np.frombuffer(out.read(4 * n), np.int32)
-            out.seek(2 * n, 1)
-            long = np.frombuffer(out.read(4 * n), np.int32) >= length
-            if long.any():
-                both = long.copy()
-                both[:-1] |= long[1:]
-                for i in order[both]:
-                    found[i][j - left + before[i]] = True
+    left = int(before.max())
+    order = np.arange(len(strings))
+    for j, (column, prefix) in zip(range(width - 1, -1, -1), rounds):
+        order = order[np.argsort(column, kind="stable")]
+        long = prefix >= length
+        if long.any():
+            long[:-1] |= long[1:]
+            for i in order[long]:
+                found[i][j - left + before[i]] = True
     return found
 
 
@@ -214,7 +221,7 @@ def _ranges(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _packed(docs: DataFrame, text_col: str, keep: list[tuple[Column, str]]) -> DataFrame:
-    """docs' text compressed, with its key and size, so that less is moved."""
+    """docs' text compressed, with its key, so that less is moved."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = zstandard.ZstdCompressor(level=1)
@@ -223,125 +230,214 @@ def _packed(docs: DataFrame, text_col: str, keep: list[tuple[Column, str]]) -> D
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], z], names=[*b.schema.names[:-1], "z"])
 
     text = F.col(text_col).cast("string")
-    slim = docs.select(*[c.alias(f"k{i}") for i, (c, _) in enumerate(keep)], F.xxhash64(text).alias("key"), F.octet_length(text).cast("long").alias("size"), text.alias("text"))
+    slim = docs.select(*[c.alias(f"k{i}") for i, (c, _) in enumerate(keep)], _text_key(text).alias("key"), text.alias("text"))
     fields = [f"k{i} {kind}" for i, (_, kind) in enumerate(keep)]
-    return slim.mapInArrow(run, ", ".join([*fields, "key long", "size long", "z binary"]))
+    return slim.mapInArrow(run, ", ".join([*fields, "key binary", "z binary"]))
+
+
+_PART = "group long, anchor long, content binary, skipped int, strings int, before int, bytes binary, low int, high int"
+_INT = pa.int32()
+_PARTS = pa.schema([("group", pa.int64()), ("anchor", pa.int64()), ("content", pa.binary()), ("skipped", _INT), ("strings", _INT), ("before", _INT), ("bytes", pa.binary()), ("low", _INT), ("high", _INT)])
+
 
+def _with_text(docs: DataFrame, text_col: str, wanted: DataFrame, length: int, anchor: int) -> DataFrame:
+    """Wanted segments with their bytes, cut from the texts they were seen in, as parts: the group is the anchor, no string is skipped.
 
-def _with_text(docs: DataFrame, text_col: str, wanted: DataFrame, length: int) -> DataFrame:
-    """(anchor, content, strings, before, bytes) of wanted segments, cut from the texts they were seen in."""
+    Members of a group share the bytes from low to high, counted from the anchor: at first the anchor alone.
+    """
     texts = _packed(docs.where(F.octet_length(F.col(text_col).cast("string")) >= length), text_col, [])
-    listed = wanted.groupBy("key", "size").agg(F.collect_list(F.struct("start", "strings", "before", "anchor", "content")).alias("want"))
-    pairs = texts.groupBy("key", "size").agg(F.first("z").alias("z")).join(listed, ["key", "size"]).select("z", "want")
+    listed = wanted.groupBy("key").agg(F.collect_list(F.struct("start", "strings", "before", "anchor", "content", "n")).alias("want"))
+    pairs = texts.groupBy("key").agg(F.first("z").alias("z")).join(listed, "key").select("z", "want")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = zstandard.ZstdDecompressor()
         for b in _slices(batches):
-            for z, want in zip(b.column(0), b.column(1).to_pylist()):
-                text = d.decompress(z.as_py())
-                cut = [text[x["start"] : x["start"] + x["strings"] - 1 + length] for x in want]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x["anchor"] for x in want]), pa.array([x["content"] for x in want]), pa.array([x["strings"] for x in want], pa.int32()), pa.array([x["before"] for x in want], pa.int32()), pa.array(cut, pa.binary())],
-                    names=["anchor", "content", "strings", "before", "bytes"],
-                )
+            for z, want in zip(b.column(0), b.column(1)):
+                text, want = d.decompress(z.as_py()), want.as_py()
+                rows = [{"group": x["anchor"], "anchor": x["anchor"], "content": x["content"], "skipped": 0, "strings": x["strings"], "before": x["before"], "bytes": text[x["start"] : x["start"] + x["strings"] - 1 + length], "low": 0, "high": anchor, "n": x["n"]} for x in want]
+                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([*_PARTS, ("n", pa.int64())]))
+
+    return pairs.mapInArrow(run, _PART + ", n long")
 
-    return pairs.mapInArrow(run, "anchor long, content long, strings int, before int, bytes binary")
 
+def _parted(parts: DataFrame, length: int) -> DataFrame:
+    """Parts regrouped by longer anchors.
 
-def _construct(parts: DataFrame, length: int) -> DataFrame:
-    """(anchor, content, lo, hi): ranges of strings that different segments of one anchor share."""
+    Of the strings that hold [low, high), half start far enough to the left to hold `reach` bytes more there; the others hold
+    as many more to the right. A part takes its strings of either kind along.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _slices(batches):
+            out = []
+            for x in b.to_pylist():
+                low, high, before = x["low"], x["high"], x["before"]
+                slack = length - (high - low)
+                reach = -(-slack // 2)
+                for a, e, first, last in ((low - reach, high, high - length, low - reach), (low, high + slack - reach + 1, low - reach + 1, low)):
+                    # string j starts at j - before
+                    j, k = max(0, first + before), min(x["strings"], last + before + 1)
+                    if j < k:
+                        group = _digest(x["anchor"].to_bytes(8, "little", signed=True) + a.to_bytes(4, "little", signed=True) + x["bytes"][a + before : e + before])
+                        out.append(x | {"group": int.from_bytes(group[:8], "little", signed=True), "skipped": x["skipped"] + j, "strings": k - j, "before": before - j, "bytes": x["bytes"][j : k - 1 + length], "low": a, "high": e})
+            yield pa.RecordBatch.from_pylist(out, schema=_PARTS)
+
+    return parts.mapInArrow(run, _PART)
+
+
+def _grouped(parts: DataFrame, length: int, at_once: int) -> tuple[DataFrame, DataFrame | None]:
+    """Parts (with n, their group's size) in groups of at_once at most; and (anchor, content, lo, hi) of single strings that more parts share, if there are any.
+
+    Each round halves the strings of too large groups and lengthens the bytes that their members share, so that after about
+    log2(length) rounds a group is one string.
+    """
+    small = single = None
+    while True:
+        few = parts.where(F.col("n") <= at_once).drop("n")
+        small = few if small is None else small.unionByName(few)
+        large = parts.where(F.col("n") > at_once).drop("n")
+        if not large.limit(1).count():
+            return small, single
+        ended = large.where(F.col("high") - F.col("low") == length)
+        same = stored(ended.groupBy("bytes").agg(F.count("*").alias("n")).where("n > 1").select("bytes"), "strings")
+        same = ended.join(same, "bytes").select("anchor", "content", F.col("skipped").alias("lo"), (F.col("skipped") + 1).alias("hi"))
+        single = same if single is None else single.unionByName(same)
+        parts = stored(_parted(large.where(F.col("high") - F.col("low") < length), length), "parted")
+        n = parts.groupBy("group").agg(F.count("*").alias("n")).where("n > 1")
+        parts = stored(parts.join(n, "group"), "grouped")
+
+
+def _constructed(parts: DataFrame, length: int) -> DataFrame:
+    """(anchor, content, lo, hi): ranges of strings that different segments of one group share.
+
+    First pass: the transform and the prefixes of many groups at once, a row a round, to a table in the shared folder. Second
+    pass: that table in the order of rounds.
+    """
+    kind = np.dtype("<i2" if length < 1 << 15 else "<i4")
+    schema = "batch binary, round int, transform binary, prefix binary"
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
 
-        def flush() -> pa.RecordBatch:
-            flags = columns([x["bytes"] for x in held], np.array([x["strings"] for x in held]), np.array([x["before"] for x in held]), length)
-            rows = [(x["anchor"], x["content"], a, b) for x, f in zip(held, flags) for a, b in _ranges(f)]
-            cols = list(zip(*rows)) or [()] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["anchor", "content", "lo", "hi"])
+        def rounds() -> Iterator[pa.RecordBatch]:
+            before = np.array([x["before"] for x in held], np.int32)
+            head = pa.RecordBatch.from_pylist([{c: x[c] for c in ("anchor", "content", "skipped", "strings", "before")} for x in held])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, head.schema) as w:
+                w.write_batch(head)
+            raw = sink.getvalue().to_pybytes()
+            batch = _digest(raw)
+            out = [(batch, -1, raw, b"")]
+            for n, (column, prefix) in enumerate(construct(symbols([x["bytes"] for x in held], before), length)):
+                out.append((batch, n, column.astype("<u2").tobytes(), prefix.astype(kind).tobytes()))
+                if len(out) == COLUMNS:
+                    yield made(out)
+                    out = []
+            yield made(out)
+
+        def made(out: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*out)) or [()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int32(), pa.binary(), pa.binary()))], names=["batch", "round", "transform", "prefix"])
 
         for b in _slices(batches):
             for x in b.to_pylist():
-                if len(held) >= TOGETHER and x["anchor"] != held[-1]["anchor"]:
-                    yield flush()
+                if len(held) >= TOGETHER and x["group"] != held[-1]["group"]:
+                    yield from rounds()
                     held = []
                 held.append(x)
         if held:
-            yield flush()
-
-    return parts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "anchor long, content long, lo int, hi int")
-
-
-def _counted(parts: DataFrame, length: int) -> DataFrame:
-    """(anchor, content, lo, hi) for anchors with too many segments: each string alone, counted by two 64-bit hashes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h = _Hashes.get()
-        for b in batches:
-            for x in b.to_pylist():
-                buf = np.frombuffer(x["bytes"], np.uint8)
-                at = np.arange(x["strings"])
-                both = [_mix(h.stretch(h.sums(buf, j), at, at + length, j)).view(np.int64) for j in (0, 1)]
-                n = len(at)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, x["anchor"])), pa.array(np.full(n, x["content"])), pa.array(at.astype(np.int32)), *map(pa.array, both)], names=["anchor", "content", "lo", "one", "two"])
-
-    rows = parts.mapInArrow(run, "anchor long, content long, lo int, one long, two long")
-    twice = rows.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1").select("one", "two")
-    return rows.join(twice, ["one", "two"]).select("anchor", "content", "lo", (F.col("lo") + 1).alias("hi"))
+            yield from rounds()
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((r[0].as_py(), r[1].as_py(), r[2].as_py(), r[3].as_py()) for b in batches for r in zip(*b.columns))
+        row = next(rows, None)
+        while row is not None:
+            batch = row[0]
+            head = pa.ipc.open_stream(row[2]).read_all()
+            strings, before, skipped = (head.column(c).to_numpy() for c in ("strings", "before", "skipped"))
+            width = int((strings - before).max()) - 1 + length + int(before.max())
+            held: list[tuple] = []
+
+            def rounds() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+                for r in rows:
+                    if r[0] != batch:
+                        held.append(r)
+                        return
+                    yield np.frombuffer(r[2], "<u2"), np.frombuffer(r[3], kind)
+
+            walk = rounds()
+            flags = replay(walk, strings, before, width, length)
+            for _ in walk:
+                raise ValueError("more rounds than columns")
+            row = held[0] if held else None
+            found = [(i, a, e) for i, f in enumerate(flags) for a, e in _ranges(f)]
+            if found:
+                i, a, e = map(np.array, zip(*found))
+                yield pa.RecordBatch.from_arrays([head.column("anchor").combine_chunks().take(pa.array(i)), head.column("content").combine_chunks().take(pa.array(i)), pa.array((a + skipped[i]).astype(np.int32)), pa.array((e + skipped[i]).astype(np.int32))], names=["anchor", "content", "lo", "hi"])
+
+    columns = stored(parts.repartition("group").sortWithinPartitions("group").mapInArrow(first, schema), "transform")
+    ordered = columns.repartition("batch").sortWithinPartitions("batch", "round")
+    return ordered.mapInArrow(second, "anchor long, content binary, lo int, hi int")
 
 
 def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400, anchor: int = ANCHOR, at_once: int = AT_ONCE) -> DataFrame:
-    """(key, size, spans): for each distinct text with repeats, the merged-to-be byte ranges of strings that start elsewhere too."""
+    """(key, spans): for each distinct text with repeats, the merged-to-be byte ranges of strings that start elsewhere too."""
     seen = stored(occurrences(docs, text_col, length, anchor), "segments")
     # counts are stored first: a join of plain tables can be split where an anchor is in a large share of the texts
     often = stored(seen.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
     seen = stored(seen.join(often, "anchor"), "segments-often")
-    one = F.min(F.struct("key", "size", "start")).alias("at")
+    one = F.min(F.struct("key", "start")).alias("at")
     classes = stored(seen.groupBy("anchor", "content", "strings", "before").agg(F.count("*").alias("n"), one), "classes")
     per = stored(classes.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), "kinds")
-    mixed = classes.join(per, "anchor").select("anchor", "content", "strings", "before", "kinds", "at.*")
-    mixed = stored(mixed, "mixed")
-    few = _with_text(docs, text_col, mixed.where(F.col("kinds") <= at_once), length)
-    shared = _construct(few, length)
-    many = mixed.where(F.col("kinds") > at_once)
-    if many.limit(1).count():
-        shared = shared.unionByName(_counted(_with_text(docs, text_col, many, length), length))
+    mixed = classes.drop("n").join(per, "anchor").select("anchor", "content", "strings", "before", "at.*", F.col("kinds").alias("n"))
+    small, single = _grouped(stored(_with_text(docs, text_col, mixed, length, anchor), "parts"), length, at_once)
+    shared = _constructed(small, length)
+    if single is not None:
+        shared = shared.unionByName(single)
     whole = classes.where("n > 1").select("anchor", "content", F.lit(0).alias("lo"), F.col("strings").alias("hi"))
     found = stored(whole.unionByName(shared), "repeats")
     rows = seen.join(found, ["anchor", "content"])
     span = F.struct((F.col("start") + F.col("lo")).alias("a"), (F.col("start") + F.col("hi") - 1 + length).alias("b"))
-    return rows.select("key", "size", span.alias("span")).groupBy("key", "size").agg(F.array_sort(F.collect_set("span")).alias("spans"))
+    return rows.select("key", span.alias("span")).groupBy("key").agg(F.array_sort(F.collect_set("span")).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, anchor: int = ANCHOR, at_once: int = AT_ONCE, keep: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
-    """(id, *keep, n_bytes, spans array<struct<a,b>>, kept binary): one row per input row.
+def merged(spans: list[dict]) -> list[list[int]]:
+    """Overlapping and touching ranges as one; spans are sorted."""
+    out: list[list[int]] = []
+    for s in spans:
+        if out and s["a"] <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], s["b"])
+        else:
+            out.append([s["a"], s["b"]])
+    return out
 
-    as_text: kept is a string; of a character that was removed in part, the rest goes too.
+
+def remove_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, anchor: int = ANCHOR, at_once: int = AT_ONCE, keep: tuple[str, ...] = (), as_text: bool = False, min_words: int = 0, long: int = 0
+) -> DataFrame:
+    """(id, *keep, n_bytes, spans array<struct<a,b>>, kept binary): one row per input row.
 
     spans are the maximal removed byte ranges, kept the bytes that are left. Strings are judged on the input, and one that
-    starts in two places is removed in both, overlaps and repeated rows included. Null texts count as empty; texts shorter
-    than `length` keep everything. An empty table gives an empty table. Columns that aren't named are not read.
+    starts in two places is removed in both, overlaps and repeated rows included. min_words: only ranges with that many
+    words (between ASCII white space), or of `long` bytes, are removed. as_text: kept is a string; of a character that was
+    removed in part, the rest goes too. Null texts count as empty; texts shorter than `length` keep everything. An empty
+    table gives an empty table. Columns that aren't named are not read, so they may have any name.
     """
     spans = repeated_spans(docs, text_col, length, anchor, at_once)
     kinds = dict(docs.dtypes)
     names = [id_col, *keep]
     rows = _packed(docs, text_col, [(F.col(c), kinds[c]) for c in names])
-    rows = rows.join(spans, ["key", "size"], "left").drop("key", "size")
+    rows = rows.join(spans, "key", "left").drop("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = zstandard.ZstdDecompressor()
         for b in _slices(batches):
             out = []
-            for z, found in zip(b.column("z"), b.column("spans").to_pylist()):
+            for z, found in zip(b.column("z"), b.column("spans")):
                 text = d.decompress(z.as_py()) if z.is_valid else b""
-                merged: list[list[int]] = []
-                for s in found or ():
-                    if merged and s["a"] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], s["b"])
-                    else:
-                        merged.append([s["a"], s["b"]])
-                cuts = [0, *(x for m in merged for x in m), len(text)]
-                out.append((len(text), [{"a": a, "b": e} for a, e in merged], b"".join(text[cuts[i] : cuts[i + 1]] for i in range(0, len(cuts), 2))))
+                ranges = [m for m in merged(found.as_py() or []) if not min_words or m[1] - m[0] >= long > 0 or len(text[m[0] : m[1]].split()) >= min_words]
+                cuts = [0, *(x for m in ranges for x in m), len(text)]
+                out.append((len(text), [{"a": a, "b": e} for a, e in ranges], b"".join(text[cuts[i] : cuts[i + 1]] for i in range(0, len(cuts), 2))))
             n, s, kept = list(zip(*out)) or [()] * 3
             spans_of = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
             left = pa.array([x.decode(errors="ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
