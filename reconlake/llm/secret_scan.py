@@ -17,8 +17,9 @@ from reconlake.plans.lineage import stored
 #: Base kinds first; the others are reported only where their value is owner-specific and looks live.
 KINDS = ("assign", "access", "hex", "jwt", "vendor", "private")
 BASE = 3
-#: Values shared by more owners than this are widely copied.
-MAX_OWNERS = 1
+#: A value is widely copied if more than MAX_OWNERS owners hold it, or several owners in more than MAX_REPOS repositories. One
+#: owner's value stays owner-specific in any number of repositories, and so does one that a few owners share.
+MAX_OWNERS, MAX_REPOS = 3, 10
 #: Least entropy of a live-looking value, in bits a character.
 MIN_BITS = 2.5
 #: Parts of values that are placeholders.
@@ -88,11 +89,11 @@ def ownership(scanned: DataFrame) -> DataFrame:
     return pairs.groupBy("digest").agg(F.sum("n").alias("n_repos"), F.count("*").alias("n_owners"))
 
 
-def verdicts(scanned: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
+def verdicts(scanned: DataFrame, max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
     """(text_key, judged): for each distinct text, its spans by start and kind, each with live and copied."""
     texts = scanned.where("text_key is not null").select("text_key", "found").dropDuplicates(["text_key"])
     rows = texts.select("text_key", F.explode("found").alias("f")).select("text_key", "f.*").join(ownership(scanned), "digest")
-    copied = F.col("n_owners") > max_owners
+    copied = (F.col("n_owners") > max_owners) | ((F.col("n_owners") > 1) & (F.col("n_repos") > max_repos))
     rows = rows.select("text_key", F.struct("start", "kind", "end", (~copied & F.col("lively")).alias("live"), copied.alias("copied")).alias("s"))
     return rows.groupBy("text_key").agg(F.array_sort(F.collect_list("s")).alias("judged"))
 
@@ -102,32 +103,35 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
 
-def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str | None = None, max_owners: int = MAX_OWNERS) -> DataFrame:
+def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str | None = None, max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied): one row per input row.
 
     spans holds every base span, and spans of the further kinds whose value is owner-specific and looks live.
-    n_live counts all such spans, n_copied those whose value more than max_owners owners hold. Null and empty texts
+    n_live counts all such spans, n_copied those whose value is widely copied (verdicts). Null and empty texts
     have no spans; repeated rows stay repeated; an empty table gives an empty table. Other columns are not read.
     """
     rows = stored(scan(docs, id_col, text_col, repo_col, owner_col), "scanned")
     cols = ["id", "n_assign", "n_access", "n_hex", "base_sha256"]
     spans = F.filter("judged", lambda s: (s["kind"] < BASE) | s["live"])
-    with_spans = rows.where("text_key is not null").select(*cols, "text_key").join(verdicts(rows, max_owners), "text_key").select(
+    with_spans = rows.where("text_key is not null").select(*cols, "text_key").join(verdicts(rows, max_owners, max_repos), "text_key").select(
         *cols, _listed(spans).alias("spans"), F.size(F.filter("judged", lambda s: s["live"])).cast("long").alias("n_live"), F.size(F.filter("judged", lambda s: s["copied"])).cast("long").alias("n_copied")
     )
     none = rows.where("text_key is null").select(*cols, F.lit("").alias("spans"), F.lit(0).cast("long").alias("n_live"), F.lit(0).cast("long").alias("n_copied"))
     return with_spans.unionByName(none).withColumnRenamed("id", "doc_id")
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str | None = None, mark: str = "[secret]") -> DataFrame:
-    """docs with every live span of the text replaced by mark; widely copied examples stay. Same columns and rows."""
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str | None = None, mark: str = "[secret]", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
+    """docs with every live span of the text replaced by mark; widely copied examples stay. Same columns and rows.
+
+    Overlapping live spans get one mark. Null texts stay null. Each row is carried as one column, so columns of any name are
+    kept as they are. An empty table gives an empty table.
+    """
     rows = stored(scan(docs, id_col, text_col, repo_col, owner_col), "scanned")
-    live = verdicts(rows).select("text_key", F.filter("judged", lambda s: s["live"]).alias("judged")).where(F.size("judged") > 0)
-    live = live.select("text_key", F.transform("judged", lambda s: F.struct(s["start"], s["end"])).alias("_spans"))
-    cols = docs.columns
-    text = F.col(text_col)
-    maybe = docs.where(text.rlike(MAY_HOLD)).withColumn("_key", F.sha2(text, 256))
-    maybe = maybe.join(live, F.col("_key") == F.col("text_key"), "left")
+    live = verdicts(rows, max_owners, max_repos).select("text_key", F.filter("judged", lambda s: s["live"]).alias("spans")).where(F.size("spans") > 0)
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("body"))
+    holds = F.coalesce(F.col("body").rlike(MAY_HOLD), F.lit(False))
+    maybe = given.where(holds).withColumn("key", F.sha2("body", 256)).join(live, F.col("key") == F.col("text_key"), "left")
+    text = F.col("body")
     # pieces between spans, in code points; overlapping spans are merged by the running end
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
@@ -136,6 +140,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo
         more = F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.greatest(a - acc["at"], F.lit(0))), F.when(a >= acc["at"], F.lit(mark)).otherwise(F.lit("")))
         return F.struct(more.alias("out"), F.greatest(acc["at"], b).alias("at"))
 
-    done = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    maybe = maybe.withColumn(text_col, F.when(F.col("_spans").isNotNull(), done).otherwise(text)).select(*cols)
-    return maybe.unionByName(docs.where(~F.coalesce(text.rlike(MAY_HOLD), F.lit(False))).select(*cols))
+    done = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    maybe = maybe.select("row", F.when(F.col("spans").isNotNull(), done).otherwise(text).alias("body"))
+    both = maybe.unionByName(given.where(~holds))
+    return both.select(*[(F.col("body") if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])
