@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
@@ -166,31 +165,39 @@ def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.mapInArrow(run, "t long, set array<long>")
 
 
-def _candidates(sketches: DataFrame, similarity: float, distance: int, blocks: int, shared: int) -> DataFrame:
+def _candidates(sketches: DataFrame, similarity: float, distance: int, blocks: int, shared: int, pairwise: int = PAIRWISE) -> DataFrame:
     """(a, b), a < b: texts that in one of their fingerprints agree on `shared` of the blocks and are within `distance` bits.
 
-    Buckets are split further by size: sets of that similarity are of one class of sizes, or of neighbouring ones. A pair
-    is given by the first bucket it meets in only.
+    Buckets of up to `pairwise` texts give their pairs. In larger ones every text meets the smallest of the bucket, and the
+    bucket's texts are dealt again over one block more, until buckets are small or their fingerprints equal.
     """
-    masks = [F.lit(_signed(m)).cast("long") for m in _blocks(blocks - shared, shared)]
-    level = F.floor(F.log("size") / math.log(1 / similarity)).cast("int")
-    rows = sketches.where("size > 0").select("t", "size", level.alias("level"), F.posexplode("fps").alias("f", "fp"))
-    keys = F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(m).alias("v")) for k, m in enumerate(masks)])
-    rows = rows.select("t", "size", "level", "f", "fp", F.explode(keys).alias("key")).select("t", "size", "level", "f", "fp", "key.k", "key.v")
-    near = rows.select(F.col("t").alias("a"), F.col("size").alias("size_a"), F.col("level").alias("level_a"), F.col("fp").alias("fp_a"), "f", "k", "v", F.explode(F.array(F.col("level"), F.col("level") + 1)).alias("level"))
-    met = near.join(rows, ["f", "k", "v", "level"])
-    met = met.where(((F.col("level_a") < F.col("level")) | (F.col("a") < F.col("t"))) & (F.least("size", "size_a") >= F.lit(similarity) * F.greatest("size", "size_a")))
-    differ = F.col("fp").bitwiseXOR(F.col("fp_a"))
-    met = met.where(F.bit_count(differ) <= distance)
-    first = reduce(lambda rest, k: F.when(differ.bitwiseAND(masks[k]) == 0, F.lit(k)).otherwise(rest), reversed(range(len(masks))), F.lit(-1))
-    return met.where(first == F.col("k")).select(F.least("a", "t").alias("a"), F.greatest("a", "t").alias("b")).distinct()
+    rows = sketches.where("size > 0").select("t", "size", F.posexplode("fps").alias("f", "fp"))
+    alike = lambda a, b: (F.least(a["size"], b["size"]) >= F.lit(similarity) * F.greatest(a["size"], b["size"])) & (F.bit_count(a["fp"].bitwiseXOR(b["fp"])) <= distance)
+    found = []
+    for agree in range(shared, blocks + 1):
+        masks = _blocks(blocks - agree, agree)
+        keys = F.array(*[F.xxhash64("f", F.lit(k), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long"))) for k, m in enumerate(masks)])
+        keyed = rows.select("t", "f", F.struct("t", "size", "fp").alias("x"), F.explode(keys).alias("key"))
+        large = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > pairwise).select("key"), "large")
+        lists = keyed.join(large, "key", "left_anti").groupBy("key").agg(F.collect_list("x").alias("xs")).where(F.size("xs") > 1)
+        pairs = lists.select("xs", F.explode("xs").alias("a")).select("a", F.explode("xs").alias("b"))
+        found.append(stored(pairs.where((F.col("a.t") < F.col("b.t")) & alike(F.col("a"), F.col("b"))).select(F.col("a.t").alias("a"), F.col("b.t").alias("b")).distinct(), "pairs"))
+        if not large.limit(1).count():
+            break
+        crowd = stored(keyed.join(large, "key"), "crowd")
+        least = crowd.groupBy("key").agg(F.min("x").alias("a"))
+        met = crowd.join(least, "key").where((F.col("a.t") < F.col("t")) & alike(F.col("a"), F.col("x")))
+        found.append(stored(met.select(F.col("a.t").alias("a"), F.col("t").alias("b")).distinct(), "pairs"))
+        rows = stored(crowd.select(F.col("t"), F.col("x.size"), "f", F.col("x.fp")).distinct(), "again")
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def similar_links(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 14, blocks: int = 8, shared: int = 2) -> DataFrame:
     """(a, b): links between texts (t, text), t distinct, whose sets of `shingle`-word windows have that Jaccard similarity.
 
     Each link is verified on the whole sets. Candidates come from two fingerprints: all within blocks - shared bits are met,
-    wider ones with the likelihood that their differing bits leave `shared` blocks free. Pairs already connected through each
+    wider ones with the likelihood that their differing bits leave `shared` blocks free; where many texts crowd in a bucket,
+    through its smallest text or by agreeing on more blocks. So links can be missed, but none is wrong. Pairs already connected through each
     one's smallest neighbour are not verified, so that groups are those of all verified pairs. Texts without words have no link.
     """
     pairs = stored(_candidates(stored(_sketches(texts, shingle), "sketches"), similarity, distance, blocks, shared), "candidates")
