@@ -173,20 +173,37 @@ def point_triangle_distance(p: tuple, a: tuple, b: tuple, c: tuple) -> Column:
 TRIANGLE = [f"{k}{x}" for k in "abc" for x in AXES]
 
 
-def point_mesh_distance(pts: DataFrame, tri: DataFrame, by: list[str], key: str, limit: float) -> DataFrame:
+def point_mesh_distance(pts: DataFrame, tri: DataFrame, by: list[str], key: str, limit: float, parts: int = 8) -> DataFrame:
     """(by, key, distance): distance from each point to its mesh, up to `limit`; null if nothing is that near.
 
-    Triangles (ax .. cz) are put into every cell of size `limit` that their box meets, and points look into the cells around.
+    A triangle (ax .. cz), its box widened by `limit`, lies in the grid level whose cells are just as large, so that it meets two
+    cells an axis at most; a point looks into its own cell on each level. Of what meets there, boxes and the slab around the
+    triangle's plane are tested before the distance. The triangles of a cell are dealt over `parts` tasks. Coordinates
+    that are null or not finite have no distance.
     """
     corner = [F.col(c) for c in TRIANGLE]
-    lo = [F.floor(F.least(corner[i], corner[3 + i], corner[6 + i]) / limit) for i in range(3)]
-    hi = [F.floor(F.greatest(corner[i], corner[3 + i], corner[6 + i]) / limit) for i in range(3)]
-    cells = tri.select(*by, *TRIANGLE, *[F.sequence(l, h).alias(f"r{x}") for l, h, x in zip(lo, hi, AXES)])
+    box = tri.select(*by, *TRIANGLE)
+    for i, x in enumerate(AXES):
+        box = box.withColumns({f"_lo{x}": F.least(corner[i], corner[3 + i], corner[6 + i]) - limit, f"_hi{x}": F.greatest(corner[i], corner[3 + i], corner[6 + i]) + limit})
+    extent = F.greatest(*[F.col(f"_hi{x}") - F.col(f"_lo{x}") for x in AXES])
+    n = cross(minus(corner[3:6], corner[:3]), minus(corner[6:], corner[:3]))
+    size = F.sqrt(n[0] * n[0] + n[1] * n[1] + n[2] * n[2])
+    box = box.where(extent < float("inf")).withColumns({"_level": F.ceil(F.log2(extent / limit)).cast("int"), **{f"_n{x}": F.when(size > 0, n[i] / size).otherwise(0.0) for i, x in enumerate(AXES)}})
+    box = stored(box.withColumn("_part", F.pmod(F.xxhash64(*TRIANGLE), F.lit(parts)).cast("int")), "triangles")
+    levels = [r["_level"] for r in box.select("_level").distinct().collect()]  # one a power of two of the extents
+    edge = lambda level: F.lit(limit) * F.pow(F.lit(2.0), level)
+    cells = box
     for x in AXES:
-        cells = cells.withColumn(f"cell_{x}", F.explode(f"r{x}")).drop(f"r{x}")
-    asked = pts.select(*by, key, *AXES).withColumn("_c", F.explode(_around(AXES, limit))).select(*by, key, *AXES, "_c.*")
+        cells = cells.withColumn(f"_c{x}", F.explode(F.sequence(F.floor(F.col(f"_lo{x}") / edge(F.col("_level"))), F.floor(F.col(f"_hi{x}") / edge(F.col("_level"))))))
+    finite = reduce(lambda a, b: a & b, [F.abs(F.col(x)) < float("inf") for x in AXES])
+    asked = pts.where(finite).select(*by, key, *AXES, F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")).alias("_level"))
+    asked = asked.withColumns({f"_c{x}": F.floor(F.col(x) / edge(F.col("_level"))) for x in AXES}).withColumn("_part", F.explode(F.array(*[F.lit(k) for k in range(parts)])))
+    met = asked.join(cells, [*by, "_level", "_part", *[f"_c{x}" for x in AXES]])
+    slab = sum((F.col(f"_n{x}") * (F.col(x) - F.col(f"a{x}")) for x in AXES), F.lit(0.0))
+    inside = reduce(lambda a, b: a & b, [F.col(x).between(F.col(f"_lo{x}"), F.col(f"_hi{x}")) for x in AXES])
     d = point_triangle_distance(AXES, *[tuple(TRIANGLE[3 * k : 3 * k + 3]) for k in range(3)])
-    near = asked.join(cells, [*by, "cell_x", "cell_y", "cell_z"]).groupBy(*by, key).agg(F.min(d).alias("distance"))
+    # a margin for the rounding of the plane's distance
+    near = met.where(inside & (F.abs(slab) <= limit * (1 + 1e-6))).groupBy(*by, key).agg(F.min(d).alias("distance"))
     return pts.select(*by, key).join(near.where(F.col("distance") <= limit), [*by, key], "left")
 
 

@@ -14,7 +14,7 @@ PROXIES = {
     "scores": "SELECT event_id AS sample_id, user_id % 40 AS object_id, event_id % 13 AS scene_id, event_type AS arm, event_id % 3 AS seed, CASE WHEN event_id % 17 = 0 THEN NULL ELSE value END AS value FROM {events}",
     "pairs": "SELECT user_id AS sample_id, user_id % 40 AS object_id, user_id % 13 AS scene_id, event_type AS arm, event_id % 3 AS seed, round(avg(value), 6) AS value FROM {events} GROUP BY user_id, event_type, event_id % 3",
     "obs": "SELECT event_id AS sample_id, user_id % 33 AS object_id, event_id % 13 AS scene_id, (event_id * 7) % 1000 AS image_id, CAST(floor(value * 100) AS BIGINT) AS pixels, ((event_id * 37) % 100) / CAST(100 AS DOUBLE) AS vis FROM {events}",
-    "px": "SELECT event_type AS sample_id, CAST(extract(DAY FROM ts) AS INT) - 1 AS v, CAST(extract(HOUR FROM ts) AS INT) AS u, CASE WHEN count(*) % 7 = 0 THEN CAST(0 AS DOUBLE) ELSE 1 + round(avg(value), 3) / 1000 END AS depth, max(value) > 8 AS mask, CAST(round(max(value)) AS INT) % 256 AS r, CAST(count(*) AS INT) % 256 AS g, CAST(round(min(value) * 10) AS INT) % 256 AS b FROM {events} GROUP BY 1, 2, 3",
+    "px": "SELECT event_type AS sample_id, CAST(extract(DAY FROM ts) AS INT) - 1 AS v, CAST(extract(HOUR FROM ts) AS INT) AS u, CASE WHEN count(*) % 7 = 0 THEN CAST(0 AS DOUBLE) ELSE 1 + floor(sum(floor(value * 1000)) / count(*)) / CAST(1000000 AS DOUBLE) END AS depth, max(value) > 8 AS mask, CAST(round(max(value)) AS INT) % 256 AS r, CAST(count(*) AS INT) % 256 AS g, CAST(round(min(value) * 10) AS INT) % 256 AS b FROM {events} GROUP BY 1, 2, 3",
     "edit": "SELECT event_type AS sample_id, CAST(extract(DAY FROM ts) AS INT) - 1 AS v, CAST(extract(HOUR FROM ts) AS INT) AS u, max(value) > 9 AS mask, CAST(round(max(value)) AS INT) % 256 AS r, CAST(count(*) + CASE WHEN max(value) > 20 THEN 1 ELSE 0 END AS INT) % 256 AS g, CAST(round(min(value) * 10) AS INT) % 256 AS b FROM {events} GROUP BY 1, 2, 3",
     "assets": "SELECT p_partkey AS asset, p_brand AS family, p_type AS category, p_size AS size, p_retailprice AS price, p_name AS name, p_partkey % 50 = 0 AS pilot FROM {part}",
     "vertices": "SELECT CAST('all' AS STRING) AS mesh_id, p_partkey AS vid, CAST(p_size AS DOUBLE) / 10 AS x, p_retailprice / 1000 AS y, CAST(length(p_name) AS DOUBLE) / 10 AS z FROM {part}",

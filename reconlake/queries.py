@@ -801,9 +801,10 @@ def r07_observation_filter(s, d):
     return R.observation_filter(proxy(s, d, "px"), 0.004, 1).select("sample_id", "v", "u", "depth")
 
 
-@query("SELECT sample_id, v, u, round((u - 11.5) * depth / 20, 6) AS x, round((14.5 - v) * depth / 20, 6) AS y, round(-depth, 6) AS z FROM {px} WHERE depth > 0")
+# not rounded: many of these values lie half-way between two rounded ones, and both sides do the same operations
+@query("SELECT sample_id, v, u, (u - CAST(11.5 AS DOUBLE)) * depth / CAST(20 AS DOUBLE) AS x, (CAST(14.5 AS DOUBLE) - v) * depth / CAST(20 AS DOUBLE) AS y, -depth AS z FROM {px} WHERE depth > 0")
 def r08_pixels_to_cloud(s, d):
-    return r6(R.pixels_to_cloud(proxy(s, d, "px"), _cams(s, d)))
+    return R.pixels_to_cloud(proxy(s, d, "px"), _cams(s, d))
 
 
 @query("SELECT a.sample_id, round(count(*) FILTER (a.mask AND b.mask) / CAST(count(*) FILTER (a.mask OR b.mask) AS DOUBLE), 6) AS iou FROM {px} AS a JOIN {edit} AS b USING (sample_id, v, u) GROUP BY 1")
@@ -1118,14 +1119,45 @@ def g12_query_flags(s, d):
     return out.groupBy("sample_id").agg(F.count_if("certain_free").alias("certain_free"), F.count_if("hidden_surface").alias("hidden_surface"))
 
 
-@query()
+def _to_edge(s: str, e: str) -> str:
+    """Distance from (x, y, z) to the edge between corners s and e, as SQL."""
+    d, w = [f"({e}_{k} - {s}_{k})" for k in "xyz"], [f"(p.{k} - {s}_{k})" for k in "xyz"]
+    dot = lambda a, b: "(" + " + ".join(f"{i} * {j}" for i, j in zip(a, b)) + ")"
+    t = f"CASE WHEN {dot(d, d)} > 0 THEN least(greatest({dot(w, d)} / {dot(d, d)}, 0.0), 1.0) ELSE 0.0 END"
+    return "sqrt(" + " + ".join(f"pow({w[k]} - ({t}) * {d[k]}, 2)" for k in range(3)) + ")"
+
+
+def _cross(a: list[str], b: list[str]) -> list[str]:
+    return [f"({a[i]} * {b[j]} - {a[j]} * {b[i]})" for i, j in ((1, 2), (2, 0), (0, 1))]
+
+
+def _same_side(s: str, e: str) -> str:
+    side = _cross([f"({e}_{k} - {s}_{k})" for k in "xyz"], [f"(p.{k} - {s}_{k})" for k in "xyz"])
+    return "(" + " + ".join(f"{a} * n{k}" for a, k in zip(side, "xyz")) + " >= 0)"
+
+
+_SPAN = [[f"({c}_{k} - a_{k})" for k in "xyz"] for c in "bc"]
+_CORNERS = "SELECT f.mesh_id, f.fid, " + ", ".join(f"v{c}.{k} AS {c}_{k}" for c in "abc" for k in "xyz") + " FROM {faces} AS f " + " ".join(f"JOIN {{vertices}} AS v{c} ON v{c}.vid = f.{c}" for c in "abc")
+_PLANES = "SELECT *, " + ", ".join(f"{e} AS n{k}" for e, k in zip(_cross(*_SPAN), "xyz")) + f" FROM ({_CORNERS}) AS corners"
+_HEIGHT = "abs(" + " + ".join(f"(p.{k} - a_{k}) * n{k}" for k in "xyz") + ") / nn"
+_BOXED = " AND ".join(f"p.{k} BETWEEN least(a_{k}, b_{k}, c_{k}) - 0.25 AND greatest(a_{k}, b_{k}, c_{k}) + 0.25" for k in "xyz")
+# every point with every triangle of the mesh whose box is near enough
+_DISTANCES = (
+    "WITH p AS (SELECT mesh_id, vid AS point_id, x + 0.05 AS x, y, z FROM {vertices}), t AS (SELECT *, sqrt(nx * nx + ny * ny + nz * nz) AS nn FROM (" + _PLANES + ") AS planes), "
+    "m AS (SELECT p.point_id, CASE WHEN nn > 1e-14 AND " + " AND ".join(_same_side(*e) for e in ("ab", "bc", "ca")) + f" THEN {_HEIGHT} ELSE least(" + ", ".join(_to_edge(*e) for e in ("ab", "bc", "ca")) + ") END AS distance "
+    "FROM p JOIN t ON p.mesh_id = t.mesh_id AND " + _BOXED + "), near AS (SELECT point_id, min(distance) AS distance FROM m WHERE distance <= 0.25 GROUP BY 1) "
+    "SELECT p.mesh_id, p.point_id, near.distance FROM p LEFT JOIN near USING (point_id)"
+)
+
+
+@query("SELECT mesh_id, point_id, round(distance, 6) + 0.0 AS distance FROM (" + _DISTANCES + ") AS x")
 def j08_point_mesh_distance(s, d):
     tri = _tri(s, d)
     pts = proxy(s, d, "vertices").selectExpr("mesh_id", "vid AS point_id", "x + 0.05 AS x", "y", "z")
     return r6(J.point_mesh_distance(pts, tri, ["mesh_id"], "point_id", 0.25))
 
 
-@query()
+@query("SELECT mesh_id, round(quantile_cont(coalesce(distance, 0.25), 0.5), 6) + 0.0 AS median, round(quantile_cont(coalesce(distance, 0.25), 0.95), 6) + 0.0 AS p95, count(*) AS points FROM (" + _DISTANCES + ") AS x GROUP BY 1")
 def g19_registration(s, d):
     pts = proxy(s, d, "vertices").selectExpr("mesh_id", "vid AS point_id", "x + 0.05 AS x", "y", "z")
     return r6(G.registration(pts, _tri(s, d), ["mesh_id"], "point_id", 0.25))
