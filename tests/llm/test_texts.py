@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
@@ -155,7 +156,7 @@ def test_secret_spans(docs, none, rows):
                     out.append((m.start(), list(patterns).index(kind), m.end(), kind))
         return sorted(out)
 
-    got = secret_scan.secrets(docs).collect()
+    got = secret_scan.secrets(docs, max_owners=1).collect()
     assert len(got) == len(rows)
     want = []
     for r in rows:
@@ -174,8 +175,27 @@ def test_secret_spans(docs, none, rows):
     assert secret_scan.secrets(none).count() == 0
 
 
+def test_owners_and_repositories_decide_apart(spark):
+    values = {"one owner, many repositories": (1, 12), "four owners": (4, 4), "two owners, twelve repositories": (2, 12), "two owners, two repositories": (2, 2)}
+    rows = []
+    for n, (owners, repos) in enumerate(values.values()):
+        rows += [(len(rows) + k, f"token = Zx81kQp04mBv7{n}", f"o{k % owners}/r{k}") for k in range(repos)]
+    got = secret_scan.secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    live = {text[-1]: r["n_live"] for r in got for i, text, _ in rows if i == r["doc_id"]}
+    assert live == {"0": 1, "1": 0, "2": 0, "3": 1}
+    clash = spark.createDataFrame([(1, "token = Zx81kQp04mBv79", "a", "k1", "k2", "k3")], "doc_id long, text string, source string, text_key string, _key string, spans string")
+    assert tuple(secret_scan.redact(clash).first()) == (1, "[secret]", "a", "k1", "k2", "k3")
+
+
+def test_very_long_white_space_is_packed_exactly():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ours, plain = packing._Ids(path), bpe.encoder(path)
+    for t in (" " * 1_200_000, "a" + "\n" * 1_200_000 + "b", "x" + " " * 20_000 + "<|endoftext|>" + " \n" * 10_000):
+        assert np.frombuffer(ours.of(t), "<i4").tolist() == plain.encode(t).tolist()
+
+
 def test_redaction_replaces_live_spans_only(docs, none, rows):
-    got = {r["doc_id"]: r for r in secret_scan.redact(docs).collect()}
+    got = {r["doc_id"]: r for r in secret_scan.redact(docs, max_owners=1).collect()}
     assert secret_scan.redact(docs).count() == len(rows)
     text = {r[0]: r[1] for r in rows}
     changed = {k for k in text if got[k]["text"] != text[k]}
