@@ -45,9 +45,11 @@ def _shingles(words: list[bytes], shingle: int, seed: int = 42) -> np.ndarray:
 def _majority(h: np.ndarray) -> int:
     """The number whose bits are those set in over half of h."""
     ones = np.zeros(64, np.int64)
-    for k in range(0, len(h), 65536):
-        bits = np.unpackbits(h[k : k + 65536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        ones += bits.sum(axis=0, dtype=np.int64)
+    for k in range(0, len(h), 65280):
+        part = np.zeros((-(-len(h[k : k + 65280]) // 255) * 255, 8), np.uint8)
+        part[: len(h[k : k + 65280])] = h[k : k + 65280].astype(">u8").view(np.uint8).reshape(-1, 8)
+        bits = np.unpackbits(part, axis=1).reshape(-1, 255, 64)  # sums of 255 bits fit into a byte
+        ones += bits.sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
 
 
@@ -138,16 +140,45 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
 
 
+class _Words(dict):
+    """XXH64 of words, remembered for short ones, up to `most`."""
+
+    most = 500_000
+
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh64_intdigest(word, 42)
+        if len(word) <= 64:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = h
+        return h
+
+
+def _windows(hashes: np.ndarray, shingle: int) -> np.ndarray:
+    """A hash of each window of `shingle` words from the words' hashes; fewer words form one window, none form none."""
+    n = min(shingle, len(hashes))
+    h = np.zeros(len(hashes) - n + 1 if n else 0, np.uint64)
+    for k in range(n):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + len(h)]
+    return _mixed(h)
+
+
+def _word_hashes(text: bytes, known: _Words) -> np.ndarray:
+    words = text.lower().split()
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+
 def _sketches(texts: DataFrame, shingle: int) -> DataFrame:
     """(t, size, fps): number of distinct windows of `shingle` words, and two fingerprints over windows of 3 words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Words()
         for b in batches:
             size, fps = [], []
             for text in b.column(1).cast(pa.binary()):
-                words = text.as_py().lower().split()
-                size.append(len(np.unique(_shingles(words, shingle))))
-                h = _shingles(words, 3)
+                hashes = _word_hashes(text.as_py(), known)
+                size.append(len(np.unique(_windows(hashes, shingle))))
+                h = _windows(hashes, 3)
                 fps.append([_signed(_majority(h)), _signed(_majority(_mixed(h)))])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int32()), pa.array(fps, pa.list_(pa.int64()))], names=["t", "size", "fps"])
 
@@ -158,45 +189,47 @@ def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
     """(t, set): distinct hashes of the windows of `shingle` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Words()
         for b in batches:
-            sets = [np.unique(_shingles(x.as_py().lower().split(), shingle)).view(np.int64) for x in b.column(1).cast(pa.binary())]
+            sets = [np.unique(_windows(_word_hashes(x.as_py(), known), shingle)).view(np.int64) for x in b.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["t", "set"])
 
     return texts.mapInArrow(run, "t long, set array<long>")
 
 
 def _candidates(sketches: DataFrame, similarity: float, distance: int, blocks: int, shared: int, pairwise: int = PAIRWISE) -> DataFrame:
-    """(a, b), a < b: texts that in one of their fingerprints agree on `shared` of the blocks and are within `distance` bits.
+    """(a, b), a < b: texts that in one of their fingerprints agree on `shared` of the blocks and in both together are within `distance` bits.
 
     Buckets of up to `pairwise` texts give their pairs. In larger ones every text meets the smallest of the bucket, and the
-    bucket's texts are dealt again over one block more, until buckets are small or their fingerprints equal.
+    bucket's texts are dealt again over more blocks, until buckets are small or their fingerprints equal.
     """
-    rows = sketches.where("size > 0").select("t", "size", F.posexplode("fps").alias("f", "fp"))
-    alike = lambda a, b: (F.least(a["size"], b["size"]) >= F.lit(similarity) * F.greatest(a["size"], b["size"])) & (F.bit_count(a["fp"].bitwiseXOR(b["fp"])) <= distance)
+    rows = sketches.where("size > 0").select(F.struct("t", "size", F.get("fps", F.lit(0)).alias("p"), F.get("fps", F.lit(1)).alias("q")).alias("x"), F.explode(F.array(F.lit(0), F.lit(1))).alias("f"))
+    apart = lambda a, b: F.bit_count(a["p"].bitwiseXOR(b["p"])) + F.bit_count(a["q"].bitwiseXOR(b["q"]))
+    alike = lambda a, b: (F.least(a["size"], b["size"]) >= F.lit(similarity) * F.greatest(a["size"], b["size"])) & (apart(a, b) <= distance)
     found = []
-    for agree in range(shared, blocks + 1):
-        masks = _blocks(blocks - agree, agree)
-        keys = F.array(*[F.xxhash64("f", F.lit(k), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long"))) for k, m in enumerate(masks)])
-        keyed = rows.select("t", "f", F.struct("t", "size", "fp").alias("x"), F.explode(keys).alias("key"))
+    for agree in sorted({shared, shared + 1, (shared + 1 + blocks) // 2, blocks}):
+        fp = F.when(F.col("f") == 0, F.col("x.p")).otherwise(F.col("x.q"))
+        keys = F.array(*[F.xxhash64("f", F.lit(k), fp.bitwiseAND(F.lit(_signed(m)).cast("long"))) for k, m in enumerate(_blocks(blocks - agree, agree))])
+        keyed = rows.select("x", "f", F.explode(keys).alias("key"))
         large = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > pairwise).select("key"), "large")
         lists = keyed.join(large, "key", "left_anti").groupBy("key").agg(F.collect_list("x").alias("xs")).where(F.size("xs") > 1)
         pairs = lists.select("xs", F.explode("xs").alias("a")).select("a", F.explode("xs").alias("b"))
-        found.append(stored(pairs.where((F.col("a.t") < F.col("b.t")) & alike(F.col("a"), F.col("b"))).select(F.col("a.t").alias("a"), F.col("b.t").alias("b")).distinct(), "pairs"))
-        if not large.limit(1).count():
+        found.append(pairs.where((F.col("a.t") < F.col("b.t")) & alike(F.col("a"), F.col("b"))).select(F.col("a.t").alias("a"), F.col("b.t").alias("b")))
+        if large.isEmpty():
             break
         crowd = stored(keyed.join(large, "key"), "crowd")
         least = crowd.groupBy("key").agg(F.min("x").alias("a"))
-        met = crowd.join(least, "key").where((F.col("a.t") < F.col("t")) & alike(F.col("a"), F.col("x")))
-        found.append(stored(met.select(F.col("a.t").alias("a"), F.col("t").alias("b")).distinct(), "pairs"))
-        rows = stored(crowd.select(F.col("t"), F.col("x.size"), "f", F.col("x.fp")).distinct(), "again")
+        found.append(crowd.join(least, "key").where((F.col("a.t") < F.col("x.t")) & alike(F.col("a"), F.col("x"))).select(F.col("a.t").alias("a"), F.col("x.t").alias("b")))
+        rows = stored(crowd.select("x", "f").distinct(), "again")
     return reduce(DataFrame.unionByName, found).distinct()
 
 
-def similar_links(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 14, blocks: int = 8, shared: int = 2) -> DataFrame:
+def similar_links(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 30, blocks: int = 8, shared: int = 2) -> DataFrame:
     """(a, b): links between texts (t, text), t distinct, whose sets of `shingle`-word windows have that Jaccard similarity.
 
-    Each link is verified on the whole sets. Candidates come from two fingerprints: all within blocks - shared bits are met,
-    wider ones with the likelihood that their differing bits leave `shared` blocks free; where many texts crowd in a bucket,
+    Each link is verified on the whole sets of 64-bit window hashes. Candidates differ in at most `distance` of the 128 bits of two
+    fingerprints: those within blocks - shared bits in one of them are met, wider ones with the likelihood that their differing
+    bits leave `shared` blocks free; where many texts crowd in a bucket,
     through its smallest text or by agreeing on more blocks. So links can be missed, but none is wrong. Pairs already connected through each
     one's smallest neighbour are not verified, so that groups are those of all verified pairs. Texts without words have no link.
     """
