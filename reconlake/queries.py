@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reconlake.functions import expr as X
+from reconlake.functions import udf as U
 from reconlake.operators import integrity as I
 from reconlake.operators import mesh as G
 from reconlake.operators import raster as R
@@ -18,6 +20,7 @@ from reconlake.operators import stats as T
 from reconlake.operators import summarize as A
 from reconlake.operators import surface as V
 from reconlake.plans import schedules as D
+from reconlake.plans.lineage import scratch_path, stored
 from reconlake.proxies import duck, points, proxy
 from reconlake.sources import tables as S
 
@@ -1323,3 +1326,164 @@ def _cams(s, d) -> DataFrame:
 def _cam_points(s, d) -> DataFrame:
     axis: list[Column] = [0.4 * F.col("x"), 0.4 * F.col("y"), -1.01 + 0.01 * F.col("z")]
     return points(s, d).select(F.lit("view").alias("sample_id"), "point_id", *[c.alias(a) for c, a in zip(axis, "xyz")])
+
+
+# ---- sources that are written under the shared folder first and read back; functions that users bring
+
+
+@query("SELECT doc_id, lang, n_chars FROM documents")
+def s01_read_manifest(s, d):
+    row = F.struct("doc_id", "lang", "n_chars")
+    manifests = proxy(s, d, "documents").groupBy(F.floor(F.col("doc_id") / 500).alias("part")).agg(F.collect_list(row).alias("rows"))
+    out = scratch_path(s, "manifests")
+    manifests.withColumn("status", F.lit("frozen")).repartition("part").write.partitionBy("part").json(out)
+    return S.read_manifest(s, out, "doc_id long, lang string, n_chars long", "frozen").select("doc_id", "lang", "n_chars")
+
+
+@query("SELECT event_id, user_id, value FROM events WHERE event_type = 'click'")
+def s02_read_jsonl(s, d):
+    out = scratch_path(s, "lines")
+    proxy(s, d, "events").select("event_id", "user_id", "event_type", "value").write.json(out)
+    return S.read_jsonl(s, out, "event_id long, user_id long, event_type string, value double", F.col("event_type") == "click").drop("event_type")
+
+
+@query("SELECT event_id // 2000 AS scene_id, event_id // 4 AS image_id, CAST(row_number() OVER (PARTITION BY event_id // 4 ORDER BY event_id) - 1 AS INT) AS gt_id, CAST(user_id AS INT) AS obj_id, event_id AS px_count_visib, value AS visib_fract, CAST(event_id // 4 AS DOUBLE) AS fx, CAST(0.1 AS DOUBLE) AS depth_scale FROM events")
+def s03_read_annotations(s, d):
+    e = proxy(s, d, "events").withColumns({"scene": F.expr("event_id div 2000"), "image": F.expr("event_id div 4")})
+    images = e.groupBy("scene", "image").agg(F.array_sort(F.collect_list(F.struct("event_id", "user_id", "value"))).alias("xs"))
+    no = F.array().cast("array<double>")
+    kinds = {
+        "gt": F.transform("xs", lambda x: F.struct(x["user_id"].cast("int").alias("obj_id"), no.alias("cam_R_m2c"), no.alias("cam_t_m2c"))),
+        "info": F.transform("xs", lambda x: F.struct(x["event_id"].alias("px_count_visib"), x["value"].alias("visib_fract"))),
+        "camera": F.struct(F.array(F.col("image").cast("double")).alias("cam_K"), F.lit(0.1).alias("depth_scale")),
+    }
+    paths = []
+    for kind, value in kinds.items():
+        maps = images.groupBy("scene").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("image").cast("string"), value.alias("v"))))).alias("value"))
+        paths.append(scratch_path(s, kind))
+        maps.repartition("scene").write.partitionBy("scene").text(paths[-1])
+    rows = S.read_annotations(s, *paths)
+    return rows.select("scene_id", "image_id", "gt_id", "obj_id", "px_count_visib", "visib_fract", F.get("cam_K", F.lit(0)).alias("fx"), "depth_scale")
+
+
+_OBJ = "(SELECT p_partkey // 500 AS mesh, row_number() OVER (PARTITION BY p_partkey // 500 ORDER BY p_partkey) - 1 AS vid, CAST(p_size AS DOUBLE) AS x, p_retailprice AS y, CAST(length(p_name) AS DOUBLE) AS z FROM part)"
+
+
+def _obj_lines(s, d) -> DataFrame:
+    """A mesh of every 500 parts as OBJ text: a vertex a part and a strip of triangles."""
+    p = proxy(s, d, "part").select(F.expr("p_partkey div 500").alias("mesh"), F.struct("p_partkey", F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"), F.length("p_name").cast("double").alias("z")).alias("v"))
+    m = p.groupBy("mesh").agg(F.array_sort(F.collect_list("v")).alias("vs"))
+    v = F.transform("vs", lambda x: F.concat_ws(" ", F.lit("v"), x["x"], x["y"], x["z"]))
+    f = F.when(F.size("vs") > 2, F.transform(F.sequence(F.lit(1), F.size("vs") - 2), lambda i: F.concat_ws(" ", F.lit("f"), i, F.concat(i + 1, F.lit("/1")), F.lit(2) + i)))
+    out = scratch_path(s, "obj")
+    m.select("mesh", F.concat_ws("\n", v, f).alias("value")).repartition("mesh").write.partitionBy("mesh").text(out)
+    return S.text_lines(s, out, F.col("mesh").cast("long"))
+
+
+@query("SELECT mesh AS mesh_id, vid, x, y, z FROM " + _OBJ + " AS o")
+def s05_obj_vertices(s, d):
+    return S.read_obj_text(_obj_lines(s, d))[0].withColumn("vid", F.col("vid").cast("long"))
+
+
+@query("SELECT mesh AS mesh_id, vid AS a, vid + 1 AS b, vid + 2 AS c FROM (SELECT *, max(vid) OVER (PARTITION BY mesh) AS last FROM " + _OBJ + " AS o) AS y WHERE vid + 2 <= last")
+def s05_obj_faces(s, d):
+    return S.read_obj_text(_obj_lines(s, d))[1].select("mesh_id", "a", "b", "c")
+
+
+@query("SELECT DISTINCT p_partkey // 500 AS mesh_id, 'textures/' || p_size || '.png' AS path, p_size % 3 <> 0 AS exists_inside_dataset FROM part")
+def s06_material_refs(s, d):
+    p = proxy(s, d, "part")
+    line = F.concat(F.lit("newmtl m\nmap_Kd ./textures\\"), F.col("p_size").cast("string"), F.lit(".png"))
+    out = scratch_path(s, "mtl")
+    p.groupBy(F.expr("p_partkey div 500").alias("mesh")).agg(F.concat_ws("\n", F.collect_list(line)).alias("value")).repartition("mesh").write.partitionBy("mesh").text(out)
+    files = p.where("p_size % 3 <> 0").select(F.concat(F.lit("textures/"), F.col("p_size").cast("string"), F.lit(".png")).alias("path"))
+    return S.read_material_refs(S.text_lines(s, out, F.col("mesh").cast("long")), files)
+
+
+@query("SELECT doc_id // 100 AS part, sha256(string_agg(sha256(text), chr(10) ORDER BY doc_id, text) || chr(10)) AS sha256, count(text) * 65 AS size_bytes FROM documents WHERE text IS NOT NULL GROUP BY 1")
+def s08_file_inventory(s, d):
+    rows = proxy(s, d, "documents").where("text IS NOT NULL").select(F.expr("doc_id div 100").alias("part"), F.struct("doc_id", "text").alias("d"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("d.doc_id", F.sha2("d.text", 256).alias("h")))), lambda x: x["h"])
+    out = scratch_path(s, "files")
+    rows.groupBy("part").agg(F.array_join(listed, "\n").alias("value")).repartition("part").write.partitionBy("part").text(out)
+    return S.file_inventory(s, out).select(F.regexp_extract("path", r"part=([0-9]+)/", 1).cast("long").alias("part"), "sha256", "size_bytes")
+
+
+_FOLDER = "'assets/' || (p_partkey % 2) || '/' || p_brand || ' ' || (p_partkey // 20)"
+
+
+@query(
+    "SELECT *, count(*) OVER (PARTITION BY asset_id) > 1 AS duplicate_id FROM (SELECT " + _FOLDER + " AS folder, regexp_replace(p_brand || ' ' || (p_partkey // 20), '[^A-Za-z0-9_.-]+', '_', 'g') AS asset_id, bool_or(p_size % 4 = 0) AS mesh, "
+    "bool_or(p_size % 4 = 1) AS material, bool_or(p_size % 4 = 2) AS texture, count(*) AS files FROM part GROUP BY 1, 2) AS x"
+)
+def s09_scan_assets(s, d):
+    end = F.get(F.array(F.lit(".OBJ"), F.lit(".mtl"), F.lit(".jpeg"), F.lit(".txt")), F.col("p_size") % 4)
+    path = F.concat(F.lit("assets/"), F.expr("CAST(p_partkey % 2 AS STRING)"), F.lit("/"), F.col("p_brand"), F.lit(" "), F.expr("CAST(p_partkey div 20 AS STRING)"), F.lit("/"), F.col("p_partkey").cast("string"), end)
+    return S.scan_assets(proxy(s, d, "part").select(path.alias("path")))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders")
+def s10_publish(s, d):
+    out = scratch_path(s, "published")
+    S.publish(proxy(s, d, "orders").select("o_orderkey", "o_custkey"), out)
+    try:
+        S.publish(proxy(s, d, "orders").select("o_orderkey"), out)
+    except AnalysisException:  # the earlier freeze stays
+        return s.read.parquet(out)
+    raise AssertionError("an earlier freeze was overwritten")
+
+
+@query("SELECT point_id, round(sqrt(x * x + y * y + z * z), 6) AS udf_m, round(x - y, 6) + 0.0 AS logit FROM {points}")
+def e01_apply_field(s, d):
+    def radial(p):
+        return (p * p).sum(axis=1) ** 0.5, p[:, 0] - p[:, 1]
+
+    return r6(U.apply_field(points(s, d), radial).select("point_id", "udf_m", "logit"))
+
+
+@query("SELECT event_id, 'root' AS metric, round(sqrt(value), 6) AS value FROM events UNION ALL SELECT event_id, 'halved', round(value / 2, 6) FROM events")
+def e02_metric_values(s, d):
+    for name, of in (("root", lambda: F.sqrt("value")), ("halved", lambda: F.col("value") / 2)):
+        if name not in U.METRICS:
+            U.register_metric(name, of)
+    return r6(U.metric_values(proxy(s, d, "events"), ["event_id"], ["root", "halved"]))
+
+
+@query("SELECT p_partkey, CAST(k AS BIGINT) AS fid, CAST(p_size + k AS DOUBLE) AS ax, CAST(p_size AS DOUBLE) AS by, CAST(1 AS DOUBLE) AS cz FROM part, range(2) AS r(k)")
+def e03_register_source(s, d):
+    def corners(text):
+        for k in range(2):
+            size = float(text)
+            yield k, size + k, 0.0, 0.0, 0.0, size, 0.0, 0.0, 0.0, 1.0
+
+    U.register_source(s, "corner_triangles", corners)
+    return s.sql("SELECT p_partkey, t.fid, t.ax, t.by, t.cz FROM {part} AS p, LATERAL corner_triangles(CAST(p.p_size AS STRING)) AS t", part=proxy(s, d, "part"))
+
+
+@query("SELECT p_partkey, CAST(CAST('0x' || substr(" + _h("train", "p_partkey") + ", 1, 16) AS UBIGINT) AS DECIMAL(20, 0)) AS seed FROM part")
+def f02_stable_seed(s, d):
+    return proxy(s, d, "part").select("p_partkey", X.stable_seed("train", "p_partkey").alias("seed"))
+
+
+@query("SELECT p_partkey, round(" + _u("draw", "p_partkey") + ", 6) AS draw, round(p_size * (0.8 + 0.4 * " + _u("prior", "p_partkey") + "), 6) AS prior FROM part")
+def f03_hash_uniform(s, d):
+    return r6(proxy(s, d, "part").select("p_partkey", X.hash_uniform("draw", "p_partkey").alias("draw"), X.metric_prior("prior", "p_partkey", "p_size").alias("prior")))
+
+
+@query("SELECT p_partkey, sha256(p_brand || chr(0) || p_partkey || chr(0) || p_size) AS digest FROM part")
+def f04_selection_digest(s, d):
+    return proxy(s, d, "part").select("p_partkey", X.selection_digest("p_brand", "p_partkey", "p_size").alias("digest"))
+
+
+@query("SELECT sample_id, coalesce(printf('%.2f', value * 100), 'N/D') AS percent, coalesce(printf('%.3f', value * 1000), 'N/D') AS mm FROM {scores}")
+def f22_fmt(s, d):
+    return proxy(s, d, "scores").select("sample_id", X.fmt("value").alias("percent"), X.fmt("value", "mm").alias("mm"))
+
+
+@query("SELECT p_partkey, row_number() OVER (ORDER BY p_size, " + _h("order", "p_partkey") + ", p_partkey) - 1 AS place FROM part")
+def o01_stable_order(s, d):
+    rows = stored(W.stable_order(proxy(s, d, "part").select("p_partkey", "p_size"), ["p_size"], "order", "p_partkey").select("p_partkey", F.monotonically_increasing_id().alias("at")), "ordered")
+    part = F.shiftright("at", 33).alias("part")
+    sizes = rows.groupBy(part).agg(F.count("*").alias("n"))  # a row a task
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    return rows.withColumn("part", part).join(before, "part").select("p_partkey", (F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("place"))

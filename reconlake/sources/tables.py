@@ -62,10 +62,11 @@ def read_obj_text(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return vertices, faces, flags
 
 
-def text_lines(spark: SparkSession, paths: str) -> DataFrame:
-    """Lines of whole text files: mesh_id (the file's name without ending), line_no, value."""
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)\.[^./]*$", 1).alias("mesh_id")
-    return spark.read.option("wholetext", True).text(paths).select(name, F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value"))
+def text_lines(spark: SparkSession, paths: str, name: Column | None = None) -> DataFrame:
+    """Lines of whole text files: mesh_id (name; by default the file's name without ending), line_no, value."""
+    if name is None:
+        name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)\.[^./]*$", 1)
+    return spark.read.option("wholetext", True).text(paths).select(name.alias("mesh_id"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value"))
 
 
 def read_material_refs(lines: DataFrame, files: DataFrame) -> DataFrame:
