@@ -59,11 +59,64 @@ def test_a_slice_over_the_bound_after_an_earlier_one(spark, monkeypatch):
 
 
 def test_parse_levels():
-    body, found, _ = quote_links.parse("Hi\nOn Monday Ann wrote:\n> one\n> two\n>> deep\n> back\n\nBye\n>>> x")
-    assert body == "Hi\n\nBye"
-    assert [n for n, _ in found] == [1, 2, 1, 3]
+    p = quote_links.parse("Hi\nOn Monday Ann wrote:\n> one\n> two\n>> deep\n> back\n\nBye\n>>> x")
+    assert p.body == "Hi\n\nBye"
+    assert [n for n, _ in p.passages] == [1, 2, 1, 3]
+    assert p.segments[:2] == [(None, "Hi"), (0, "On Monday Ann wrote:\n> one\n> two")]
+    assert "\n".join(t for _, t in p.segments) == "Hi\nOn Monday Ann wrote:\n> one\n> two\n>> deep\n> back\n\nBye\n>>> x"
     assert quote_links.parse("a > b\nc")[:2] == ("a > b\nc", [])
-    assert quote_links.parse(None) == ("", [], set())
+    assert quote_links.parse(None)[:3] == ("", [], set())
+
+
+def test_partial_quotes_and_what_stays(spark):
+    source = "a\nb\nc\nd\n\nThe second part has many words\nand goes on over two lines here.\n\nEnd"
+    rows = [
+        (1, 0, "u", source),
+        (1, 1, "u", "> b\n> c\nshort run"),
+        (1, 2, "u", "> part has many\n> words and goes on\nre-wrapped"),
+        (1, 3, "u", "> goes on over two lines here.\n>\n> End\nover paragraphs"),
+        (1, 4, "u", ">>> print(1)\n1\n>>> x = 2"),
+        (1, 5, "u", "> words that nobody has said so far\nkept"),
+        (1, 6, "u", "> goes on over two lines now and then\nhalf known"),
+        (2, 0, "u", "> part has many words and goes on\nelsewhere"),
+    ]
+    got = {(r["conv_id"], r["turn"]): r for r in quote_links.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert [(got[1, k]["parent_turn"], got[1, k]["n_linked"], got[1, k]["text"]) for k in (1, 2, 3)] == [(0, 1, "short run"), (0, 1, "re-wrapped"), (0, 1, "over paragraphs")]
+    for k in (4, 5, 6):
+        assert (got[1, k]["n_linked"], got[1, k]["parent_turn"], got[1, k]["text"]) == (0, k - 1, rows[k][3])
+    assert (got[2, 0]["n_linked"], got[2, 0]["text"]) == (0, rows[7][3])
+
+
+def test_random_conversations_equal_a_plain_loop(spark):
+    r = random.Random(4)
+    rows = []
+    for conv in range(12):
+        said = []
+        for turn in range(8):
+            text = "\n".join(" ".join(r.choice("alpha beta gamma delta eps zeta".split()) for _ in range(r.randint(1, 9))) for _ in range(r.randint(1, 4)))
+            if said and r.random() < 0.7:
+                words = r.choice(said).split()
+                k = r.randrange(len(words))
+                text = "> " + " ".join(words[k : k + r.randint(1, 14)]) + "\n" + text
+            rows.append((conv, turn, "u", text))
+            said.append(quote_links.parse(text).body)
+    want = {}
+    for conv, turn, _, text in rows:
+        quotes = quote_links.parse(text).passages
+        before = [quote_links.parse(t).body for c, n, _, t in rows if c == conv and n < turn]
+        parent = turn - 1 if turn else None
+        for _, q in quotes:
+            plain = " ".join(q.split())
+            whole = [k for k, b in enumerate(before) if plain in {" ".join(x.split()) for x in (b, *b.split("\n"), *("\n".join(b.split("\n")[i:j]) for i in range(5) for j in range(i + 1, 6) if len(" ".join(b.split("\n")[i:j]).split()) < 5))}]
+            ws = set(quote_links.windows(q))
+            first = [min((k for k, b in enumerate(before) if w in quote_links.windows(b)), default=None) for w in ws]
+            if whole:
+                parent = whole[0]
+            elif ws and None not in first and ws <= set(quote_links.windows(before[max(first)])):
+                parent = max(first)
+        want[conv, turn] = parent
+    got = {(x["conv_id"], x["turn"]): x["parent_turn"] for x in quote_links.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)).collect()}
+    assert got == want
 
 
 def test_links_and_reply_order(spark):
