@@ -173,6 +173,20 @@ def point_triangle_distance(p: tuple, a: tuple, b: tuple, c: tuple) -> Column:
 TRIANGLE = [f"{k}{x}" for k in "abc" for x in AXES]
 
 
+def _square_distance() -> Column:
+    """Square of the distance from a point to a triangle a, b, c, by the products of p - a (_p), b - a (_b) and c - a (_c), and
+    the height _h over the plane: over the inside it is the height's, else that to the nearest edge."""
+    bb, bc, cc, pb, pc, pp = (F.col(f"_{k}") for k in ("bb", "bc", "cc", "pb", "pc", "pp"))
+
+    def edge(p, d, size):  # p: square of the way from the edge's start, d: its product with the edge
+        t = F.when(size > 0, F.least(F.greatest(d / size, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+        return p - 2 * t * d + t * t * size
+
+    v, w, whole = cc * pb - bc * pc, bb * pc - bc * pb, bb * cc - bc * bc
+    edges = F.least(edge(pp, pb, bb), edge(pp, pc, cc), edge(pp - 2 * pb + bb, pc - pb - bc + bb, cc - 2 * bc + bb))
+    return F.when((whole > 1e-28) & (v >= 0) & (w >= 0) & (v + w <= whole), F.col("_h") * F.col("_h")).otherwise(edges)
+
+
 def point_mesh_distance(pts: DataFrame, tri: DataFrame, by: list[str], key: str, limit: float, parts: int = 8) -> DataFrame:
     """(by, key, distance): distance from each point to its mesh, up to `limit`; null if nothing is that near.
 
@@ -188,7 +202,9 @@ def point_mesh_distance(pts: DataFrame, tri: DataFrame, by: list[str], key: str,
     extent = F.greatest(*[F.col(f"_hi{x}") - F.col(f"_lo{x}") for x in AXES])
     n = cross(minus(corner[3:6], corner[:3]), minus(corner[6:], corner[:3]))
     size = F.sqrt(n[0] * n[0] + n[1] * n[1] + n[2] * n[2])
-    box = box.where(extent < float("inf")).withColumns({"_level": F.ceil(F.log2(extent / limit)).cast("int"), **{f"_n{x}": F.when(size > 0, n[i] / size).otherwise(0.0) for i, x in enumerate(AXES)}})
+    side = {f"_e{k}{x}": F.col(f"{k}{x}") - F.col(f"a{x}") for k in "bc" for x in AXES}
+    dots = {f"_{i}{j}": sum((side[f"_e{i}{x}"] * side[f"_e{j}{x}"] for x in AXES), F.lit(0.0)) for i, j in ("bb", "bc", "cc")}
+    box = box.where(extent < float("inf")).withColumns({**side, **dots, "_level": F.ceil(F.log2(extent / limit)).cast("int"), **{f"_n{x}": F.when(size > 0, n[i] / size).otherwise(0.0) for i, x in enumerate(AXES)}})
     box = stored(box.withColumn("_part", F.pmod(F.xxhash64(*TRIANGLE), F.lit(parts)).cast("int")), "triangles")
     levels = [r["_level"] for r in box.select("_level").distinct().collect()]  # one a power of two of the extents
     edge = lambda level: F.lit(limit) * F.pow(F.lit(2.0), level)
@@ -201,9 +217,11 @@ def point_mesh_distance(pts: DataFrame, tri: DataFrame, by: list[str], key: str,
     met = asked.join(cells, [*by, "_level", "_part", *[f"_c{x}" for x in AXES]])
     slab = sum((F.col(f"_n{x}") * (F.col(x) - F.col(f"a{x}")) for x in AXES), F.lit(0.0))
     inside = reduce(lambda a, b: a & b, [F.col(x).between(F.col(f"_lo{x}"), F.col(f"_hi{x}")) for x in AXES])
-    d = point_triangle_distance(AXES, *[tuple(TRIANGLE[3 * k : 3 * k + 3]) for k in range(3)])
     # a margin for the rounding of the plane's distance
-    near = met.where(inside & (F.abs(slab) <= limit * (1 + 1e-6))).groupBy(*by, key).agg(F.min(d).alias("distance"))
+    met = met.where(inside & (F.abs(slab) <= limit * (1 + 1e-6)))
+    to = {x: F.col(x) - F.col(f"a{x}") for x in AXES}
+    met = met.select(*by, key, "_bb", "_bc", "_cc", slab.alias("_h"), *[sum((v * F.col(f"_e{k}{x}") for x, v in to.items()), F.lit(0.0)).alias(f"_p{k}") for k in "bc"], sum((v * v for v in to.values()), F.lit(0.0)).alias("_pp"))
+    near = met.groupBy(*by, key).agg(F.sqrt(F.greatest(F.min(_square_distance()), F.lit(0.0))).alias("distance"))
     return pts.select(*by, key).join(near.where(F.col("distance") <= limit), [*by, key], "left")
 
 
