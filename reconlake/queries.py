@@ -149,10 +149,13 @@ def i09_check_order(s, d):
     return I.check_order(a, b, "object_id", "position", "sample_id")
 
 
-@query("SELECT user_id, CASE WHEN count(*) FILTER (event_type = 'view') = 0 THEN 'view' ELSE '' END AS missing, 'signup' AS extra FROM events WHERE event_id % 3 = 0 GROUP BY 1 HAVING count(*) FILTER (event_type = 'signup') > 0 AND count(DISTINCT event_type) FILTER (event_type IN ('click', 'error', 'purchase')) = 3")
+_WANTED = "['click', 'error', 'purchase', 'view']"
+
+
+@query(f"SELECT sample, array_to_string([w FOR w IN {_WANTED} IF NOT list_contains(seen, w)], ',') AS missing, CASE WHEN list_contains(seen, 'signup') THEN 'signup' ELSE '' END AS extra FROM (SELECT event_id // 20 AS sample, list(DISTINCT event_type) AS seen FROM events GROUP BY 1) AS x WHERE missing <> '' OR extra <> ''")
 def i10_check_file_sets(s, d):
-    out = I.check_file_sets(proxy(s, d, "events").where("event_id % 3 = 0"), "user_id", "event_type", ["click", "error", "purchase", "view"])
-    return out.where("extra = 'signup' and missing in ('', 'view')")
+    files = proxy(s, d, "events").select(F.expr("event_id div 20").alias("sample"), "event_type")
+    return I.check_file_sets(files, "sample", "event_type", ["click", "error", "purchase", "view"])
 
 
 @query("SELECT sample_id, seed, arm, new_value, value AS old_value FROM (SELECT *, CASE WHEN sample_id % 9 = 0 THEN value + 0.5 WHEN sample_id % 9 = 1 THEN NULL ELSE value + 0.0000001 END AS new_value FROM {pairs}) AS x WHERE sample_id % 9 < 2")
@@ -168,10 +171,11 @@ def i12_check_step_log(s, d):
     return I.check_step_log(proxy(s, d, "conversations").where("(conv_id + turn) % 11 <> 3"), "conv_id", "turn", 0)
 
 
-@query("SELECT count(*) AS steps, round(max(abs(v - w)), 6) AS max_diff, round(avg(abs(v - w)), 6) AS mean_diff, bool_and(v = w) AS identical FROM (SELECT event_id, value AS v, CASE WHEN event_id % 100 = 0 THEN value + 1 ELSE value END AS w FROM events WHERE event_id < 5000) AS x")
+@query("SELECT count(*) AS steps, round(max(abs(v - w)), 6) AS max_diff, round(avg(abs(v - w)), 6) AS mean_diff, bool_and(v = w) AS identical FROM (SELECT event_id, value AS v, CASE WHEN event_id % 100 = 0 THEN value + 1 ELSE value END AS w FROM events WHERE event_id <= (SELECT max(event_id) // 2 FROM events)) AS x")
 def i13_compare_prefix(s, d):
     a = proxy(s, d, "events")
-    b = a.where("event_id < 5000").withColumn("value", F.when(F.expr("event_id % 100 = 0"), F.col("value") + 1).otherwise(F.col("value")))
+    half = a.agg(F.expr("max(event_id) div 2").alias("half"))  # the second run stopped half-way
+    b = a.join(F.broadcast(half), F.col("event_id") <= F.col("half")).withColumn("value", F.when(F.expr("event_id % 100 = 0"), F.col("value") + 1).otherwise(F.col("value")))
     return r6(I.compare_prefix(a, b, "event_id", "value"))
 
 
@@ -334,10 +338,10 @@ def p20_size_gate(s, d):
     return P.size_gate(proxy(s, d, "assets").withColumn("extent", F.col("size") / 50), "extent", "price", 0.1, 0.8, 1000).select("asset")
 
 
-@query("SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) FILTER (event_type IN ('click', 'error')) AS remove FROM events WHERE event_id % 7 = 0 GROUP BY 1 HAVING count(*) FILTER (event_type IN ('click', 'error')) > 0")
+@query("SELECT scene, string_agg(DISTINCT event_type, ',' ORDER BY event_type) FILTER (event_type IN ('click', 'error')) AS remove, coalesce(string_agg(DISTINCT event_type, ',' ORDER BY event_type) FILTER (event_type NOT IN ('click', 'error')), '') AS keep, count(*) FILTER (event_type = 'click') = 0 AS audit_agrees FROM (SELECT event_id // 5 AS scene, event_type FROM events) AS x GROUP BY 1 HAVING count(*) FILTER (event_type IN ('click', 'error')) > 0")
 def p21_repair_list(s, d):
-    sets = proxy(s, d, "events").where("event_id % 7 = 0").groupBy("user_id").agg(F.collect_set("event_type").alias("seen"))
-    return P.repair_list(sets.withColumn("audit", F.array(F.lit("error"))), ["click", "error"], "user_id", "seen", "audit").select("user_id", "remove")
+    sets = proxy(s, d, "events").groupBy(F.expr("event_id div 5").alias("scene")).agg(F.collect_set("event_type").alias("seen"))
+    return P.repair_list(sets.withColumn("audit", F.array(F.lit("error"))), ["click", "error"], "scene", "seen", "audit")
 
 
 # ---- joins
@@ -668,9 +672,9 @@ def f01_hash_draws(s, d):
     return proxy(s, d, "events").select("event_id", X.hash_rank("seed", "event_id").alias("rank"), X.stable_seed("seed", "event_id").alias("seed64"), X.hash_uniform("seed", "event_id").alias("uniform"), X.selection_digest("event_type", "user_id").alias("digest"))
 
 
-@query("SELECT event_id, lpad(CAST(user_id AS VARCHAR), 6, '0') || '_' || lpad(CAST(event_id AS VARCHAR), 6, '0') || '_000007' AS target, user_id AS scene_back FROM events WHERE event_id < 1000000")
+@query("SELECT event_id, printf('%06d_%06d_000007', user_id, event_id) AS target, user_id AS scene_back FROM events")
 def f05_target_id(s, d):
-    rows = proxy(s, d, "events").where("event_id < 1000000").select("event_id", X.target_id("user_id", "event_id", F.lit(7)).alias("target"))
+    rows = proxy(s, d, "events").select("event_id", X.target_id("user_id", "event_id", F.lit(7)).alias("target"))
     return rows.withColumn("scene_back", X.parse_id("target")["scene_id"])
 
 
