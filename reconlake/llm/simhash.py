@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 from itertools import combinations
 
 import numpy as np
@@ -140,18 +141,19 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
 
 
-class _Words(dict):
-    """XXH64 of words, remembered for short ones, up to `most`."""
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+#: Bytes of a text that are hashed at once; words of over LONG_WORD bytes are hashed by XXH64 alone.
+SLICE, LONG_WORD = 1 << 16, 64
 
-    most = 500_000
 
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word, 42)
-        if len(word) <= 64:
-            if len(self) >= self.most:
-                self.clear()
-            self[word] = h
-        return h
+@lru_cache(maxsize=1)
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Blanks among the bytes, a random odd number for each byte (0 for blanks), and the powers of an odd number with their inverses."""
+    blank = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+    value = np.random.default_rng(42).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+    up, down = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+    power = lambda x: np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(SLICE, x, np.uint64))), dtype=np.uint64)
+    return blank, np.where(blank, np.uint64(0), value), power(up), power(down)
 
 
 def _windows(hashes: np.ndarray, shingle: int) -> np.ndarray:
@@ -163,20 +165,43 @@ def _windows(hashes: np.ndarray, shingle: int) -> np.ndarray:
     return _mixed(h)
 
 
-def _word_hashes(text: bytes, known: _Words) -> np.ndarray:
-    words = text.lower().split()
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+def _word_hashes(text: bytes) -> np.ndarray:
+    """A hash of each word in order, A-Z as a-z: sums of its bytes' numbers times powers by their place in the word, mixed."""
+    blank, value, up, down = _tables()
+    text = text.lower()
+    out, at = [np.zeros(0, np.uint64)], 0
+    while at < len(text):
+        x = np.frombuffer(text, np.uint8, min(SLICE, len(text) - at), at)
+        edge = np.flatnonzero(np.diff(blank[x], prepend=True, append=True))
+        if at + len(x) < len(text) and not blank[x[-1]]:  # the last word may go on: leave it, or take it whole if there is none before it
+            if len(edge) == 2 and edge[0] == 0:
+                end = _GAP.search(text, at)
+                word = text[at : end.start() if end else len(text)]
+                out.append(np.array([xxhash.xxh64_intdigest(word, 42)], np.uint64))
+                at += len(word)
+                continue
+            last, edge = int(edge[-2]), edge[:-2]
+        else:
+            last = len(x)
+        if len(edge):
+            start, end = edge[::2], edge[1::2]
+            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value[x] * up[: len(x)], dtype=np.uint64)))
+            h = _mixed((sums[end] - sums[start]) * down[start])
+            for k in np.flatnonzero(end - start > LONG_WORD):
+                h[k] = xxhash.xxh64_intdigest(text[at + int(start[k]) : at + int(end[k])], 42)
+            out.append(h)
+        at += last
+    return np.concatenate(out)
 
 
 def _sketches(texts: DataFrame, shingle: int) -> DataFrame:
     """(t, size, fps): number of distinct windows of `shingle` words, and two fingerprints over windows of 3 words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Words()
         for b in batches:
             size, fps = [], []
             for text in b.column(1).cast(pa.binary()):
-                hashes = _word_hashes(text.as_py(), known)
+                hashes = _word_hashes(text.as_py())
                 size.append(len(np.unique(_windows(hashes, shingle))))
                 h = _windows(hashes, 3)
                 fps.append([_signed(_majority(h)), _signed(_majority(_mixed(h)))])
@@ -189,9 +214,8 @@ def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
     """(t, set): distinct hashes of the windows of `shingle` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Words()
         for b in batches:
-            sets = [np.unique(_windows(_word_hashes(x.as_py(), known), shingle)).view(np.int64) for x in b.column(1).cast(pa.binary())]
+            sets = [np.unique(_windows(_word_hashes(x.as_py()), shingle)).view(np.int64) for x in b.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["t", "set"])
 
     return texts.mapInArrow(run, "t long, set array<long>")

@@ -264,3 +264,19 @@ def test_plan_is_best_fit_over_counts():
             parts.sort()
             assert parts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:])) and sum(parts[-1]) <= 100
         assert len(bins) <= 1.23 * sum(lengths) / 100 + 2
+
+
+def test_word_hashes_tell_words_apart_at_any_length():
+    """Equal words get equal hashes and others don't: across slices, over long blanks, and for words longer than a slice."""
+    r = random.Random(3)
+    for n in range(40):
+        words = [bytes(r.choice(b"abAB\xc3\xa9") for _ in range(r.choice((1, 2, 3, 8, 63, 64, 65, 200)))) for _ in range(r.randint(0, 40))]
+        if n % 10 == 0:
+            words += [b"x%d" % (k % 900) for k in range(simhash.SLICE // 3)] + [b"A" * (simhash.SLICE + 5), b"a" * simhash.SLICE, b"a" * (simhash.SLICE + 5)]
+        text = b"".join(w + r.choice((b" ", b"\n", b"\t \x0b", b"\r\n")) for w in words)
+        text = r.choice((b"", b" ", b" " * (simhash.SLICE + 3))) + r.choice((text, text.rstrip()))
+        split = text.lower().split()
+        got = simhash._word_hashes(text).tolist()
+        assert len(got) == len(split)
+        named = dict(zip(split, got))
+        assert [named[w] for w in split] == got and len(set(named.values())) == len(named)
