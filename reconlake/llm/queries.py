@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reconlake.llm import ann_tree, bpe, packing, quality_rules, quote_links, secret_scan, simhash, suffix_dedup, token_counts, warc
+from reconlake.llm import ann_tree, bpe, language_id, packing, quality_rules, quote_links, secret_scan, simhash, suffix_dedup, token_counts, warc
 from reconlake.plans.lineage import importable
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -65,6 +65,10 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_quality_rules, op3_secret_scans, op4_ann_kmeans_tree, op5_warc_round_trip, op6_trie_token_counts, op7_quotation_linking, op8_bpe_round_trip, op9_best_fit_packing, op10_simhash_near_dedup)}
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_quality_rules, op3_secret_scans, op4_ann_kmeans_tree, op5_warc_round_trip, op6_trie_token_counts, op7_quotation_linking, op8_bpe_round_trip, op9_best_fit_packing, op10_simhash_near_dedup, op11_language_id)}
 
 SQL: dict[str, str] = {}
