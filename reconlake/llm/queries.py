@@ -6,11 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reconlake.llm import ann_tree, bpe, language_id, packing, quality_rules, quote_links, secret_scan, simhash, suffix_dedup, token_counts, warc
+from reconlake.llm import ann_tree, bpe, language_id, packing, quality_rules, quote_links, secret_scan, simhash, suffix_dedup, token_counts, token_links, warc
 from reconlake.plans.lineage import importable
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
-UNIGRAM = public_tokenizers.path("piece_bpe_32k.model")
+UNIGRAM = PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,11 @@ def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_quality_rules, op3_secret_scans, op4_ann_kmeans_tree, op5_warc_round_trip, op6_trie_token_counts, op7_quotation_linking, op8_bpe_round_trip, op9_best_fit_packing, op10_simhash_near_dedup, op11_language_id)}
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_links.align(_table(spark, sf_dir, "documents"), TOKENIZER, PIECES)
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_quality_rules, op3_secret_scans, op4_ann_kmeans_tree, op5_warc_round_trip, op6_trie_token_counts, op7_quotation_linking, op8_bpe_round_trip, op9_best_fit_packing, op10_simhash_near_dedup, op11_language_id, op12_cross_tokenizer_alignment)}
 
 SQL: dict[str, str] = {}
