@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reconlake.llm import ann_tree, bpe, language_id, packing, quality_rules, quote_links, secret_scan, simhash, suffix_dedup, token_counts, token_links, warc
+from reconlake.llm import ann_tree, bpe, language_id, packing, phrases, quality_rules, quote_links, secret_scan, simhash, suffix_dedup, token_counts, token_links, warc
 from reconlake.plans.lineage import importable
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -74,6 +74,46 @@ def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
     return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_quality_rules, op3_secret_scans, op4_ann_kmeans_tree, op5_warc_round_trip, op6_trie_token_counts, op7_quotation_linking, op8_bpe_round_trip, op9_best_fit_packing, op10_simhash_near_dedup, op11_language_id, op12_cross_tokenizer_alignment)}
-
-SQL: dict[str, str] = {}
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_quality_rules, op3_secret_scans, op4_ann_kmeans_tree, op5_warc_round_trip, op6_trie_token_counts, op7_quotation_linking, op8_bpe_round_trip, op9_best_fit_packing, op10_simhash_near_dedup, op11_language_id, op12_cross_tokenizer_alignment, op13_phrase_collocations)}
+
+_WORDS = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, p
+    FROM (SELECT lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents)
+), words AS (SELECT lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces)
+"""
+
+SQL: dict[str, str] = {
+    "op13_phrase_collocations": _WORDS
+    + """
+, spots AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS k FROM words)
+, phrases AS (
+    SELECT lang, size, phrase, count(*) AS f
+    FROM (SELECT lang, size, CASE WHEN k + size - 1 <= len(w) THEN array_to_string(w[k : k + size - 1], ' ') END AS phrase FROM spots, (SELECT unnest([1, 2, 3]) AS size))
+    WHERE phrase IS NOT NULL GROUP BY ALL
+)
+, totals AS (SELECT lang, sum(f) AS n FROM phrases WHERE size = 1 GROUP BY lang)
+, candidates AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM phrases WHERE size > 1 AND f >= 10)
+, cuts AS (
+    SELECT c.lang, c.phrase, c.a, c.k, l.f AS l, r.f AS r, (1000000::HUGEINT * c.a * c.a) // (l.f::HUGEINT * r.f) AS score
+    FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates) c
+    JOIN phrases l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1 : c.k], ' ')
+    JOIN phrases r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[c.k + 1 : c.size], ' ')
+)
+, lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+, longer AS (
+    SELECT lang, phrase, max(a) AS longer
+    FROM (SELECT lang, a, array_to_string(w[1:2], ' ') AS phrase FROM candidates WHERE size = 3 UNION ALL SELECT lang, a, array_to_string(w[2:3], ' ') FROM candidates WHERE size = 3)
+    GROUP BY ALL
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+    SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, encode(b.phrase)) AS rank, b.phrase, b.a, b.l, b.r, t.n::BIGINT AS n, b.score::BIGINT AS score
+    FROM lowest b JOIN totals t ON t.lang = b.lang LEFT JOIN longer g ON g.lang = b.lang AND g.phrase = b.phrase
+    WHERE NOT coalesce(100 * g.longer >= 50 * b.a, false)
+) WHERE rank <= 2000
+"""
+}
