@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reconlake.functions.expr import cross, hash_normal, hash_rank, hash_uniform, tri_area2, tri_normal
-from reconlake.operators.spatial import AXES, TRIANGLE, candidate_pairs, nn_join, running_total
+from reconlake.operators.neighbours import AXES, nn_join
+from reconlake.operators.spatial import TRIANGLE, candidate_pairs, running_total
 
 _CORNERS = [tuple(TRIANGLE[3 * k : 3 * k + 3]) for k in range(3)]
 

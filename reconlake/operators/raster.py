@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from reconlake.functions.expr import hash_normal, unproject
 from reconlake.operators.select import midpoint_strata
-from reconlake.operators.spatial import nn_join
+from reconlake.operators.neighbours import nn_join
 
 KEY = ["sample_id", "v", "u"]
 
@@ -137,7 +137,7 @@ def boundary_p95(a: DataFrame, b: DataFrame) -> DataFrame:
     """95 % quantile of pixel distances from each mask's boundary to the other's; null if either is empty."""
     x = boundary(a).withColumn("p", F.concat_ws("_", "v", "u"))
     y = boundary(b).withColumn("p", F.concat_ws("_", "v", "u"))
-    way = lambda s, t, name: nn_join(s, t.withColumnRenamed("p", "o"), ["sample_id"], "p", "o", ("v", "u"), 1.0).groupBy("sample_id").agg(F.percentile("distance", F.lit(0.95)).alias(name))
+    way = lambda s, t, name: nn_join(s, t.withColumnRenamed("p", "o"), ["sample_id"], "p", "o", ("v", "u")).groupBy("sample_id").agg(F.percentile("distance", F.lit(0.95)).alias(name))
     return way(x, y, "a_to_b").join(way(y, x, "b_to_a"), "sample_id", "full_outer")
 
 
@@ -188,7 +188,7 @@ def mask_prompt(px: DataFrame, height: int, width: int, margin: float = 0.1) ->
     grown = box.select("sample_id", F.greatest(F.col("v0") - mv, F.lit(0.0)).alias("top"), F.least(F.col("v1") + mv, F.lit(float(height - 1))).alias("bottom"), F.greatest(F.col("u0") - mu, F.lit(0.0)).alias("left"), F.least(F.col("u1") + mu, F.lit(float(width - 1))).alias("right"))
     inside = px.where("mask").withColumn("p", F.col("v") * width + F.col("u"))
     outside = px.where("not mask").withColumn("o", F.col("v") * width + F.col("u"))
-    far = nn_join(inside, outside, ["sample_id"], "p", "o", ("v", "u"), 1.0)
+    far = nn_join(inside, outside, ["sample_id"], "p", "o", ("v", "u"))
     best = far.groupBy("sample_id").agg(F.max(F.struct("distance", (-F.col("p")).alias("n")))["n"].alias("_n"))
     return grown.join(best, "sample_id").select("sample_id", "top", "bottom", "left", "right", F.floor(-F.col("_n") / width).alias("v"), (-F.col("_n") % width).alias("u"))
 

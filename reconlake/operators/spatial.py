@@ -1,4 +1,4 @@
-"""Spatial joins: nearest neighbours, radius tests, boxes, triangles, rays."""
+"""Spatial joins: boxes, poses, triangles, rays; nearest neighbours are in `neighbours`."""
 
 from __future__ import annotations
 
@@ -8,89 +8,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reconlake.functions.expr import _c, cross, minus
+from reconlake.operators.neighbours import AXES, nn_join
 from reconlake.plans.lineage import stored
 
-AXES = ("x", "y", "z")
-
-
-def _around(axes: tuple[str, ...], r) -> Column:
-    """The cells of size r that are at most one away, as an array of structs."""
-    cells = [F.struct(*[F.lit(d).alias(a) for a, d in zip(axes, step)]) for step in _steps(len(axes))]
-    at = F.struct(*[F.floor(F.col(a) / r).alias(a) for a in axes])
-    return F.transform(F.array(*cells), lambda d: F.struct(*[(at[a] + d[a]).alias(f"cell_{a}") for a in axes]))
-
 
 def _steps(n: int) -> list[tuple[int, ...]]:
     return [()] if not n else [(d, *rest) for d in (-1, 0, 1) for rest in _steps(n - 1)]
 
 
-def _cell(axes: tuple[str, ...], r) -> list[Column]:
-    return [F.floor(F.col(a) / r).alias(f"cell_{a}") for a in axes]
-
-
-def _apart(axes: tuple[str, ...]) -> Column:
-    return F.sqrt(reduce(lambda p, q: p + q, [(F.col(a) - F.col(f"b{a}")) * (F.col(a) - F.col(f"b{a}")) for a in axes]))
-
-
-def nn_join(a: DataFrame, b: DataFrame, by: list[str], key: str, other: str, axes: tuple[str, ...] = AXES, start: float | None = None) -> DataFrame:
-    """(by, key, distance, other): for each point of a the nearest point of b in its group, ties to the smaller id; exact.
-
-    Points are looked up in grid cells of a radius that doubles from `start` (by default a few neighbours' distance) until the
-    nearest found is within it. Points of b at one place count once, with the smallest id. Points of a whose group has none in b
-    get nulls. Non-finite coordinates are not allowed.
-    """
-    sites = b.groupBy(*by, *axes).agg(F.min(other).alias(other))
-    sites = stored(sites, "sites")
-    left = stored(a.select(*by, key, *axes), "points")
-    known = left.join(sites.select(*by).distinct(), by, "left_semi")
-    box = sites.select(*by, *axes).unionByName(known.select(*by, *axes)).agg(*[f(x).alias(f"{k}{x}") for x in axes for k, f in (("lo", F.min), ("hi", F.max))], F.count("*").alias("n"), F.count_distinct(F.struct(*by, F.lit(0))).alias("groups")).first()
-    out = left.join(sites.select(*by).distinct(), by, "left_anti").select(*by, key, F.lit(None).cast("double").alias("distance"), F.lit(None).cast(dict(b.dtypes)[other]).alias(other))
-    if not box["n"]:
-        return out
-    widest = max(max(box[f"hi{x}"] - box[f"lo{x}"] for x in axes), 1e-9)
-    r = start or widest / (box["n"] / box["groups"]) ** (1 / (len(axes) - 0.5))  # between points in a volume and on a surface
-    todo = known
-    while True:
-        last = r >= widest  # then all cells of a group are near enough to each other for every point to be met
-        cells = [f"cell_{x}" for x in axes]
-        if last:
-            near = todo.join(sites.select(*by, *[F.col(x).alias(f"b{x}") for x in axes], other), by)
-        else:
-            asked = todo.withColumn("_c", F.explode(_around(axes, r))).select(*by, key, *axes, "_c.*")
-            near = asked.join(sites.select(*by, *_cell(axes, r), *[F.col(x).alias(f"b{x}") for x in axes], other), [*by, *cells])
-        best = near.groupBy(*by, key).agg(F.min(F.struct(_apart(axes).alias("d"), F.col(other).alias("o"))).alias("_m"))
-        best = best.select(*by, key, F.col("_m.d").alias("distance"), F.col("_m.o").alias(other))
-        found = stored(best if last else best.where(F.col("distance") <= r), "nearest")
-        out = out.unionByName(found)
-        if last:
-            return out
-        todo = stored(todo.join(found.select(*by, key), [*by, key], "left_anti"), "left")
-        if not todo.limit(1).count():
-            return out
-        r *= 2
-
-
-def within(a: DataFrame, b: DataFrame, by: list[str], r: float, axes: tuple[str, ...] = AXES) -> DataFrame:
-    """Points of a that have a point of b of their group within r."""
-    key = F.struct(*by, *axes)
-    asked = a.withColumn("_p", F.to_json(key)).withColumn("_c", F.explode(_around(axes, r))).select("_p", *by, *axes, "_c.*").distinct()
-    sites = b.select(*by, *_cell(axes, r), *[F.col(x).alias(f"b{x}") for x in axes]).distinct()
-    hit = asked.join(sites, [*by, *[f"cell_{x}" for x in axes]]).where(_apart(axes) <= r).select("_p").distinct()
-    return a.withColumn("_p", F.to_json(key)).join(hit, "_p", "left_semi").drop("_p")
-
-
 def candidate_pairs(assets: DataFrame, key: str, sizes: list[str], tol: float) -> DataFrame:
     """(a, b) with a < b whose sorted extents differ by at most tol each. Extents are dealt into cells of tol along the largest."""
     s = F.array_sort(F.array(*sizes))
     rows = assets.select(F.col(key).alias("k"), *[F.get(s, F.lit(i)).alias(f"s{i}") for i in range(len(sizes))])
-    top = f"s{len(sizes) - 1}"
     cells = [F.floor(F.col(f"s{i}") / tol) for i in range(len(sizes))]
     at = F.struct(*[c.alias(f"q{i}") for i, c in enumerate(cells)])
     around = F.transform(F.array(*[F.struct(*[F.lit(d).alias(f"q{i}") for i, d in enumerate(st)]) for st in _steps(len(sizes))]), lambda d: F.struct(*[(at[f"q{i}"] + d[f"q{i}"]).alias(f"q{i}") for i in range(len(sizes))]))
     left = rows.withColumn("_c", F.explode(around)).select("k", *[f"s{i}" for i in range(len(sizes))], "_c.*")
     right = rows.select(F.col("k").alias("b"), *[F.col(f"s{i}").alias(f"t{i}") for i in range(len(sizes))], *[c.alias(f"q{i}") for i, c in enumerate(cells)])
     close = reduce(lambda p, q: p & q, [F.abs(F.col(f"s{i}") - F.col(f"t{i}")) <= tol for i in range(len(sizes))])
-    assert top
     return left.join(right, [f"q{i}" for i in range(len(sizes))]).where(F.col("k") < F.col("b")).where(close).select(F.col("k").alias("a"), "b")
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reconlake.functions.expr import fscore, pixel_of, project
-from reconlake.operators.spatial import nn_join, patch_join, within
+from reconlake.operators.neighbours import nn_join, within
+from reconlake.operators.spatial import patch_join
 
 THRESHOLDS = (0.002, 0.005, 0.010)
 

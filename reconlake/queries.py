@@ -12,6 +12,7 @@ from reconlake.functions import expr as X
 from reconlake.functions import udf as U
 from reconlake.operators import integrity as I
 from reconlake.operators import mesh as G
+from reconlake.operators import neighbours as N
 from reconlake.operators import raster as R
 from reconlake.operators import rules as P
 from reconlake.operators import select as W
@@ -363,12 +364,12 @@ def j05_candidate_pairs(s, d):
 @query("SELECT a.cloud, a.point_id, round(min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2)), 6) AS distance FROM {even} AS a JOIN {odd} AS b USING (cloud) GROUP BY 1, 2")
 def j06_nn_join(s, d):
     b = points(s, d, 1).withColumnRenamed("point_id", "other")
-    return r6(J.nn_join(points(s, d, 0), b, ["cloud"], "point_id", "other").select("cloud", "point_id", "distance"))
+    return r6(N.nn_join(points(s, d, 0), b, ["cloud"], "point_id", "other").select("cloud", "point_id", "distance"))
 
 
 @query("SELECT a.cloud, a.point_id FROM {even} AS a WHERE EXISTS (SELECT 1 FROM {odd} AS b WHERE a.cloud = b.cloud AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) <= 0.05)")
 def j07_within(s, d):
-    return J.within(points(s, d, 0), points(s, d, 1), ["cloud"], 0.05).select("cloud", "point_id")
+    return N.within(points(s, d, 0), points(s, d, 1), ["cloud"], 0.05).select("cloud", "point_id")
 
 
 @query("SELECT a.event_type AS sample_id, a.point, count(*) AS n, round(sum(b.depth), 6) AS total FROM (SELECT event_type, event_id AS point, event_id % 30 AS v, event_id % 24 AS u FROM events) AS a JOIN {px} AS b ON a.event_type = b.sample_id AND b.v BETWEEN a.v - 1 AND a.v + 1 AND b.u BETWEEN a.u - 1 AND a.u + 1 GROUP BY 1, 2")
