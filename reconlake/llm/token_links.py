@@ -8,8 +8,9 @@ groups gives those that share a group, a stretch between two places where tokens
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -24,7 +25,7 @@ from reconlake.llm.packing import _Ids
 from reconlake.plans.lineage import stored
 
 #: Characters of texts whose parts are looked up together, and parts that a worker remembers.
-TOGETHER, REMEMBERED = 1 << 20, 250_000
+TOGETHER, REMEMBERED = 2 << 20, 250_000
 
 
 class Rows(NamedTuple):
@@ -145,30 +146,59 @@ class Tokenizers:
 
     def parts(self, texts: list[str]) -> list[Part | None]:
         """One for each non-empty text; None where the bytes of one kind's tokens aren't those of a space and the text."""
-        ids_a, ids_b = [self.a._part(" " + t) for t in texts], self.b.encode(texts, num_threads=1)
-        same = []
-        for t, a, b in zip(texts, ids_a, ids_b):
-            raw = (" " + t).encode("utf-8", "surrogatepass")
-            same.append(all(b"".join(v.get(i, b"\x00" * (len(raw) + 1)) for i in ids) == raw for v, ids in ((self.bytes_a, a), (self.bytes_b, b))))
-        kept = [k for k, x in enumerate(same) if x]
+        ids = [self.a._part(" " + t) for t in texts], self.b.encode(texts, num_threads=1)
+        raw = [(" " + t).encode("utf-8", "surrogatepass") for t in texts]
         out: list[Part | None] = [None] * len(texts)
-        if not kept:
-            return out
+        kept = range(len(texts))
+        if not self._same(ids, raw, kept):
+            kept = [k for k in kept if self._same(ids, raw, [k])]
+            if not kept:
+                return out
         # the kept texts follow each other as one sequence of bytes; where one ends, tokens of both kinds end
-        all_a, all_b = (np.concatenate([np.array(ids[k], np.int64) for k in kept]) for ids in (ids_a, ids_b))
+        all_a, all_b = (np.fromiter(chain.from_iterable(own[k] for k in kept), np.int64) for own in ids)
         both = Alignment.of(self.len_a[all_a], self.len_b[all_b])
         link_a, link_b = both.end_links()
-        numbers = np.searchsorted(self.pairs, self.size_b * all_a[link_a] + all_b[link_b]).astype("<i4")
-        joined = [[",".join(map(str, ids[m.column[s:e]].tolist())) for s, e in zip(m.start[:-1].tolist(), m.start[1:].tolist())] for ids, m in zip((all_a, all_b), both.members())]
-        groups = [f"{x}|{y}" for x, y in zip(*joined)]
-        last = np.cumsum([sum(map(self.len_a.item, ids_a[k])) for k in kept])
-        at_group, at_link = np.searchsorted(both.cuts, last) + 1, np.searchsorted(both.end_a[link_a], last, "right")
+        numbers = np.searchsorted(self.pairs, self.size_b * all_a[link_a] + all_b[link_b]).astype("<i4").tobytes()
+        last = np.cumsum([len(raw[k]) for k in kept])
+        at_group, at_link = np.searchsorted(both.cuts, last) + 1, 4 * np.searchsorted(both.end_a[link_a], last, "right")
+        groups = self._listed(both, all_a, all_b, at_group)
         g = n = 0
-        for k, g2, n2 in zip(kept, at_group.tolist(), at_link.tolist()):
-            out[k] = Part(len(ids_a[k]), len(ids_b[k]), g2 - g, numbers[n:n2].tobytes(), ";".join(groups[g:g2]))
+        for k, g2, n2, text in zip(kept, at_group.tolist(), at_link.tolist(), groups):
+            out[k] = Part(len(ids[0][k]), len(ids[1][k]), g2 - g, numbers[n:n2], text)
             g, n = g2, n2
         return out
 
+    def _same(self, ids: tuple[list, list], raw: list[bytes], some: Sequence[int]) -> bool:
+        """True if the tokens of each of some texts give its bytes back, in both kinds."""
+        whole = b"".join(raw[k] for k in some)
+        for own, known, size in zip(ids, (self.bytes_a, self.bytes_b), (self.len_a, self.len_b)):
+            if b"".join(known.get(i, b"") for k in some for i in own[k]) != whole:
+                return False
+            ends = np.cumsum(size[np.fromiter(chain.from_iterable(own[k] for k in some), np.int64)])
+            count = np.cumsum([len(own[k]) for k in some])
+            if not np.array_equal(ends[count - 1], np.cumsum([len(raw[k]) for k in some])):
+                return False
+        return True
+
+    def _listed(self, both: Alignment, all_a: np.ndarray, all_b: np.ndarray, at_group: np.ndarray) -> list[str]:
+        """Groups as text for each text; at_group is how many groups there are up to its end. Tokens are read off the rows of groups x tokens."""
+        size, at, kind = [], [], []
+        for k, m in enumerate(both.members()):
+            size.append(np.diff(m.start))
+            at.append(m.column)
+            kind.append(2 * np.repeat(np.arange(len(both.cuts)), size[k]) + k)
+        order = np.argsort(np.concatenate(kind), kind="stable")
+        tokens = np.concatenate((all_a[at[0]], all_b[at[1]]))[order]
+        after = np.zeros(len(tokens), np.int64)  # a comma, a bar, a semicolon, or the end of a text
+        ends = np.cumsum(size[0] + size[1])
+        after[ends - size[1] - 1] = 1
+        after[ends - 1] = 2
+        after[ends[at_group - 1] - 1] = 3
+        flat = [""] * (2 * len(tokens))
+        flat[::2] = map(str, tokens.tolist())
+        flat[1::2] = np.array([",", "|", ";", "\n"], object)[after].tolist()
+        return "".join(flat).split("\n")
+
 
 @lru_cache(maxsize=2)
 def _tokenizers(byte_path: str, piece_path: str) -> Tokenizers:
