@@ -29,11 +29,11 @@ HEAVY, SEGMENTS = 1000, 1024
 #: Most languages, for what is shared by language.
 LANGUAGES = 4096
 #: Ways that the first rows of a language are chosen among at a time.
-FAN = 16
+FAN = 8
 
 _REST = ""  # the entry of a stripe for ends of pieces and for words that make no frequent phrase; no word is empty
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 0x2E if c in b".,;:!?" or 10 <= c <= 13 else 0x20 if c == 9 else c for c in range(256))
-_STRIPES = "lang string, prefix string, segment int, word array<string>, n array<long>"
+_STRIPES = "lang string, prefix string, segment int, word string, n string"  # words that follow, and how often, each joined by spaces
 
 
 def _words(raw: bytes) -> tuple[pa.Array, np.ndarray]:
@@ -133,7 +133,7 @@ def _block_stripes(lang: str, raw: bytes, size: int, frequent: _Filter, heavy: n
     nexts = known.take(pa.array(np.where(after < 0, len(words), after)))
     offsets = pa.array(np.append(new, len(after)).astype(np.int32))
     columns = [pa.array([lang] * len(new), pa.string()), prefixes.take(pa.array(prefix_of[new])), pa.array(segment[new], pa.int32())]
-    columns += [pa.ListArray.from_arrays(offsets, x) for x in (nexts, pa.array(n, pa.int64()))]
+    columns += [pc.binary_join(pa.ListArray.from_arrays(offsets, x), " ") for x in (nexts, pa.array(n).cast(pa.string()))]
     whole_batch = pa.RecordBatch.from_arrays(columns, names=["lang", "prefix", "segment", "word", "n"])
     for k in range(0, len(new), 20_000):
         yield whole_batch.slice(k, 20_000)
@@ -170,7 +170,7 @@ def _merged(stripes: DataFrame, least: int) -> DataFrame:
     Stripes are shuffled whole, by prefix and segment; both sums keep that partitioning.
     """
     by = ["lang", "prefix", "segment"]
-    entries = stripes.repartition(*by).select(*by, F.inline(F.arrays_zip("word", "n")))
+    entries = stripes.repartition(*by).select(*by, F.inline(F.arrays_zip(F.split("word", " ").alias("word"), F.split("n", " ").alias("n")))).withColumn("n", F.col("n").cast("long"))
     counts = entries.groupBy(*by, "word").agg(F.sum("n").alias("n"))
     folded = counts.withColumn("word", F.when(F.col("n") >= least, F.col("word")).otherwise(F.lit(_REST)))
     return folded.groupBy(*by, "word").agg(F.sum("n").alias("n")).drop("segment")
