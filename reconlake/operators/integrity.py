@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
+from itertools import repeat
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,16 +35,51 @@ def canonical_digest(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.withColumn("row_digest", F.sha2(F.to_json(F.struct(*sorted(cols)), {"ignoreNullFields": "false"}), 256))
 
 
+def ordered_digest(df: DataFrame, by: list[str], order: list[str], line: Column, between: bytes, digest: str, count: str) -> DataFrame:
+    """(by, digest, count): SHA-256 of each group's lines in order, and its rows.
+
+    Groups are brought together and sorted by Spark, which spills; a task reads them as one stream and holds one running hash, so a
+    group of any size needs no more memory than a small one. Null lines add nothing to the hash; null keys are a group.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, hashed, n, begun = None, hashlib.sha256(), 0, False
+
+        def row() -> pa.RecordBatch:
+            columns = [pa.array([v], t) for v, t in zip(key, types)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([hashed.hexdigest()]), pa.array([n], pa.int64())], names=[*by, digest, count])
+
+        types = []
+        for b in batches:
+            types = [c.type for c in b.columns[:-1]]
+            keys = zip(*[c.to_pylist() for c in b.columns[:-1]]) if by else repeat((), len(b))
+            for k, text in zip(keys, b.columns[-1].to_pylist()):
+                if k != key:
+                    if key is not None:
+                        yield row()
+                    key, hashed, n, begun = k, hashlib.sha256(), 0, False
+                n += 1
+                if text is not None:
+                    hashed.update(between + text.encode() if begun else text.encode())
+                    begun = True
+        if key is not None:
+            yield row()
+
+    rows = df.select(*by, *[F.col(c).alias(f"_o{k}") for k, c in enumerate(order)], line.alias("_line"))
+    rows = (rows.repartition(*by) if by else rows.coalesce(1)).sortWithinPartitions(*by, *[f"_o{k}" for k in range(len(order))])
+    kinds = dict(df.dtypes)
+    return rows.select(*by, "_line").mapInArrow(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in by], f"`{digest}` string", f"`{count}` long"]))
+
+
 def rowset_digest(df: DataFrame, by: list[str], digest: str) -> DataFrame:
-    """Hash of each group's sorted row digests. The groups are manifests, whose rows fit in one task."""
-    return df.groupBy(*by).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(digest)), "\n"), 256).alias("digest"), F.count("*").alias("n"))
+    """Hash of each group's sorted row digests, joined by line feeds, and its rows; rows without a digest count only there."""
+    return ordered_digest(df, by, [digest], F.col(digest), b"\n", "digest", "n")
 
 
 def bundle_digest(df: DataFrame, by: list[str], path: str, digest: str) -> DataFrame:
-    """Hash of a bundle's files as ordered path, NUL, digest, newline."""
-    item = F.struct(F.col(path).cast("string").alias("p"), F.col(digest).alias("d"))
-    lines = F.transform(F.array_sort(F.collect_list(item)), lambda x: F.concat(x["p"], F.lit("\0"), x["d"], F.lit("\n")))
-    return df.groupBy(*by).agg(F.sha2(F.array_join(lines, ""), 256).alias("bundle_sha256"), F.count("*").alias("files"))
+    """Hash of a bundle's files as ordered path, NUL, digest, newline; files without a path or digest only count."""
+    p = F.col(path).cast("string")
+    return ordered_digest(df.withColumn("_p", p), by, ["_p", digest], F.concat("_p", F.lit("\0"), F.col(digest), F.lit("\n")), b"", "bundle_sha256", "files")
 
 
 def array_digest(dtype: Column, shape: Column, content: Column) -> Column:

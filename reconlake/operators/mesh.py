@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from reconlake.functions.expr import cross, hash_normal, hash_rank, hash_uniform, tri_area2, tri_normal
 from reconlake.operators.neighbours import AXES, nn_join
+from reconlake.operators.quantiles import with_quantiles
 from reconlake.operators.spatial import TRIANGLE, candidate_pairs, running_total
 
 _CORNERS = [tuple(TRIANGLE[3 * k : 3 * k + 3]) for k in range(3)]
@@ -130,7 +131,7 @@ def near_duplicates(assets: DataFrame, pts: DataFrame, key: str, sizes: list[str
     l, r = left.join(open_, by, "left_semi"), right.join(open_, by, "left_semi")
     back = nn_join(r.withColumnRenamed("other", "q"), l.withColumnRenamed("point_id", "o"), by, "q", "o").select(*by, "distance")
     both = nn_join(l, r, by, "point_id", "other").select(*by, "distance").unionByName(back)
-    got = both.groupBy(*by).agg(F.avg("distance").alias("mean"), F.percentile("distance", F.lit(0.95)).alias("p95")).where((F.col("mean") <= mean) & (F.col("p95") <= p95))
+    got = with_quantiles(both.groupBy(*by).agg(F.avg("distance").alias("mean")), both, by, "distance", {"p95": 0.95}).where((F.col("mean") <= mean) & (F.col("p95") <= p95))
     best = got.groupBy("a", "b").agg(F.min(F.struct("mean", "variant", "p95")).alias("_m"))
     return best.select("a", "b", "_m.variant", "_m.mean", "_m.p95")
 
@@ -240,8 +241,8 @@ def registration(pts: DataFrame, tri: DataFrame, by: list[str], key: str, limit:
     """Median and 95 % quantile of the distances from sensor points to the posed mesh; points farther than limit count with it."""
     from reconlake.operators.spatial import point_mesh_distance
 
-    d = F.coalesce("distance", F.lit(limit))
-    return point_mesh_distance(pts, tri, by, key, limit).groupBy(*by).agg(F.percentile(d, F.lit(0.5)).alias("median"), F.percentile(d, F.lit(0.95)).alias("p95"), F.count("*").alias("points"))
+    d = point_mesh_distance(pts, tri, by, key, limit).withColumn("distance", F.coalesce("distance", F.lit(limit)))
+    return with_quantiles(d.groupBy(*by).agg(F.count("*").alias("points")), d, by, "distance", {"median": 0.5, "p95": 0.95}).select(*by, "median", "p95", "points")
 
 
 def residual_labels(tri: DataFrame, px: DataFrame, cams: DataFrame, n: int, margin: float = 0.005) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from reconlake.functions.expr import hash_normal, unproject
 from reconlake.operators.select import midpoint_strata
 from reconlake.operators.neighbours import nn_join
+from reconlake.operators.quantiles import quantiles, with_quantiles
 
 KEY = ["sample_id", "v", "u"]
 
@@ -82,10 +83,11 @@ def depth_noise(px: DataFrame, interior: int = 3, patch: int = 2, span: float =
     smooth = erode(base, patch).join(local_range(px, 5).where(F.col("range") < span), KEY, "left_semi")
     inverse = px.select(*KEY, F.when(valid, 1 / F.col("depth")).otherwise(0.0).alias("inverse"))
     res = laplacian(inverse, "inverse").join(smooth, KEY, "left_semi")
-    mid = res.groupBy("sample_id").agg(F.percentile("residual", F.lit(0.5)).alias("_m"))
+    mid = quantiles(res, ["sample_id"], "residual", {"_m": 0.5})
     res = res.join(mid, "sample_id").withColumn("_d", F.abs(F.col("residual") - F.col("_m")))
     # fixed value: normal deviation of one median absolute deviation, and the kernel's norm
-    return res.groupBy("sample_id").agg((F.percentile("_d", F.lit(0.5)) / (0.6744897501960817 * 20**0.5)).alias("sigma_inverse"), F.count("*").alias("pixels"))
+    out = with_quantiles(res.groupBy("sample_id").agg(F.count("*").alias("pixels")), res, ["sample_id"], "_d", {"_mad": 0.5})
+    return out.select("sample_id", (F.col("_mad") / (0.6744897501960817 * 20**0.5)).alias("sigma_inverse"), "pixels")
 
 
 def missing_rates(px: DataFrame, n: int = 3) -> DataFrame:
@@ -108,7 +110,7 @@ def corrupt_depth(px: DataFrame, sigma: float, step: float, dropout: float, radi
 def observation_filter(px: DataFrame, radius: float = 0.25, least: int = 512, low: float = 0.1, high: float = 10.0) -> DataFrame:
     """Masked pixels with depth within `radius` of their sample's median and inside the range, for samples with enough of them."""
     good = px.where(F.col("mask") & (F.col("depth") > 0))
-    mid = good.groupBy("sample_id").agg(F.percentile("depth", F.lit(0.5)).alias("_m"))
+    mid = quantiles(good, ["sample_id"], "depth", {"_m": 0.5})
     rows = good.join(mid, "sample_id").where((F.abs(F.col("depth") - F.col("_m")) <= radius) & (F.col("depth") > low) & (F.col("depth") <= high)).drop("_m")
     enough = rows.groupBy("sample_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
     return rows.join(enough.select("sample_id"), "sample_id", "left_semi")
@@ -137,7 +139,7 @@ def boundary_p95(a: DataFrame, b: DataFrame) -> DataFrame:
     """95 % quantile of pixel distances from each mask's boundary to the other's; null if either is empty."""
     x = boundary(a).withColumn("p", F.concat_ws("_", "v", "u"))
     y = boundary(b).withColumn("p", F.concat_ws("_", "v", "u"))
-    way = lambda s, t, name: nn_join(s, t.withColumnRenamed("p", "o"), ["sample_id"], "p", "o", ("v", "u")).groupBy("sample_id").agg(F.percentile("distance", F.lit(0.95)).alias(name))
+    way = lambda s, t, name: quantiles(nn_join(s, t.withColumnRenamed("p", "o"), ["sample_id"], "p", "o", ("v", "u")), ["sample_id"], "distance", {name: 0.95})
     return way(x, y, "a_to_b").join(way(y, x, "b_to_a"), "sample_id", "full_outer")
 
 
@@ -166,7 +168,7 @@ def observation_stats(px: DataFrame) -> DataFrame:
 def depth_control(px: DataFrame, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Px with grey 0-255: inverse depth stretched between two quantiles of the sample; missing depth is 0."""
     inv = px.where(F.col("depth") > 0).withColumn("_i", 1 / F.col("depth"))
-    q = inv.groupBy("sample_id").agg(F.percentile("_i", F.lit(low)).alias("_lo"), F.percentile("_i", F.lit(high)).alias("_hi"))
+    q = quantiles(inv, ["sample_id"], "_i", {"_lo": low, "_hi": high})
     rows = px.join(q, "sample_id", "left")
     share = (1 / F.col("depth") - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-12))
     grey = F.rint(255 * F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)))

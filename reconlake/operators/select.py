@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reconlake.functions.expr import hash_rank
+from reconlake.operators.quantiles import quantiles
+from reconlake.plans.ordinals import numbered
 
 
 def _w(by: list[str], *order) -> Window:
@@ -155,7 +157,7 @@ def quantile_slots(df: DataFrame, by: list[str], value: str, key: str, slots: tu
 
 def median_order(df: DataFrame, by: list[str], value: str, key: str) -> DataFrame:
     """Rows by distance from their group's median, nearest first (rank from 1)."""
-    mid = df.groupBy(*by).agg(F.percentile(value, F.lit(0.5)).alias("median"))
+    mid = quantiles(df, by, value, {"median": 0.5})
     return df.join(mid, by).withColumn("rank", F.row_number().over(_w(by, F.round(F.abs(F.col(value) - F.col("median")), 12).asc_nulls_last(), key)))
 
 
@@ -178,20 +180,22 @@ def first_eligible(df: DataFrame, obj: str, key: str, n: int) -> DataFrame:
 
 
 def global_ordinal(df: DataFrame, group: str, order: str, seed: str) -> DataFrame:
-    """Ordinal over groups in order: rank within the group plus the sizes of earlier groups; and a seed derived from it."""
-    sizes = df.groupBy(group).agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy(group).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
-    sizes = sizes.select(group, before.alias("_before"))
-    rows = df.withColumn("_i", F.row_number().over(_w([group], order)) - 1).join(sizes, group)
-    rows = rows.withColumn("ordinal", F.col("_before") + F.col("_i")).drop("_i", "_before")
+    """Ordinal over groups in order: a row's place by group, then order, over all groups; and a seed derived from it. Rows without a group are left out."""
+    rows = numbered(df.where(F.col(group).isNotNull()), [group, order], "ordinal")
     return rows.withColumn("ordinal_hash", hash_rank(seed, "ordinal"))
 
 
-def depth_quantum(px: DataFrame, by: list[str], depth: str) -> DataFrame:
-    """Median difference of neighbouring distinct depths of each raster."""
-    values = px.where(F.col(depth) > 0).select(*by, depth).distinct()
-    step = values.withColumn("_s", F.col(depth) - F.lag(depth).over(_w(by, depth)))
-    return step.where("_s is not null").groupBy(*by).agg(F.percentile("_s", F.lit(0.5)).alias("quantum"), F.count("*").alias("steps"))
+def depth_quantum(px: DataFrame, by: list[str], depth: str, mask: str = "mask") -> DataFrame:
+    """(by, quantum, steps): the depth step of each raster's sensor, and how many steps it rests on; no row where there is none.
+
+    Steps are differences over 1e-7 of neighbouring distinct depths of masked pixels; the quantum is the median of those at most 1.5
+    times their 10 % quantile. Steps are compared to 12 decimals, since differences of equal steps differ in their last bits.
+    """
+    values = px.where(F.col(mask) & (F.col(depth) > 0)).select(*by, depth).distinct()
+    step = values.withColumn("_s", F.round(F.col(depth) - F.lag(depth).over(_w(by, depth)), 12)).where("_s > 1e-7")
+    low = quantiles(step, by, "_s", {"_q": 0.1})
+    lower = step.join(low, by).where(F.col("_s") <= F.round(1.5 * F.col("_q"), 12))
+    return quantiles(lower, by, "_s", {"quantum": 0.5}).join(lower.groupBy(*by).agg(F.count("*").alias("steps")), by)
 
 
 def stable_order(df: DataFrame, keys: list[str], seed: str, key: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reconlake.functions.expr import hash_index
+from reconlake.operators.quantiles import quantiles
 
 
 def paired(scores: DataFrame, left: str, right: str, keys: list[str], arm: str = "arm", value: str = "value") -> DataFrame:
@@ -109,8 +110,7 @@ def effects(a: DataFrame, b: DataFrame, keys: list[str], obj: str, value: str =
 def native_changes(df: DataFrame, by: list[str], obj: str, value: str) -> DataFrame:
     """Object-balanced mean, and median with 5 and 95 % quantiles of the raw values."""
     objects = df.groupBy(*by, obj).agg(F.avg(value).alias("_m")).groupBy(*by).agg(F.avg("_m").alias("mean"), F.count("_m").alias("objects"))
-    raw = df.groupBy(*by).agg(F.percentile(value, F.lit(0.5)).alias("median"), F.percentile(value, F.lit(0.05)).alias("p5"), F.percentile(value, F.lit(0.95)).alias("p95"))
-    return objects.join(raw, by)
+    return objects.join(quantiles(df, by, value, {"median": 0.5, "p5": 0.05, "p95": 0.95}), by)
 
 
 def density_study(df: DataFrame, by: list[str], obj: str, repeat: str, value: str) -> DataFrame:

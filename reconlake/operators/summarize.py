@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reconlake.operators.quantiles import quantiles as exact_quantiles
+from reconlake.operators.quantiles import with_quantiles
+
 
 def status_counts(df: DataFrame, *by: str) -> DataFrame:
     """Rows of each status."""
@@ -56,15 +59,16 @@ def sign_counts(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 def quantiles(df: DataFrame, by: list[str], value: str, qs: dict[str, float], approximate: bool = False) -> DataFrame:
     """Exact interpolated quantiles, one column a name; approximate sketches only on request."""
-    one = (lambda q: F.approx_percentile(value, F.lit(q), F.lit(10000))) if approximate else (lambda q: F.percentile(value, F.lit(q)))
-    return df.groupBy(*by).agg(*[one(q).alias(k) for k, q in qs.items()])
+    if approximate:
+        return df.groupBy(*by).agg(*[F.approx_percentile(value, F.lit(q), F.lit(10000)).alias(k) for k, q in qs.items()])
+    return exact_quantiles(df, by, value, qs)
 
 
 def mad(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Median and median absolute deviation."""
-    mid = df.groupBy(*by).agg(F.percentile(value, F.lit(0.5)).alias("median"))
+    mid = exact_quantiles(df, by, value, {"median": 0.5})
     rows = df.join(mid, by).withColumn("_d", F.abs(F.col(value) - F.col("median")))
-    return rows.groupBy(*by, "median").agg(F.percentile("_d", F.lit(0.5)).alias("mad"))
+    return exact_quantiles(rows, [*by, "median"], "_d", {"mad": 0.5})
 
 
 def extents(pts: DataFrame, by: list[str], axes: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
@@ -137,7 +141,8 @@ def accept_histogram(df: DataFrame, key: str, accepted: Column) -> DataFrame:
 
 def run_telemetry(log: DataFrame, by: list[str], seconds: str, memory: str) -> DataFrame:
     """Median step seconds, total hours and peak bytes."""
-    return log.groupBy(*by).agg(F.percentile(seconds, F.lit(0.5)).alias("median_s"), (F.sum(seconds) / 3600).alias("hours"), F.max(memory).alias("peak"))
+    sums = log.groupBy(*by).agg((F.sum(seconds) / 3600).alias("hours"), F.max(memory).alias("peak"))
+    return with_quantiles(sums, log, by, seconds, {"median_s": 0.5}).select(*by, "median_s", "hours", "peak")
 
 
 def duplicate_excess(df: DataFrame, *digest: str) -> DataFrame:
@@ -148,8 +153,8 @@ def duplicate_excess(df: DataFrame, *digest: str) -> DataFrame:
 
 def median_across(df: DataFrame, by: list[str], sample: str, value: str) -> DataFrame:
     """Median over samples of each sample's median."""
-    one = df.groupBy(*by, sample).agg(F.percentile(value, F.lit(0.5)).alias("_m"))
-    return one.groupBy(*by).agg(F.percentile("_m", F.lit(0.5)).alias("median"), F.count("*").alias("samples"))
+    one = exact_quantiles(df, [*by, sample], value, {"_m": 0.5})
+    return with_quantiles(one.groupBy(*by).agg(F.count("*").alias("samples")), one, by, "_m", {"median": 0.5}).select(*by, "median", "samples")
 
 
 def best_step(curves: DataFrame, by: list[str], step: str, value: str) -> DataFrame:

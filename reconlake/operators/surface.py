@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reconlake.functions.expr import fscore, pixel_of, project
 from reconlake.operators.neighbours import nn_join, within
+from reconlake.operators.quantiles import quantiles, with_quantiles
 from reconlake.operators.spatial import patch_join
 
 THRESHOLDS = (0.002, 0.005, 0.010)
@@ -108,8 +109,9 @@ def score_clouds(pred: DataFrame, truth: DataFrame, by: list[str], point: str =
 def surface_p95(forward: DataFrame, backward: DataFrame, by: list[str]) -> DataFrame:
     """95 % quantiles of accuracy and completeness distances and of both together."""
     f, b = forward.select(*by, "distance", F.lit(True).alias("f")), backward.select(*by, "distance", F.lit(False).alias("f"))
-    q = lambda c: F.percentile(c, F.lit(0.95))
-    return f.unionByName(b).groupBy(*by).agg(q(F.when(F.col("f"), F.col("distance"))).alias("accuracy_p95"), q(F.when(~F.col("f"), F.col("distance"))).alias("completeness_p95"), q("distance").alias("chamfer_p95"))
+    both = f.unionByName(b)
+    part = lambda test, name: quantiles(both.withColumn("_d", F.when(test, F.col("distance"))), by, "_d", {name: 0.95})
+    return part(F.col("f"), "accuracy_p95").join(part(~F.col("f"), "completeness_p95"), by).join(part(F.lit(True), "chamfer_p95"), by)
 
 
 def subset_recall(backward: DataFrame, flags: DataFrame, by: list[str], subsets: list[str], point: str = "point_id", t: float = 0.005) -> DataFrame:
@@ -136,7 +138,8 @@ def free_violations(flags: DataFrame, by: list[str]) -> DataFrame:
 def compare_clouds(a: DataFrame, b: DataFrame, by: list[str], point: str = "point_id") -> DataFrame:
     """Mean, 95 % quantile and maximum of nearest distances both ways, and whether the clouds are equal point by point."""
     f, g = distances(a, b, by, point)
-    d = f.unionByName(g).groupBy(*by).agg(F.avg("distance").alias("mean"), F.percentile("distance", F.lit(0.95)).alias("p95"), F.max("distance").alias("max"))
+    both = f.unionByName(g)
+    d = with_quantiles(both.groupBy(*by).agg(F.avg("distance").alias("mean"), F.max("distance").alias("max")), both, by, "distance", {"p95": 0.95}).select(*by, "mean", "p95", "max")
     x = a.select(*by, point, *[F.col(c).alias(f"_a{c}") for c in "xyz"], F.lit(1).alias("_l"))
     y = b.select(*by, point, *[F.col(c).alias(f"_b{c}") for c in "xyz"], F.lit(1).alias("_r"))
     same = F.col("_l").isNotNull() & F.col("_r").isNotNull()

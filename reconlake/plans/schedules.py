@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reconlake.functions.expr import hash_index, hash_rank, stable_seed
 from reconlake.operators.select import apportion, priority
+from reconlake.plans.ordinals import numbered
 
 
 def split_families(df: DataFrame, total: int, seed: str, family: str = "family_id", key: str = "key", stratum: str = "stratum", pilot: str = "pilot") -> DataFrame:
@@ -38,15 +39,14 @@ def exposure_schedule(ids: DataFrame, accepted: DataFrame, seed: int, epochs: in
     """Steps 1..n of one training run: every epoch shows each sample once in its own hash order.
 
     An augmentation is attempted if epoch + ordinal is odd and takes effect if the sample is accepted; two different
-    views are drawn a step. Ordinals follow the samples' ids. Steps are numbered per epoch: an epoch has one row a sample.
+    views are drawn a step. Ordinals follow the samples' ids, steps the epochs and the order in them; both are numbered over ranges.
     """
     if epochs <= 0 or epochs % 2:
         raise ValueError("epochs must be even")
-    w = Window.partitionBy(F.lit(0)).orderBy(key)  # one row a sample of one run
-    rows = ids.select(key).withColumn("ordinal", F.row_number().over(w) - 1).withColumn("samples", F.count("*").over(Window.partitionBy(F.lit(0))))
+    rows = numbered(ids.select(key), [key], "ordinal").withColumn("ordinal", F.col("ordinal").cast("int"))
     rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))).withColumn("seed", F.lit(seed))
-    place = F.row_number().over(Window.partitionBy("epoch").orderBy(hash_rank(f"{name}/order", "seed", "epoch", key), key))
-    rows = rows.withColumn("step", F.col("epoch") * F.col("samples") + place)
+    rows = numbered(rows.withColumn("_h", hash_rank(f"{name}/order", "seed", "epoch", key)), ["epoch", "_h", key], "step")
+    rows = rows.drop("_h").withColumn("step", F.col("step") + 1)
     first = hash_index(novel_views, f"{name}/view", "seed", "step")
     other = hash_index(novel_views - 1, f"{name}/other", "seed", "step")
     rows = rows.withColumn("_a", first).withColumn("_b", other).withColumn("views", F.array(F.col("_a"), F.col("_b") + (F.col("_b") >= F.col("_a")).cast("int")))

@@ -613,7 +613,7 @@ def w14_running_balance(s, d):
     return W.running_balance(proxy(s, d, "events"), "event_type", "user_id", "event_id", [500, 1000, 2000])
 
 
-@query("SELECT sample_id, round(median(step), 6) AS quantum, count(*) AS steps FROM (SELECT sample_id, depth - lag(depth) OVER (PARTITION BY sample_id ORDER BY depth) AS step FROM (SELECT DISTINCT sample_id, depth FROM {px} WHERE depth > 0) AS y) AS x WHERE step IS NOT NULL GROUP BY 1")
+@query("WITH s AS (SELECT sample_id, step FROM (SELECT sample_id, round(depth - lag(depth) OVER (PARTITION BY sample_id ORDER BY depth), 12) AS step FROM (SELECT DISTINCT sample_id, depth FROM {px} WHERE mask AND depth > 0) AS y) AS x WHERE step > 0.0000001) SELECT sample_id, round(median(step), 6) AS quantum, count(*) AS steps FROM s JOIN (SELECT sample_id, quantile_cont(step, 0.1) AS q FROM s GROUP BY 1) AS l USING (sample_id) WHERE step <= round(1.5 * q, 12) GROUP BY 1")
 def w15_depth_quantum(s, d):
     return r6(W.depth_quantum(proxy(s, d, "px"), ["sample_id"], "depth"))
 
