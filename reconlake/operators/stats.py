@@ -1,16 +1,25 @@
-"""Paired contrasts and cluster bootstraps. Draws are hashes of (seed, replicate, slot), so they don't depend on partitioning.
+"""Paired contrasts and cluster bootstraps. Draws are hashes of (seed, replicate, block), so they don't depend on partitioning.
 
-Replicates are expanded on the executors. The unit tables (objects, scenes, seeds: one row each) are aggregates of the
-observations; replicates times units rows are made, and each replicate is reduced before the next shuffle.
+Units (objects, scenes, families) lie in blocks; a task that has a block works out how often each of its units is drawn in each
+replicate and adds to one pair of sums a replicate. So nothing that grows with units times replicates is shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reconlake.functions.expr import hash_index
 from reconlake.operators.quantiles import quantiles
+from reconlake.plans.lineage import stored
+from reconlake.plans.ordinals import numbered
+
+#: Units of a block.
+BLOCK = 4096
 
 
 def paired(scores: DataFrame, left: str, right: str, keys: list[str], arm: str = "arm", value: str = "value") -> DataFrame:
@@ -21,20 +30,69 @@ def paired(scores: DataFrame, left: str, right: str, keys: list[str], arm: str =
     return rows.where("_both").drop("_both").withColumn("difference", F.col("left") - F.col("right"))
 
 
-def _numbered(units: DataFrame, unit: str) -> DataFrame:
-    """Units with a slot from 0 in their order, and how many there are. Units are few: objects, scenes or seeds."""
-    w = Window.partitionBy(F.lit(0))
-    return units.withColumn("slot", F.row_number().over(w.orderBy(unit)) - 1).withColumn("units", F.count("*").over(w))
+def _drawn(seed: str, replicate: int, block: int, draws: int, units: int) -> np.ndarray:
+    """How often each of `units` is met in so many draws: 32 bits each, eight from one SHA-256 of seed, replicate, block and number."""
+    raw = b"".join(hashlib.sha256(f"{seed}/{replicate}/{block}/{k}".encode()).digest() for k in range(-(-draws // 8)))
+    return np.bincount(np.frombuffer(raw, ">u4")[:draws] % units, minlength=units)
+
 
+def _share(seed: str, replicate: int, block: int, units: int, size: int) -> int:
+    """How many of a replicate's draws, as many as units, fall into a block of `size` units: halves of the blocks share what falls into
+    both binomially, down to the block. Each task finds the same numbers, and those of all blocks add up."""
+    low, high, draws = 0, -(-units // size), units
+    while high - low > 1:
+        middle = (low + high) // 2
+        part = (middle - low) * size / (min(high * size, units) - low * size)
+        rng = np.random.default_rng(int.from_bytes(hashlib.sha256(f"{seed}/{replicate}/{low}-{high}".encode()).digest()[:8], "big"))
+        left = int(rng.binomial(draws, part))
+        low, high, draws = (low, middle, left) if block < middle else (middle, high, draws - left)
+    return draws
 
-def _draws(units: DataFrame, replicates: int, seed: str) -> DataFrame:
-    """(replicate, pick): for every replicate as many picked slots as there are units."""
-    rows = units.select("slot", "units", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    return rows.select("replicate", hash_index(F.col("units"), seed, "replicate", "slot").alias("pick"))
 
+def _replicates(cells: DataFrame, unit: str, replicates: int, seed: str, other: str | None = None, size: int = BLOCK) -> tuple[DataFrame, int, int]:
+    """(replicate, m): the ratio of summed num to summed den over units drawn with replacement, and how many units (and others) there are.
+
+    cells: unit, other, num, den; with `other`, its values are drawn too and a cell counts as often as the product of both. Units lie in
+    blocks of `size`, in their order; a task works out how often its block's units are drawn and keeps two sums a replicate. Others, as
+    training seeds, are few: more than BLOCK are refused.
+    """
 
-def _interval(means: DataFrame, value: str, low: float = 0.025, high: float = 0.975) -> list[Column]:
-    return [F.percentile(value, F.lit(low)).alias("low"), F.percentile(value, F.lit(high)).alias("high")]
+    def placed(column: str, name: str) -> tuple[DataFrame, int]:
+        units = numbered(cells.select(F.col(column).alias("_u")).distinct(), ["_u"], name)
+        return units, units.count()
+
+    cells = stored(cells, "cells")
+    units, n = placed(unit, "_slot")
+    rows, n_other = cells.join(units, F.col(unit).eqNullSafe(F.col("_u"))).drop("_u").withColumn("_other", F.lit(0)), 1
+    if other is not None:
+        others, n_other = placed(other, "_other")
+        if n_other > BLOCK:
+            raise ValueError(f"{other} has over {BLOCK} values")
+        rows = rows.drop("_other").join(others, F.col(other).eqNullSafe(F.col("_u"))).drop("_u")
+    item = F.struct((F.col("_slot") % size).cast("int").alias("slot"), F.col("_other").cast("int").alias("other"), F.col("num").cast("double").alias("num"), F.col("den").cast("double").alias("den"))
+    blocks = rows.groupBy(F.floor(F.col("_slot") / size).alias("block")).agg(F.collect_list(item).alias("cells"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, replicates))
+        for b in batches:
+            for block, own in zip(b.column(0).to_pylist(), b.column(1)):
+                slot, k, num, den = (own.values.field(c).to_numpy() for c in ("slot", "other", "num", "den"))
+                here = min(size, n - block * size)
+                for r in range(replicates):
+                    times = _drawn(seed + "/units", r, block, _share(seed + "/units", r, block, n, size), here)[slot]
+                    if other is not None:
+                        times = times * _drawn(seed + "/others", r, 0, n_other, n_other)[k]
+                    sums[0, r] += times @ num
+                    sums[1, r] += times @ den
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(replicates)), *map(pa.array, sums)], names=["replicate", "num", "den"])
+
+    sums = blocks.mapInArrow(run, "replicate long, num double, den double").groupBy("replicate").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
+    return sums.select("replicate", F.try_divide("num", "den").alias("m")), n, n_other
+
+
+def _interval(means: DataFrame) -> DataFrame:
+    """Low and high of the middle 95 % of as many values as there are replicates; one row, joined by _k."""
+    return means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"), F.lit(0).alias("_k"))
 
 
 def bootstrap_objects(diffs: DataFrame, obj: str = "object_id", value: str = "difference", replicates: int = 10000, seed: str = "objects") -> DataFrame:
@@ -42,13 +100,10 @@ def bootstrap_objects(diffs: DataFrame, obj: str = "object_id", value: str = "di
 
     One row: mean, low, high, objects, observations. Without any defined difference all but the counts are null.
     """
-    units = diffs.where(F.col(value).isNotNull()).groupBy(obj).agg(F.avg(value).alias("m"), F.count("*").alias("n"))
-    units = _numbered(units, obj)
-    draws = _draws(units, replicates, seed).join(units.select(F.col("slot").alias("pick"), "m"), "pick")
-    means = draws.groupBy("replicate").agg(F.avg("m").alias("m"))
-    whole = units.agg(F.avg("m").alias("mean"), F.count("*").alias("objects"), F.coalesce(F.sum("n"), F.lit(0)).alias("observations"), F.lit(0).alias("_k"))
-    interval = means.agg(*_interval(means, "m"), F.lit(0).alias("_k"))
-    return whole.join(interval, "_k").select("mean", "low", "high", "objects", "observations")
+    units = stored(diffs.where(F.col(value).isNotNull()).groupBy(obj).agg(F.avg(value).alias("num"), F.count("*").alias("n")), "units")
+    means, n, _ = _replicates(units.select(obj, "num", F.lit(1.0).alias("den")), obj, replicates, seed)
+    whole = units.agg(F.avg("num").alias("mean"), F.coalesce(F.sum("n"), F.lit(0)).alias("observations"), F.lit(0).alias("_k"))
+    return whole.join(_interval(means), "_k").select("mean", "low", "high", F.lit(n).cast("long").alias("objects"), "observations")
 
 
 def bootstrap_crossed(diffs: DataFrame, obj: str = "object_id", seed_col: str = "seed", value: str = "difference", replicates: int = 10000, seed: str = "crossed") -> DataFrame:
@@ -56,15 +111,10 @@ def bootstrap_crossed(diffs: DataFrame, obj: str = "object_id", seed_col: str =
 
     How often each object and seed was drawn multiplies into the weight of their cell, so pairs aren't expanded.
     """
-    cells = diffs.where(F.col(value).isNotNull()).groupBy(obj, seed_col).agg(F.avg(value).alias("m"))
-    objects, seeds = _numbered(cells.select(obj).distinct(), obj), _numbered(cells.select(seed_col).distinct(), seed_col)
-    times = lambda u, k, s: _draws(u, replicates, s).groupBy("replicate", "pick").agg(F.count("*").alias(f"n_{k}")).withColumnRenamed("pick", f"slot_{k}")
-    named = cells.join(objects.select(obj, F.col("slot").alias("slot_o")), obj).join(seeds.select(seed_col, F.col("slot").alias("slot_s")), seed_col).select("slot_o", "slot_s", "m")
-    drawn = times(objects, "o", seed + "/objects").join(named, "slot_o").join(times(seeds, "s", seed + "/seeds"), ["replicate", "slot_s"])
-    w = F.col("n_o") * F.col("n_s")
-    means = drawn.groupBy("replicate").agg((F.sum(w * F.col("m")) / F.sum(w)).alias("m"))
-    whole = cells.agg(F.avg("m").alias("mean"), F.count_distinct(obj).alias("objects"), F.count_distinct(seed_col).alias("seeds"), F.lit(0).alias("_k"))
-    return whole.join(means.agg(*_interval(means, "m"), F.lit(0).alias("_k")), "_k").select("mean", "low", "high", "objects", "seeds")
+    cells = stored(diffs.where(F.col(value).isNotNull()).groupBy(obj, seed_col).agg(F.avg(value).alias("num")).withColumn("den", F.lit(1.0)), "cells")
+    means, n, seeds = _replicates(cells, obj, replicates, seed, seed_col)
+    whole = cells.agg(F.avg("num").alias("mean"), F.lit(0).alias("_k"))
+    return whole.join(_interval(means), "_k").select("mean", "low", "high", F.lit(n).cast("long").alias("objects"), F.lit(seeds).cast("long").alias("seeds"))
 
 
 def bootstrap_scenes(diffs: DataFrame, obj: str = "object_id", scene: str = "scene_id", value: str = "difference", replicates: int = 10000, seed: str = "scenes") -> DataFrame:
@@ -74,12 +124,10 @@ def bootstrap_scenes(diffs: DataFrame, obj: str = "object_id", scene: str = "sce
     """
     rows = diffs.where(F.col(value).isNotNull())
     per = rows.groupBy(obj).agg((1 / F.count("*")).alias("_w"))
-    units = rows.join(per, obj).groupBy(scene).agg(F.sum(F.col("_w") * F.col(value)).alias("num"), F.sum("_w").alias("den"))
-    units = _numbered(units, scene)
-    drawn = _draws(units, replicates, seed).join(units.select(F.col("slot").alias("pick"), "num", "den"), "pick")
-    means = drawn.groupBy("replicate").agg((F.sum("num") / F.sum("den")).alias("m"))
-    whole = units.agg((F.sum("num") / F.sum("den")).alias("mean"), F.count("*").alias("scenes"), F.lit(0).alias("_k"))
-    return whole.join(means.agg(*_interval(means, "m"), F.lit(0).alias("_k")), "_k").select("mean", "low", "high", "scenes")
+    units = stored(rows.join(per, obj).groupBy(scene).agg(F.sum(F.col("_w") * F.col(value)).alias("num"), F.sum("_w").alias("den")), "units")
+    means, n, _ = _replicates(units, scene, replicates, seed)
+    whole = units.agg(F.try_divide(F.sum("num"), F.sum("den")).alias("mean"), F.lit(0).alias("_k"))
+    return whole.join(_interval(means), "_k").select("mean", "low", "high", F.lit(n).cast("long").alias("scenes"))
 
 
 def bootstrap_families(diffs: DataFrame, family: str, seed_col: str = "seed", obj: str = "object_id", value: str = "difference", replicates: int = 10000, seed: str = "families") -> DataFrame:

@@ -988,29 +988,46 @@ def g24_active_cells(s, d):
 # ---- statistics, splits, schedules
 
 
-def _draw_sql(units: str, value: str, replicates: int, seed: str) -> str:
-    return f"WITH u AS ({units}), n AS (SELECT *, row_number() OVER (ORDER BY unit) - 1 AS slot, count(*) OVER () AS units FROM u), r AS (SELECT replicate, {_k('units', seed, 'replicate || ' + chr(39) + '/' + chr(39) + ' || slot')} AS pick FROM n, range({replicates}) AS q(replicate)), m AS (SELECT replicate, {value} AS m FROM r JOIN n ON r.pick = n.slot GROUP BY 1)"
+def _picks(units: str, replicates: int, seed: str) -> str:
+    """How often (k) each slot is drawn in each replicate; `units` has a row a slot."""
+    draw = f"CAST('0x' || substr(sha256('{seed}/' || replicate || '/0/' || (slot // 8)), 1 + 8 * (slot % 8), 8) AS BIGINT) % units"
+    return f"(SELECT replicate, pick, count(*) AS k FROM (SELECT replicate, {draw} AS pick FROM {units}, range({replicates}) AS q(replicate)) AS d GROUP BY 1, 2)"
+
+
+def _slots(units: str) -> str:
+    return f"(SELECT *, row_number() OVER (ORDER BY unit) - 1 AS slot, count(*) OVER () AS units FROM {units})"
+
+
+def _draw_sql(units: str, num: str, den: str, replicates: int, seed: str) -> str:
+    return f"WITH u AS ({units}), n AS {_slots('u')}, m AS (SELECT replicate, sum(k * {num}) / sum(k * {den}) AS m FROM {_picks('n', replicates, seed + '/units')} AS r JOIN n ON r.pick = n.slot GROUP BY 1)"
+
+
+def _crossed_sql(cells: str, replicates: int, seed: str) -> str:
+    slots = ", ".join(f"{x} AS {_slots(f'(SELECT DISTINCT {x} AS unit FROM c)')}" for x in "os")
+    picks = f"{_picks('o', replicates, seed + '/units')} AS x JOIN {_picks('s', replicates, seed + '/others')} AS y USING (replicate)"
+    means = f"SELECT replicate, sum(x.k * y.k * m) / sum(x.k * y.k) AS m FROM {picks} JOIN o ON o.slot = x.pick JOIN s ON s.slot = y.pick JOIN c ON c.o = o.unit AND c.s = s.unit GROUP BY 1"
+    return f"WITH c AS ({cells}), {slots}, m AS ({means}) SELECT round((SELECT avg(m) FROM c), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, (SELECT count(*) FROM o) AS objects, (SELECT count(*) FROM s) AS seeds FROM m"
 
 
 _DIFF = "(SELECT sample_id, seed, object_id, scene_id, max(CASE WHEN arm = 'view' THEN value END) - max(CASE WHEN arm = 'click' THEN value END) AS difference FROM {pairs} WHERE arm IN ('view', 'click') GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT arm) = 2)"
 
 
-@query(_draw_sql(f"SELECT object_id AS unit, avg(difference) AS v, count(*) AS c FROM {_DIFF} AS df WHERE difference IS NOT NULL GROUP BY 1", "avg(v)", 500, "objects") + " SELECT round((SELECT avg(v) FROM u), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, (SELECT count(*) FROM u) AS objects, CAST((SELECT sum(c) FROM u) AS BIGINT) AS observations FROM m")
+@query(_draw_sql(f"SELECT object_id AS unit, avg(difference) AS v, count(*) AS c FROM {_DIFF} AS df WHERE difference IS NOT NULL GROUP BY 1", "v", "1.0", 500, "objects") + " SELECT round((SELECT avg(v) FROM u), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, (SELECT count(*) FROM u) AS objects, CAST((SELECT sum(c) FROM u) AS BIGINT) AS observations FROM m")
 def t01_bootstrap_objects(s, d):
     return r6(T.bootstrap_objects(_paired(s, d), replicates=500))
 
 
-@query()
+@query(_crossed_sql(f"SELECT object_id AS o, seed AS s, avg(difference) AS m FROM {_DIFF} AS df WHERE difference IS NOT NULL GROUP BY 1, 2", 500, "crossed"))
 def t02_bootstrap_crossed(s, d):
     return r6(T.bootstrap_crossed(_paired(s, d), replicates=500))
 
 
-@query(_draw_sql(f"SELECT scene_id AS unit, sum(w * difference) AS num, sum(w) AS den FROM {_DIFF} AS df JOIN (SELECT object_id, 1.0 / count(*) AS w FROM {_DIFF} AS de WHERE difference IS NOT NULL GROUP BY 1) AS p USING (object_id) WHERE difference IS NOT NULL GROUP BY 1", "sum(num) / sum(den)", 500, "scenes") + " SELECT round((SELECT sum(num) / sum(den) FROM u), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, (SELECT count(*) FROM u) AS scenes FROM m")
+@query(_draw_sql(f"SELECT scene_id AS unit, sum(w * difference) AS num, sum(w) AS den FROM {_DIFF} AS df JOIN (SELECT object_id, 1.0 / count(*) AS w FROM {_DIFF} AS de WHERE difference IS NOT NULL GROUP BY 1) AS p USING (object_id) WHERE difference IS NOT NULL GROUP BY 1", "num", "den", 500, "scenes") + " SELECT round((SELECT sum(num) / sum(den) FROM u), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, (SELECT count(*) FROM u) AS scenes FROM m")
 def t03_bootstrap_scenes(s, d):
     return r6(T.bootstrap_scenes(_paired(s, d), replicates=500))
 
 
-@query()
+@query(_crossed_sql(f"SELECT o, s, avg(v) AS m FROM (SELECT object_id % 10 AS o, object_id, seed AS s, avg(difference) AS v FROM {_DIFF} AS df GROUP BY 1, 2, 3) AS x WHERE v IS NOT NULL GROUP BY 1, 2", 500, "families"))
 def t04_bootstrap_families(s, d):
     rows = _paired(s, d).withColumn("family", F.col("object_id") % 10)
     return r6(T.bootstrap_families(rows, "family", replicates=500))
