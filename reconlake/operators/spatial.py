@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reconlake.functions.expr import _c, cross, minus
-from reconlake.operators.neighbours import AXES, nn_join
+from reconlake.operators.neighbours import AXES, finite, nn_join
 from reconlake.plans.lineage import stored
 
 
@@ -29,11 +30,41 @@ def candidate_pairs(assets: DataFrame, key: str, sizes: list[str], tol: float) -
     return left.join(right, [f"q{i}" for i in range(len(sizes))]).where(F.col("k") < F.col("b")).where(close).select(F.col("k").alias("a"), "b")
 
 
+#: Sizes of box cells: from the largest box down by this many powers of two; smaller boxes share the smallest cells.
+LEVELS = 20
+
+
 def aabb_pairs(objects: DataFrame, scene: str, key: str) -> DataFrame:
-    """Pairs of a scene's objects whose boxes (lo_x, hi_x, ...) overlap; boxes that only touch do. Scenes hold few objects."""
-    b = objects.select(scene, F.col(key).alias("other"), *[F.col(f"{e}_{x}").alias(f"o{e}_{x}") for e in ("lo", "hi") for x in AXES])
-    meet = reduce(lambda p, q: p & q, [(F.col(f"lo_{x}") <= F.col(f"ohi_{x}")) & (F.col(f"olo_{x}") <= F.col(f"hi_{x}")) for x in AXES])
-    return objects.join(b, scene).where((F.col(key) < F.col("other")) & meet).select(scene, key, "other")
+    """(scene, key, other): pairs key < other of a scene's boxes (lo_x, hi_x, ...) that overlap; boxes that only touch do.
+
+    A box lies in the grid whose cells are as large as its longest side, so it meets two cells an axis at most, and looks into the
+    cells that it meets of this grid and of those of larger boxes. A pair is reported by the cell that holds the lowest corner of
+    what both share, so once. Work grows with the boxes near each other, not with a scene's pairs. Boxes without a scene, or with a
+    bound that is null, not finite or below its counterpart, take no part; repeated keys pair with each other's others only.
+    """
+    sides = [F.col(f"hi_{x}") - F.col(f"lo_{x}") for x in AXES]
+    sound = reduce(lambda p, q: p & q, [finite(tuple(f"{e}_{x}" for e in ("lo", "hi") for x in AXES)), *[s >= 0 for s in sides]])
+    boxes = objects.where(sound).select(scene, F.col(key).alias("_key"), *[F.col(f"{e}_{x}").cast("double").alias(f"{e}_{x}") for x in AXES for e in ("lo", "hi")], F.greatest(*sides).cast("double").alias("_side"))
+    most = boxes.agg(F.max("_side").alias("m")).first()["m"]
+    top = math.ceil(math.log2(most)) if most else 0
+    level = F.greatest(F.when(F.col("_side") > 0, F.ceil(F.log2("_side"))).otherwise(top - LEVELS), F.lit(top - LEVELS)).cast("int")
+    boxes = stored(boxes.withColumn("_level", level).drop("_side"), "boxes")
+    levels = sorted(r["_level"] for r in boxes.select("_level").distinct().collect())  # LEVELS + 1 at most
+    cell = lambda c, at: F.floor(F.col(c) * F.pow(F.lit(2.0), -at))
+
+    def celled(rows: DataFrame) -> DataFrame:
+        for x in AXES:
+            rows = rows.withColumn(f"_c{x}", F.explode(F.sequence(cell(f"lo_{x}", F.col("_at")), cell(f"hi_{x}", F.col("_at")))))
+        return rows
+
+    own = celled(boxes.withColumn("_at", F.col("_level"))).drop("_level")
+    guests = boxes.withColumn("_at", F.explode(F.filter(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>"), lambda v: v >= F.col("_level"))))
+    guests = celled(guests).withColumnsRenamed({"_key": "_other", **{f"{e}_{x}": f"o{e}_{x}" for e in ("lo", "hi") for x in AXES}})
+    met = own.join(guests, [scene, "_at", *[f"_c{x}" for x in AXES]])
+    overlap = reduce(lambda p, q: p & q, [(F.col(f"lo_{x}") <= F.col(f"ohi_{x}")) & (F.col(f"olo_{x}") <= F.col(f"hi_{x}")) for x in AXES])
+    here = reduce(lambda p, q: p & q, [F.floor(F.greatest(f"lo_{x}", f"olo_{x}") * F.pow(F.lit(2.0), -F.col("_at"))) == F.col(f"_c{x}") for x in AXES])
+    once = (F.col("_level") < F.col("_at")) & (F.col("_key") != F.col("_other")) | (F.col("_level") == F.col("_at")) & (F.col("_key") < F.col("_other"))
+    return met.where(overlap & here & once).select(scene, F.least("_key", "_other").alias(key), F.greatest("_key", "_other").alias("other"))
 
 
 def match_poses(a: DataFrame, b: DataFrame, by: list[str], key: str, other: str, tol: float, axes: tuple[str, ...] = AXES) -> DataFrame:
@@ -161,27 +192,37 @@ def point_mesh_distance(pts: DataFrame, tri: DataFrame, by: list[str], key: str,
 
 
 def first_hits(rays: DataFrame, tri: DataFrame, by: list[str], key: str, tile: float) -> DataFrame:
-    """(by, key, depth): nearest hit of rays from the origin through (dx, dy, -1) with triangles (ax .. cz, all z < 0).
+    """(by, key, depth): nearest hit of rays from the origin through (dx, dy, -1) with triangles (ax .. cz); null without a hit.
 
-    Triangles are put into every tile of the image plane that their projected box meets; a ray looks into its own tile.
+    Triangles lie in a pyramid of tiles of the image plane: in the level whose tiles, `tile` times a power of two, are as large as their
+    projected box, so in four tiles at most. A ray looks into its own tile of each level. Triangles that are not all in front
+    (z < 0) or have a coordinate that is null or not finite are not hit, nor do rays without finite directions hit.
     """
     proj = lambda i: [F.col(f"{k}{AXES[i]}") / -F.col(f"{k}z") for k in "abc"]
     front = (F.col("az") < 0) & (F.col("bz") < 0) & (F.col("cz") < 0)
-    cells = tri.where(front).select(*by, *TRIANGLE, *[F.sequence(F.floor(F.least(*proj(i)) / tile), F.floor(F.greatest(*proj(i)) / tile)).alias(f"r{i}") for i in range(2)])
-    for i in range(2):
-        cells = cells.withColumn(f"t{i}", F.explode(f"r{i}")).drop(f"r{i}")
-    asked = rays.select(*by, key, "dx", "dy", F.floor(F.col("dx") / tile).alias("t0"), F.floor(F.col("dy") / tile).alias("t1"))
+    cells = tri.where(finite(tuple(TRIANGLE)) & front).select(*by, *TRIANGLE, *[f(*proj(i)).alias(f"{e}{i}") for i in range(2) for e, f in (("lo", F.least), ("hi", F.greatest))])
+    extent = F.greatest(F.col("hi0") - F.col("lo0"), F.col("hi1") - F.col("lo1"))
+    # what a test needs of a triangle is linear in the ray's direction: det, u det and v det; and t det is a number
     a, b, c = [[F.col(f"{k}{x}") for x in AXES] for k in "abc"]
-    d = [F.col("dx"), F.col("dy"), F.lit(-1.0)]
-    dot = lambda u, v: u[0] * v[0] + u[1] * v[1] + u[2] * v[2]
-    e1, e2 = minus(b, a), minus(c, a)
-    pv = cross(d, e2)
-    det = dot(e1, pv)
-    s = [-v for v in a]
-    q = cross(s, e1)
-    u, v, t = dot(s, pv) / det, dot(d, q) / det, dot(e2, q) / det
-    hit = (F.abs(det) > 1e-14) & (u >= 0) & (v >= 0) & (u + v <= 1) & (t > 0)
-    best = asked.join(cells, [*by, "t0", "t1"]).where(hit).groupBy(*by, key).agg(F.min(t).alias("depth"))
+    e1, e2, s = minus(b, a), minus(c, a), [-v for v in a]
+    parts = {"d": cross(e2, e1), "u": cross(e2, s), "v": cross(s, e1)}
+    top = sum((p * q for p, q in zip(e2, parts["v"])), F.lit(0.0))
+    level = F.when(extent > tile, F.ceil(F.log2(extent / tile))).otherwise(0).cast("int")
+    cells = cells.where(extent < float("inf")).select(*by, "lo0", "hi0", "lo1", "hi1", level.alias("_level"), *[v[i].alias(f"_{k}{x}") for k, v in parts.items() for i, x in enumerate(AXES)], top.alias("_t"))
+    cells = stored(cells, "triangles")
+    levels = [r["_level"] for r in cells.select("_level").distinct().collect()]  # one a power of two of the extents
+    at = lambda c: F.floor(F.col(c) / (F.lit(tile) * F.pow(F.lit(2.0), F.col("_level"))))
+    for i in range(2):
+        cells = cells.withColumn(f"t{i}", F.explode(F.sequence(at(f"lo{i}"), at(f"hi{i}"))))
+    asked = rays.where(finite(("dx", "dy"))).select(*by, key, "dx", "dy", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")).alias("_level"))
+    asked = asked.withColumns({"t0": at("dx"), "t1": at("dy")})
+    # the ray's box test first: no hit lies outside of the projected box, but for rounding
+    near = reduce(lambda x, y: x & y, [F.col(c).between(F.col(f"lo{i}") - tile * 1e-9, F.col(f"hi{i}") + tile * 1e-9) for i, c in enumerate(("dx", "dy"))])
+    along = lambda k: F.col("dx") * F.col(f"_{k}x") + F.col("dy") * F.col(f"_{k}y") - F.col(f"_{k}z")
+    met = asked.join(cells, [*by, "_level", "t0", "t1"]).where(near & (F.abs(along("d")) > 1e-14))
+    met = met.select(*by, key, along("d").alias("_det"), along("u").alias("_u"), along("v").alias("_v"), "_t")
+    u, v, t = (F.col(f"_{k}") / F.col("_det") for k in "uvt")
+    best = met.where((u >= 0) & (v >= 0) & (u + v <= 1) & (t > 0)).groupBy(*by, key).agg(F.min(t).alias("depth"))
     return rays.select(*by, key).join(best, [*by, key], "left")
 
 

@@ -1283,7 +1283,22 @@ def j11_match_poses(s, d):
     return J.match_poses(points(s, d, 0), b, ["cloud"], "point_id", "other", 0.06).select("cloud", "point_id", "one_to_one")
 
 
-@query()
+# every ray with every triangle's plane (its corners' z turned to -z - 1), and whether the point met lies on the inner side of all edges
+_HIT = "(a_x * nx + a_y * ny + a_z * nz) / (dx * nx + dy * ny - nz)"
+_INNER = " AND ".join(
+    "(" + " + ".join(f"{a} * n{k}" for a, k in zip(_cross([f"({e}_{k} - {s}_{k})" for k in "xyz"], [f"(t * dx - {s}_x)", f"(t * dy - {s}_y)", f"(-t - {s}_z)"]), "xyz")) + " >= 0)"
+    for s, e in ("ab", "bc", "ca")
+)
+_FIRST_HITS = (
+    "WITH c AS (SELECT mesh_id, " + ", ".join(f"{c}_{k}" if k != "z" else f"-{c}_z - 1 AS {c}_z" for c in "abc" for k in "xyz") + " FROM (" + _CORNERS + ") AS corners), "
+    "n AS (SELECT *, " + ", ".join(f"{e} AS n{k}" for e, k in zip(_cross(*_SPAN), "xyz")) + " FROM c WHERE greatest(a_z, b_z, c_z) < 0), "
+    "r AS (SELECT p_partkey AS ray, p_size / CAST(30 AS DOUBLE) AS dx, CAST(p_retailprice AS DOUBLE) / 2000 AS dy FROM part), "
+    f"h AS (SELECT * FROM (SELECT r.*, n.*, {_HIT} AS t FROM r, n WHERE abs(dx * nx + dy * ny - nz) > 1e-14) AS x WHERE t > 0 AND {_INNER}) "
+    "SELECT CAST('all' AS STRING) AS mesh_id, r.ray, round(min(h.t), 6) AS depth FROM r LEFT JOIN h USING (ray) GROUP BY 2"
+)
+
+
+@query(_FIRST_HITS)
 def j13_first_hits(s, d):
     tri = _tri(s, d).withColumns({f"{k}z": -F.col(f"{k}z") - 1 for k in "abc"})
     rays = proxy(s, d, "part").selectExpr("CAST('all' AS STRING) AS mesh_id", "p_partkey AS ray", "p_size / 30.0D AS dx", "p_retailprice / 2000 AS dy")
