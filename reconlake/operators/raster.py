@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reconlake.functions.expr import hash_normal, unproject
-from reconlake.operators.select import midpoint_strata
 from reconlake.operators.neighbours import nn_join
 from reconlake.operators.quantiles import quantiles, with_quantiles
+from reconlake.operators.select import midpoint_strata
+from reconlake.operators.tiles import convolved, eroded, extreme, gaussian_kernel, inner, shifted, tiled
+from reconlake.plans.lineage import stored
 
 KEY = ["sample_id", "v", "u"]
 
@@ -22,14 +25,6 @@ def _emit(px: DataFrame, offsets: list[tuple[int, int]], cols: list[str]) -> Dat
     return rows.select("sample_id", (F.col("v") + F.col("_o.dv")).alias("v"), (F.col("u") + F.col("_o.du")).alias("u"), *cols)
 
 
-def _diamond(n: int) -> list[tuple[int, int]]:
-    return [(i, j) for i in range(-n, n + 1) for j in range(-n, n + 1) if abs(i) + abs(j) <= n]
-
-
-def _square(r: int) -> list[tuple[int, int]]:
-    return [(i, j) for i in range(-r, r + 1) for j in range(-r, r + 1)]
-
-
 def mask_stats(px: DataFrame, mask: str = "mask", height: int = 480, width: int = 640) -> DataFrame:
     """Per sample with a masked pixel: area, box, fill of the box, border contact, centre offset from the frame's centre."""
     m = px.where(mask).groupBy("sample_id").agg(
@@ -46,12 +41,12 @@ def erode(px: DataFrame, n: int = 1, mask: str = "mask", border: bool = False) -
 
     With border, pixels that aren't in the table count as masked; then the table must hold the whole frame.
     """
-    offsets = _diamond(n)
-    if border:
-        bad = _emit(px.where(~F.col(mask)), offsets, []).distinct()
-        return px.where(mask).select(*KEY).join(bad, KEY, "left_anti")
-    full = _emit(px.where(mask), offsets, []).groupBy(*KEY).agg(F.count("*").alias("_n")).where(F.col("_n") == len(offsets))
-    return full.select(*KEY)
+
+    def kept(present, masked):
+        masked = np.where(present, masked, border)
+        return inner(present & eroded(masked, n, border), n), []
+
+    return tiled(px, [mask], n, kept, "")
 
 
 def boundary(px: DataFrame, n: int = 1, mask: str = "mask") -> DataFrame:
@@ -61,17 +56,24 @@ def boundary(px: DataFrame, n: int = 1, mask: str = "mask") -> DataFrame:
 
 def local_range(px: DataFrame, k: int = 5, value: str = "depth") -> DataFrame:
     """Largest minus smallest value of the k x k pixels around each pixel; missing values count as 0."""
-    rows = px.withColumn("_x", F.coalesce(F.col(value), F.lit(0.0)))
-    out = _emit(rows, _square(k // 2), ["_x"]).groupBy(*KEY).agg((F.max("_x") - F.min("_x")).alias("range"))
-    return out.join(px.select(*KEY), KEY, "left_semi")
+    r = k // 2
+
+    def ranges(present, x):
+        most, least = (extreme(np.where(present, x, e), r, best, e) for best, e in ((np.maximum, -np.inf), (np.minimum, np.inf)))
+        return inner(present, r), [inner(np.where(present, most - least, 0.0), r)]
+
+    return tiled(px.withColumn("_x", F.coalesce(F.col(value), F.lit(0.0))), ["_x"], r, ranges, "range double")
 
 
 def laplacian(px: DataFrame, value: str) -> DataFrame:
     """Sum of the four neighbours minus four times the pixel, where all five are defined."""
-    four = [(0, 1), (0, -1), (1, 0), (-1, 0)]
-    near = _emit(px.where(F.col(value).isNotNull()), four, [value]).groupBy(*KEY).agg(F.sum(value).alias("_s"), F.count("*").alias("_n"))
-    rows = px.where(F.col(value).isNotNull()).select(*KEY, F.col(value).alias("_x")).join(near.where("_n = 4"), KEY)
-    return rows.select(*KEY, (F.col("_s") - 4 * F.col("_x")).alias("residual"))
+
+    def residuals(present, x):
+        defined = eroded(present, 1, False)
+        near = sum(shifted(x, dv, du, 0.0) for dv, du in ((0, 1), (0, -1), (1, 0), (-1, 0)))
+        return inner(defined, 1), [inner(near - 4 * x, 1)]
+
+    return tiled(px.where(F.col(value).isNotNull()), [value], 1, residuals, "residual double")
 
 
 def depth_noise(px: DataFrame, interior: int = 3, patch: int = 2, span: float = 0.01) -> DataFrame:
@@ -96,15 +98,40 @@ def missing_rates(px: DataFrame, n: int = 3) -> DataFrame:
     return rows.groupBy("sample_id").agg(F.avg(F.when(F.col("_in"), F.col("_miss"))).alias("interior"), F.avg(F.when(F.col("_in").isNull(), F.col("_miss"))).alias("boundary"))
 
 
-def corrupt_depth(px: DataFrame, sigma: float, step: float, dropout: float, radius: int = 2, seed: str = "depth") -> DataFrame:
-    """Px with depth of a sensor: normal noise that grows with the square of depth, rounding to steps, and dropout where a
-    smoothed random field is among its lowest share of the sample."""
-    rows = px.withColumn("_f", hash_normal(seed + "/dropout", *KEY))
-    field = _emit(rows, _square(radius), ["_f"]).groupBy(*KEY).agg(F.avg("_f").alias("_f")).join(px.select(*KEY), KEY, "left_semi")
-    cut = field.groupBy("sample_id").agg(F.percentile("_f", F.lit(dropout)).alias("_cut"))
-    noisy = F.col("depth") + sigma * F.col("depth") * F.col("depth") * hash_normal(seed + "/noise", *KEY)
-    rows = px.join(field, KEY).join(cut, "sample_id").withColumn("depth", F.when(F.col("_f") >= F.col("_cut"), F.rint(noisy / step) * step).otherwise(0.0))
-    return rows.drop("_f", "_cut")
+def correlated_field(samples: DataFrame, height: int, width: int, sigma: float, seed: str) -> DataFrame:
+    """(sample_id, v, u, field): normal draws of every pixel of the frame, smoothed by a normal curve of `sigma` pixels.
+
+    Draws are mirrored at the frame's edges, the edge pixel included.
+    """
+    kernel = gaussian_kernel(sigma)
+    r = len(kernel) // 2
+    mirrored = lambda c, n: F.when(F.pmod(c, F.lit(2 * n)) < n, F.pmod(c, F.lit(2 * n))).otherwise(2 * n - 1 - F.pmod(c, F.lit(2 * n)))
+    grid = samples.select("sample_id").distinct().withColumn("v", F.explode(F.sequence(F.lit(-r), F.lit(height - 1 + r)))).withColumn("u", F.explode(F.sequence(F.lit(-r), F.lit(width - 1 + r))))
+    grid = grid.withColumn("_f", hash_normal(seed, "sample_id", mirrored(F.col("v"), height), mirrored(F.col("u"), width)))
+
+    def smoothed(present, f):
+        return inner(present, r), [inner(convolved(np.where(present, f, 0.0), kernel), r)]
+
+    return tiled(grid, ["_f"], r, smoothed, "field double").where(F.col("v").between(0, height - 1) & F.col("u").between(0, width - 1))
+
+
+def corrupt_depth(px: DataFrame, noise: float, step: float, interior: float, boundary_: float, height: int = 480, width: int = 640, sigma: float | None = None, seed: str = "depth") -> DataFrame:
+    """Px with depth as a sensor has it, by measured statistics: noise coefficient of inverse depth, step, and invalid rates.
+
+    Normal noise grows with the square of depth; depth is rounded to steps. Pixels drop out where a correlated field is below its
+    quantile at the invalid rate, which is one for the mask's boundary, max(1, 3 height / 480) erosions wide, and one for all other
+    pixels; quantiles are over the whole frame. Depths that are null, not finite or not above 0 become 0. sigma, in pixels: the
+    field's smoothing, by default 1.5 height / 480. Pixels outside of the frame are not allowed.
+    """
+    field = stored(correlated_field(px, height, width, sigma or 1.5 * height / 480, seed + "/dropout"), "field")
+    cuts = quantiles(field, ["sample_id"], "field", {"_interior": interior, "_boundary": boundary_})
+    edge = boundary(px, max(1, round(3 * height / 480))).select(*KEY, F.lit(True).alias("_edge"))
+    depth = F.col("depth").cast("double")
+    noisy = depth + noise * depth * depth * hash_normal(seed + "/noise", *KEY)
+    valid = F.coalesce((depth > 0) & (depth < float("inf")), F.lit(False))
+    rows = px.join(field, KEY).join(cuts, "sample_id").join(edge, KEY, "left")
+    missing = F.col("field") < F.when(F.coalesce("_edge", F.lit(False)), F.col("_boundary")).otherwise(F.col("_interior"))
+    return rows.withColumn("depth", F.when(valid & ~missing, F.rint(noisy / step) * step).otherwise(0.0)).drop("field", "_interior", "_boundary", "_edge")
 
 
 def observation_filter(px: DataFrame, radius: float = 0.25, least: int = 512, low: float = 0.1, high: float = 10.0) -> DataFrame:

@@ -799,9 +799,31 @@ def r05_missing_rates(s, d):
     return r6(R.missing_rates(proxy(s, d, "px"), 1))
 
 
-@query()
+def _normal(seed: str, key: str) -> str:
+    return f"(sqrt(-2 * ln(1 - {_u(seed + '/u', key)})) * cos(2 * pi() * {_u(seed + '/v', key)}))"
+
+
+def _field_sql(height: int, width: int, sigma: float, seed: str) -> str:
+    """Normal draws of the frame, mirrored at its edges and weighted along rows, then columns, by exp(-d^2 / 2 sigma^2)."""
+    r = int(4 * sigma + 0.5)
+    mirror = lambda c, n: f"CASE WHEN {c} < 0 THEN -1 - {c} WHEN {c} >= {n} THEN {2 * n - 1} - {c} ELSE {c} END"
+    draws = f"SELECT sample_id, v, u, {_normal(seed, chr(39).join(['sample_id || ', '/', ' || v || ', '/', ' || u']))} AS f FROM (SELECT DISTINCT sample_id FROM px) AS s, range({height}) AS a(v), range({width}) AS b(u)"
+    kernel = f"SELECT k, exp(-0.5 * k * k / {sigma * sigma!r}) / sum(exp(-0.5 * k * k / {sigma * sigma!r})) OVER () AS w FROM range({-r}, {r + 1}) AS q(k)"
+    rows = f"SELECT x.sample_id, x.v, x.u, sum(w * y.f) AS f FROM draws AS x, kernel JOIN draws AS y ON y.sample_id = x.sample_id AND y.v = x.v AND y.u = {mirror('(x.u + k)', width)} GROUP BY 1, 2, 3"
+    columns = f"SELECT x.sample_id, x.v, x.u, sum(w * y.f) AS field FROM lines AS x, kernel JOIN lines AS y ON y.sample_id = x.sample_id AND y.u = x.u AND y.v = {mirror('(x.v + k)', height)} GROUP BY 1, 2, 3"
+    return f"draws AS ({draws}), kernel AS ({kernel}), lines AS ({rows}), field AS ({columns})"
+
+
+_NOISY = "round_even((depth + 0.002 * depth * depth * " + _normal("depth/noise", "p.sample_id || '/' || p.v || '/' || p.u") + ") / 0.001, 0) * 0.001"
+
+
+@query(
+    "WITH px AS (SELECT * FROM {px} AS raw), " + _field_sql(31, 24, 0.8, "depth/dropout") + ", cut AS (SELECT sample_id, quantile_cont(field, 0.1) AS low, quantile_cont(field, 0.3) AS high FROM field GROUP BY 1) "
+    f"SELECT p.sample_id, p.v, p.u, p.mask, p.r, p.g, p.b, round(CASE WHEN p.depth > 0 AND NOT (f.field < CASE WHEN p.mask AND i.v IS NULL THEN c.high ELSE c.low END) THEN {_NOISY} ELSE 0 END, 6) + 0.0 AS depth "
+    "FROM px AS p JOIN field AS f ON f.sample_id = p.sample_id AND f.v = p.v AND f.u = p.u JOIN cut AS c ON c.sample_id = p.sample_id LEFT JOIN (" + _INNER + ") AS i ON p.sample_id = i.sample_id AND p.v = i.v AND p.u = i.u"
+)
 def r06_corrupt_depth(s, d):
-    return R.corrupt_depth(proxy(s, d, "px"), 0.002, 0.001, 0.1)
+    return r6(R.corrupt_depth(proxy(s, d, "px"), 0.002, 0.001, 0.1, 0.3, 31, 24, 0.8).select("sample_id", "v", "u", "mask", "r", "g", "b", "depth"))
 
 
 @query("SELECT p.sample_id, p.v, p.u, p.depth FROM {px} AS p JOIN (SELECT sample_id, median(depth) AS m FROM {px} WHERE mask AND depth > 0 GROUP BY 1) AS q USING (sample_id) WHERE mask AND depth > 0 AND abs(depth - m) <= 0.004")
@@ -1285,7 +1307,7 @@ def j11_match_poses(s, d):
 
 # every ray with every triangle's plane (its corners' z turned to -z - 1), and whether the point met lies on the inner side of all edges
 _HIT = "(a_x * nx + a_y * ny + a_z * nz) / (dx * nx + dy * ny - nz)"
-_INNER = " AND ".join(
+_WITHIN = " AND ".join(
     "(" + " + ".join(f"{a} * n{k}" for a, k in zip(_cross([f"({e}_{k} - {s}_{k})" for k in "xyz"], [f"(t * dx - {s}_x)", f"(t * dy - {s}_y)", f"(-t - {s}_z)"]), "xyz")) + " >= 0)"
     for s, e in ("ab", "bc", "ca")
 )
@@ -1293,7 +1315,7 @@ _FIRST_HITS = (
     "WITH c AS (SELECT mesh_id, " + ", ".join(f"{c}_{k}" if k != "z" else f"-{c}_z - 1 AS {c}_z" for c in "abc" for k in "xyz") + " FROM (" + _CORNERS + ") AS corners), "
     "n AS (SELECT *, " + ", ".join(f"{e} AS n{k}" for e, k in zip(_cross(*_SPAN), "xyz")) + " FROM c WHERE greatest(a_z, b_z, c_z) < 0), "
     "r AS (SELECT p_partkey AS ray, p_size / CAST(30 AS DOUBLE) AS dx, CAST(p_retailprice AS DOUBLE) / 2000 AS dy FROM part), "
-    f"h AS (SELECT * FROM (SELECT r.*, n.*, {_HIT} AS t FROM r, n WHERE abs(dx * nx + dy * ny - nz) > 1e-14) AS x WHERE t > 0 AND {_INNER}) "
+    f"h AS (SELECT * FROM (SELECT r.*, n.*, {_HIT} AS t FROM r, n WHERE abs(dx * nx + dy * ny - nz) > 1e-14) AS x WHERE t > 0 AND {_WITHIN}) "
     "SELECT CAST('all' AS STRING) AS mesh_id, r.ray, round(min(h.t), 6) AS depth FROM r LEFT JOIN h USING (ray) GROUP BY 2"
 )
 
