@@ -60,9 +60,9 @@ def _k(n: str, seed: str, key: str) -> str:
 # ---- sources and sinks
 
 
-@query("SELECT 'user' || CAST(user_id % 7 AS VARCHAR) AS name, max(event_id) AS record, arg_max(value, event_id) AS value FROM events WHERE event_type <> 'error' AND event_id % 50 <> 3 GROUP BY 1")
+@query("SELECT 'user' || CAST(user_id % 7 AS VARCHAR) AS name, max(event_id) AS record, arg_max(value, event_id) AS value FROM events WHERE event_type <> 'error' GROUP BY 1")
 def s04_read_catalog(s, d):
-    rows = proxy(s, d, "events").where("event_id % 50 <> 3")
+    rows = proxy(s, d, "events")
     rec = F.struct(F.concat(F.lit("user"), (F.col("user_id") % 7).cast("string")).alias("name"), F.when(F.col("event_type") == "error", "other").otherwise("own").alias("owner"), F.col("event_id").alias("record"), "value")
     pages = rows.groupBy(F.floor(F.col("event_id") / 500).alias("page")).agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", rec.alias("r")))), lambda x: x["r"]).alias("records"))
     return S.read_catalog(pages, "own").select("name", "record", "value")
@@ -389,9 +389,9 @@ def j12_aabb_pairs(s, d):
     return J.aabb_pairs(box, "l_orderkey", "key")
 
 
-@query("SELECT DISTINCT p_partkey AS src, m AS dst FROM (SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_brand, p_type) AS m FROM part) AS x WHERE p_partkey <> m UNION SELECT l_orderkey, l_partkey FROM lineitem WHERE l_quantity >= 50")
+@query("SELECT DISTINCT p_partkey AS src, m AS dst FROM (SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_brand, p_type) AS m FROM part) AS x WHERE p_partkey <> m UNION SELECT l_orderkey, l_partkey FROM lineitem")
 def j14_inherit_links(s, d):
-    e = proxy(s, d, "lineitem").where("l_quantity >= 50").selectExpr("l_orderkey AS src", "l_partkey AS dst")
+    e = proxy(s, d, "lineitem").selectExpr("l_orderkey AS src", "l_partkey AS dst")
     fam = proxy(s, d, "part").select(F.concat_ws("/", "p_brand", "p_type").alias("fam"), "p_partkey")
     return J.inherit_links(e, fam, "fam", "p_partkey")
 
@@ -623,9 +623,9 @@ def w16_quantile_slots(s, d):
     return W.quantile_slots(proxy(s, d, "scores"), ["arm"], "value", "sample_id").select("arm", "slot", "sample_id")
 
 
-@query("SELECT arm, sample_id, rank FROM (SELECT arm, sample_id, row_number() OVER (PARTITION BY arm ORDER BY round(abs(value - m), 12) NULLS LAST, sample_id) AS rank FROM (SELECT *, median(value) OVER (PARTITION BY arm) AS m FROM {scores}) AS y) AS x WHERE rank <= 25")
+@query("SELECT arm, sample_id, rank FROM (SELECT arm, sample_id, row_number() OVER (PARTITION BY arm ORDER BY round(abs(value - m), 12) NULLS LAST, sample_id) AS rank FROM (SELECT *, median(value) OVER (PARTITION BY arm) AS m FROM {scores}) AS y) AS x")
 def w17_median_order(s, d):
-    return W.median_order(proxy(s, d, "scores"), ["arm"], "value", "sample_id").where("rank <= 25").select("arm", "sample_id", "rank")
+    return W.median_order(proxy(s, d, "scores"), ["arm"], "value", "sample_id").select("arm", "sample_id", "rank")
 
 
 @query("SELECT DISTINCT arm, value, round(cume_dist() OVER (PARTITION BY arm ORDER BY value), 6) AS share FROM {scores} WHERE value IS NOT NULL")
@@ -904,11 +904,11 @@ def g05_mesh_topology(s, d):
     return G.mesh_topology(proxy(s, d, "faces"), _tri(s, d)).select("mesh_id", "boundary_edges", "nonmanifold_edges", "inconsistent_edges")
 
 
-@query("WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS c, CAST(date_trunc('month', o_orderdate) AS DATE) AS m, min(o_custkey) OVER (PARTITION BY o_orderdate, o_orderpriority) AS h FROM orders WHERE o_totalprice > 300000), p AS (SELECT DISTINCT c AS a, h AS b FROM e WHERE c <> h), n AS (SELECT a AS x, b AS y FROM p UNION SELECT b, a FROM p), r AS (SELECT x AS node, x AS reach FROM n UNION SELECT r.node, n.y FROM r JOIN n ON r.reach = n.x) SELECT node, min(reach) AS component FROM r GROUP BY 1")
+@query("WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS c, CAST(date_trunc('month', o_orderdate) AS DATE) AS m, min(o_custkey) OVER (PARTITION BY o_orderdate, o_orderpriority) AS h FROM orders), p AS (SELECT DISTINCT c AS a, h AS b FROM e WHERE c <> h), n AS (SELECT a AS x, b AS y FROM p UNION SELECT b, a FROM p), r AS (SELECT x AS node, x AS reach FROM n UNION SELECT r.node, n.y FROM r JOIN n ON r.reach = n.x) SELECT node, min(reach) AS component FROM r GROUP BY 1")
 def g07_connected_components(s, d):
     from reconlake.operators.graph import connected_components
 
-    o = proxy(s, d, "orders").where("o_totalprice > 300000")
+    o = proxy(s, d, "orders")
     hub = o.groupBy("o_orderdate", "o_orderpriority").agg(F.min("o_custkey").alias("dst"))
     return connected_components(o.join(hub, ["o_orderdate", "o_orderpriority"]).selectExpr("o_custkey AS src", "dst"))
 
@@ -957,11 +957,11 @@ def g15_subset_recall(s, d):
     return r6(V.subset_recall(back, flags, ["cloud"], ["visible"], t=0.05))
 
 
-@query(f"SELECT cloud, count(*) FILTER (NOT near) AS added, round(avg(CASE WHEN NOT near THEN CASE WHEN dd <= 0.05 THEN 1.0 ELSE 0 END END), 6) AS added_precision FROM (SELECT f.cloud, f.dd, EXISTS (SELECT 1 FROM {{odd}} AS p, {{even}} AS q WHERE p.cloud = f.cloud AND p.point_id = f.point_id AND q.cloud = p.cloud AND q.point_id % 4 = 0 AND sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2) <= 0.05) AS near FROM {_FWD} AS f) AS x GROUP BY 1")
+@query(f"SELECT cloud, count(*) FILTER (NOT near) AS added, round(avg(CASE WHEN NOT near THEN CASE WHEN dd <= 0.05 THEN 1.0 ELSE 0 END END), 6) AS added_precision FROM (SELECT f.cloud, f.dd, EXISTS (SELECT 1 FROM {{odd}} AS p, {{even}} AS q WHERE p.cloud = f.cloud AND p.point_id = f.point_id AND q.cloud = p.cloud AND sqrt((p.x - q.x - 0.02) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2) <= 0.05) AS near FROM {_FWD} AS f) AS x GROUP BY 1")
 def g16_added_points(s, d):
     p, t = points(s, d, 1), points(s, d, 0)
     forward, _ = V.distances(p, t, ["cloud"])
-    return r6(V.added_points(p, t.where("point_id % 4 = 0"), forward, ["cloud"], t=0.05))
+    return r6(V.added_points(p, t.withColumn("x", F.col("x") + 0.02), forward, ["cloud"], t=0.05))
 
 
 @query(f"SELECT cloud, round(avg(dd), 6) AS mean, round(quantile_cont(dd, 0.95), 6) AS p95, round(max(dd), 6) AS max FROM (SELECT cloud, dd FROM {_FWD} AS a UNION ALL SELECT cloud, dd FROM {_BWD} AS b) AS x GROUP BY 1")
@@ -995,16 +995,22 @@ def g23_settle_checks(s, d):
     return r6(G.settle_checks(p, p.withColumn("z", F.col("z") - 0.01), ["cloud"], "point_id").select("cloud", "penetration", "movement"))
 
 
-_GRID = "(SELECT n_regionkey AS grid_id, ix, iy, iz, sqrt((ix / 8.0 - 0.5) ** 2 + (iy / 8.0 - 0.5) ** 2 + (iz / 8.0 - 0.5) ** 2) AS udf_m FROM (SELECT DISTINCT n_regionkey FROM nation) AS g, range(9) AS a(ix), range(9) AS b(iy), range(9) AS c(iz))"
+# distances of each cloud's 9 x 9 x 9 grid nodes to its nearest point
+_GRID = "(SELECT cloud AS grid_id, ix, iy, iz, min(sqrt((ix / 4.0 - 1 - x) ** 2 + (iy / 4.0 - 1 - y) ** 2 + (iz / 4.0 - 1 - z) ** 2)) AS udf_m FROM {points}, range(9) AS a(ix), range(9) AS b(iy), range(9) AS c(iz) GROUP BY 1, 2, 3, 4)"
 
 
-@query(f"SELECT a.grid_id, a.ix, a.iy, a.iz FROM {_GRID} AS a JOIN {_GRID} AS b ON a.grid_id = b.grid_id AND b.ix BETWEEN a.ix AND a.ix + 1 AND b.iy BETWEEN a.iy AND a.iy + 1 AND b.iz BETWEEN a.iz AND a.iz + 1 GROUP BY 1, 2, 3, 4 HAVING count(*) = 8 AND bool_or(b.udf_m <= 0.3) AND NOT bool_and(b.udf_m <= 0.3)")
-def g24_active_cells(s, d):
-    g = proxy(s, d, "nation").select(F.col("n_regionkey").alias("grid_id")).distinct()
+def _grid(s, d) -> DataFrame:
+    g = points(s, d).select(F.col("cloud").alias("grid_id")).distinct()
     for a in "xyz":
         g = g.withColumn(f"i{a}", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(8).cast("long"))))
-    dist = F.sqrt(sum(((F.col(f"i{a}") / 8 - 0.5) * (F.col(f"i{a}") / 8 - 0.5) for a in "yz"), (F.col("ix") / 8 - 0.5) * (F.col("ix") / 8 - 0.5)))
-    return G.active_cells(g.withColumn("udf_m", dist), 0.3)
+    g = g.withColumns({"node": F.struct("ix", "iy", "iz"), **{a: F.col(f"i{a}") / 4 - 1 for a in "xyz"}})
+    near = N.nn_join(g, points(s, d).withColumnRenamed("cloud", "grid_id"), ["grid_id"], "node", "point_id")
+    return near.select("grid_id", "node.*", F.col("distance").alias("udf_m"))
+
+
+@query(f"SELECT a.grid_id, a.ix, a.iy, a.iz FROM {_GRID} AS a JOIN {_GRID} AS b ON a.grid_id = b.grid_id AND b.ix BETWEEN a.ix AND a.ix + 1 AND b.iy BETWEEN a.iy AND a.iy + 1 AND b.iz BETWEEN a.iz AND a.iz + 1 GROUP BY 1, 2, 3, 4 HAVING count(*) = 8 AND bool_or(b.udf_m <= 0.5) AND NOT bool_and(b.udf_m <= 0.5)")
+def g24_active_cells(s, d):
+    return G.active_cells(_grid(s, d), 0.5)
 
 
 # ---- statistics, splits, schedules
@@ -1131,10 +1137,10 @@ def d07_audit_buckets(s, d):
 # ---- more checks on pixels, meshes and streams
 
 
-@query("SELECT sample_id, seed, value >= 0.999 AND value / 1000000 <= 0.00001 AS reproduced FROM {pairs} WHERE arm = 'view'")
+@query("SELECT sample_id, arm, seed, value >= 0.999 AND value / 1000000 <= 0.00001 AS reproduced FROM {pairs}")
 def p22_reproduction_gate(s, d):
-    rows = proxy(s, d, "pairs").where("arm = 'view'").selectExpr("sample_id", "seed", "value AS iou", "value / 1000000 AS depth_p95")
-    return P.reproduction_gate(rows).select("sample_id", "seed", "reproduced")
+    rows = proxy(s, d, "pairs").selectExpr("sample_id", "arm", "seed", "value AS iou", "value / 1000000 AS depth_p95")
+    return P.reproduction_gate(rows).select("sample_id", "arm", "seed", "reproduced")
 
 
 @query("SELECT doc_id AS sample_id, problem FROM (SELECT doc_id, unnest([x FOR x IN [CASE WHEN decision IS NULL THEN 'no review' END, CASE WHEN decision = 'pass' AND n_chars % 2 = 0 AND n_chars % 3 = 0 THEN 'mask changed' END, CASE WHEN decision = 'pass' AND n_chars % 2 = 1 THEN 'accepted edit equals source' END, CASE WHEN decision <> 'pass' AND n_chars % 2 = 0 THEN 'fallback differs from source' END] IF x IS NOT NULL]) AS problem FROM documents LEFT JOIN {reviews} AS r ON r.sample_id = doc_id) AS y")
@@ -1210,9 +1216,9 @@ def g19_registration(s, d):
     return r6(G.registration(pts, _tri(s, d), ["mesh_id"], "point_id", 0.25))
 
 
-@query("SELECT sample_id, greatest(0, least(floor((u0 + u1 + 1 - w) / 2), 24 - w)) AS \"left\", greatest(0, least(floor((v0 + v1 + 1 - h) / 2), 30 - h)) AS top, greatest(0, least(floor((u0 + u1 + 1 - w) / 2), 24 - w)) + w AS \"right\", greatest(0, least(floor((v0 + v1 + 1 - h) / 2), 30 - h)) + h AS bottom FROM (SELECT *, floor(w * 3 / 4) AS h FROM (SELECT sample_id, min(v) AS v0, max(v) AS v1, min(u) AS u0, max(u) AS u1, least(24, 4 * ceil(greatest((max(u) - min(u) + 1) * 1.4, (max(v) - min(v) + 1) * 1.4 * 4 / 3) / 4)) AS w FROM {px} WHERE mask AND u BETWEEN 8 AND 12 AND v BETWEEN 10 AND 13 GROUP BY 1) AS y) AS x")
+@query("SELECT sample_id, greatest(0, least(floor((u0 + u1 + 1 - w) / 2), 24 - w)) AS \"left\", greatest(0, least(floor((v0 + v1 + 1 - h) / 2), 30 - h)) AS top, greatest(0, least(floor((u0 + u1 + 1 - w) / 2), 24 - w)) + w AS \"right\", greatest(0, least(floor((v0 + v1 + 1 - h) / 2), 30 - h)) + h AS bottom FROM (SELECT *, floor(w * 3 / 4) AS h FROM (SELECT sample_id, min(v) AS v0, max(v) AS v1, min(u) AS u0, max(u) AS u1, least(24, 4 * ceil(greatest((max(u) - min(u) + 1) * 1.4, (max(v) - min(v) + 1) * 1.4 * 4 / 3) / 4)) AS w FROM {px} WHERE mask GROUP BY 1) AS y) AS x")
 def f12_crop_box(s, d):
-    return R.crop_box(proxy(s, d, "px").where("u between 8 and 12 and v between 10 and 13"), 30, 24)
+    return R.crop_box(proxy(s, d, "px"), 30, 24)
 
 
 @query()
@@ -1347,13 +1353,9 @@ def f23_camera_from_projection(s, d):
     return proxy(s, d, "events").select("event_id", cam.alias("c")).select("event_id", "c.*")
 
 
-@query(f"SELECT grid_id, round(avg(CASE WHEN udf_m <= 0.6 THEN 1.0 ELSE 0 END), 6) AS contact FROM {_GRID} AS g WHERE ix IN (0, 8) OR iy IN (0, 8) OR iz IN (0, 8) GROUP BY 1")
+@query(f"SELECT grid_id, round(avg(CASE WHEN udf_m <= 0.8 THEN 1.0 ELSE 0 END), 6) AS contact FROM {_GRID} AS g WHERE ix IN (0, 8) OR iy IN (0, 8) OR iz IN (0, 8) GROUP BY 1")
 def g24_boundary_contact(s, d):
-    g = proxy(s, d, "nation").select(F.col("n_regionkey").alias("grid_id")).distinct()
-    for a in "xyz":
-        g = g.withColumn(f"i{a}", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(8).cast("long"))))
-    dist = F.sqrt(sum(((F.col(f"i{a}") / 8 - 0.5) * (F.col(f"i{a}") / 8 - 0.5) for a in "yz"), (F.col("ix") / 8 - 0.5) * (F.col("ix") / 8 - 0.5)))
-    return r6(G.boundary_contact(g.withColumn("udf_m", dist), 0.6))
+    return r6(G.boundary_contact(_grid(s, d), 0.8))
 
 
 @query()
