@@ -879,7 +879,7 @@ def r14_composite(s, d):
 
 @query()
 def g01_sample_surface(s, d):
-    return G.sample_surface(_tri(s, d), 2000)
+    return r6(G.sample_surface(_tri(s, d), 2000))
 
 
 @query("SELECT mesh_id, count(DISTINCT list_sort([CAST(CAST(round_even(k.x * 1000000, 0) AS BIGINT) AS VARCHAR) || ',' || CAST(round_even(k.y * 1000000, 0) AS BIGINT) || ',' || CAST(round_even(k.z * 1000000, 0) AS BIGINT) FOR k IN corners])) AS items FROM (SELECT f.mesh_id, [p1, p2, p3] AS corners FROM {faces} AS f JOIN {vertices} AS p1 ON f.a = p1.vid JOIN {vertices} AS p2 ON f.b = p2.vid JOIN {vertices} AS p3 ON f.c = p3.vid) AS t GROUP BY 1")
@@ -981,7 +981,7 @@ def g20_occupancy(s, d):
 def g21_sample_queries(s, d):
     tri = _tri(s, d)
     roi = V.model_roi(proxy(s, d, "vertices"), ["mesh_id"])
-    return G.sample_queries(tri, roi, 500, 500, 0.02)
+    return r6(G.sample_queries(tri, roi, 500, 500, 0.02))
 
 
 @query(f"SELECT arm, sample_id FROM (SELECT arm, sample_id, row_number() OVER (PARTITION BY arm ORDER BY {_h('mix', 'sample_id')}, sample_id) AS n FROM {{scores}}) AS x WHERE n <= CASE arm WHEN 'view' THEN 50 WHEN 'click' THEN 20 ELSE 0 END")
@@ -1548,3 +1548,99 @@ def o01_stable_order(s, d):
     sizes = rows.groupBy(part).agg(F.count("*").alias("n"))  # a row a task
     before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     return rows.withColumn("part", part).join(before, "part").select("p_partkey", (F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("place"))
+
+
+# ---- SQL of greedy choices, draws on surfaces and masks; kept apart, since it is long
+
+
+def _surface_sql(tri: str, n: int, seed: str) -> str:
+    """CTEs down to surf(mesh_id, point_id, fid, x, y, z): faces of `tri` by running area in order of fid, one draw a point."""
+    draw = lambda k: _u(f"{seed}/{k}", "mesh_id || '/' || point_id")
+    area = "sqrt(" + " + ".join(f"({e}) * ({e})" for e in _cross(*_SPAN)) + ")"
+    at = ", ".join(f"(1 - root) * a_{k} + root * (1 - second) * b_{k} + root * second * c_{k} AS {k}" for k in "xyz")
+    return (
+        f"t AS ({tri}), runs AS (SELECT *, sum(area) OVER (PARTITION BY mesh_id ORDER BY fid) AS hi FROM (SELECT *, {area} AS area FROM t) AS x WHERE area > 1e-14), "
+        f"draws AS (SELECT mesh_id, point_id, {draw('face')} * total AS at, sqrt({draw('u')}) AS root, {draw('v')} AS second FROM (SELECT mesh_id, max(hi) AS total FROM runs GROUP BY 1) AS x, range({n}) AS q(point_id)), "
+        f"surf AS (SELECT d.mesh_id, d.point_id, r.fid, {at} FROM draws AS d JOIN runs AS r ON r.mesh_id = d.mesh_id AND d.at >= r.hi - r.area AND d.at < r.hi)"
+    )
+
+
+_ROUNDED = "round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(z, 6) + 0.0 AS z"
+_SIZE = "sqrt(" + " + ".join(f"({e}) * ({e})" for e in _cross(*_SPAN)) + ")"
+_OFFSET = ", ".join(f"s.{k} + 0.02 * {_normal('queries/offset', 's.mesh_id || ' + chr(39) + '/' + chr(39) + ' || s.point_id')} * ({e}) / {_SIZE} AS {k}" for k, e in zip("xyz", _cross(*_SPAN)))
+_ROI = "(SELECT mesh_id, (min(x) + max(x)) / 2 AS cx, (min(y) + max(y)) / 2 AS cy, (min(z) + max(z)) / 2 AS cz, greatest(greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) / 2 * 1.1, 0.05) AS half FROM {vertices} GROUP BY 1)"
+_FREE = ", ".join(f"c{k} + half * (2 * {_u('queries/' + k, 'mesh_id || ' + chr(39) + '/' + chr(39) + ' || point_id')} - 1) AS {k}" for k in "xyz")
+_POSED = "SELECT 'view' AS mesh_id, fid, " + ", ".join(f"0.05 * {c}_{k} - {1.0 if k == 'z' else 0.1} AS {c}_{k}" for c in "abc" for k in "xyz") + " FROM (" + _CORNERS + ") AS corners"
+_TAKEN = "STRUCT(s BIGINT, f BIGINT, b VARCHAR, r VARCHAR)[]"
+_FOUR = "abs(a.v - b.v) + abs(a.u - b.u)"
+
+
+def _toned(inner: str) -> str:
+    clip = lambda e: f"least(greatest({e}, 0.0), 255.0)"
+    draw = lambda k, low, high: f"({low} + {high - low!r} * {_u('photo/' + k, 'sample_id')})"
+    grey = "(0.299 * r + 0.587 * g + 0.114 * b)"
+    each = lambda f: ", ".join(f"{f(c)} AS {c}" for c in "rgb")
+    one = f"SELECT sample_id, v, u, {each(lambda c: clip(f'{c} * ' + draw('brightness', 0.8, 1.2)))} FROM {inner} AS q"
+    two = f"SELECT sample_id, v, u, {each(lambda c: clip(f'm + ({c} - m) * ' + draw('contrast', 0.8, 1.2)))} FROM (SELECT *, avg({grey}) OVER (PARTITION BY sample_id) AS m FROM ({one}) AS w) AS x"
+    three = f"SELECT sample_id, v, u, {each(lambda c: clip(f'm + ({c} - m) * ' + draw('saturation', 0.8, 1.2)))} FROM (SELECT *, {grey} AS m FROM ({two}) AS y) AS z"
+    tone = each(lambda c: f"CAST(round_even(255 * pow({c} / 255, {draw('gamma', 0.9, 1.1)}), 0) AS INT)")
+    return f"SELECT sample_id, v, u, {tone} FROM ({three}) AS k"
+
+
+_VARIANTS = [([p, q, "z"], [i, j, 1]) for p, q in ("xy", "yx") for i in (1, -1) for j in (1, -1)]
+_TURNED = " UNION ALL ".join("SELECT cloud, point_id, " + str(k) + " AS variant, " + ", ".join(f"{f} * {src} AS {to}" for f, src, to in zip(sign, axes, "xyz")) + " FROM {points}" for k, (axes, sign) in enumerate(_VARIANTS))
+_GAP = "sqrt((l.x - r.x) ** 2 + (l.y - r.y) ** 2 + (l.z - r.z) ** 2)"
+
+_LONG = {
+    "w02_spaced_select": (
+        "WITH RECURSIVE o AS (SELECT object_id, scene_id AS s, image_id AS f, CASE WHEN vis < 0.4 THEN 'low' WHEN vis < 0.7 THEN 'medium' ELSE 'high' END AS b, sha256('spaced/' || scene_id || '/' || image_id || '/' || sample_id || '/' || object_id) AS r FROM {obs} WHERE pixels >= 512 AND vis >= 0.1), "
+        "i AS (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY phase, r) AS step FROM (SELECT *, CASE b WHEN 'low' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END AS phase FROM o UNION ALL SELECT *, 3 FROM o) AS x), "
+        f"g AS (SELECT DISTINCT object_id, CAST(0 AS BIGINT) AS step, CAST([] AS {_TAKEN}) AS taken FROM o UNION ALL "
+        "SELECT g.object_id, i.step, CASE WHEN len(list_filter(g.taken, lambda x: x.s = i.s AND abs(x.f - i.f) < 15)) = 0 AND CASE WHEN i.phase < 3 THEN len(list_filter(g.taken, lambda x: x.b = i.b)) < 2 ELSE len(g.taken) < 6 END "
+        "THEN list_append(g.taken, {'s': CAST(i.s AS BIGINT), 'f': CAST(i.f AS BIGINT), 'b': i.b, 'r': i.r}) ELSE g.taken END FROM g JOIN i ON i.object_id = g.object_id AND i.step = g.step + 1), "
+        "e AS (SELECT object_id, arg_max(taken, step) AS taken FROM g GROUP BY 1), k AS (SELECT object_id, taken, unnest(range(1, len(taken) + 1)) AS pick FROM e) "
+        "SELECT object_id, CAST(pick AS INT) AS pick, taken[pick].s AS scene_id, taken[pick].f AS image_id, taken[pick].b AS visibility_bin, taken[pick].r AS rank FROM k"
+    ),
+    "f16_mask_prompt": (
+        "WITH px AS (SELECT * FROM {px} AS raw), box AS (SELECT sample_id, min(v) AS v0, max(v) AS v1, min(u) AS u0, max(u) AS u1 FROM px WHERE mask GROUP BY 1), "
+        "d AS (SELECT a.sample_id, a.v, a.u, min(sqrt((a.v - b.v) ** 2 + (a.u - b.u) ** 2)) AS d FROM px AS a LEFT JOIN px AS b ON b.sample_id = a.sample_id AND NOT b.mask WHERE a.mask GROUP BY 1, 2, 3), "
+        "far AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY d DESC NULLS LAST, v, u) = 1) "
+        "SELECT sample_id, CAST(round(greatest(v0 - 0.1 * (v1 - v0 + 1), 0.0), 6) AS DOUBLE) AS top, CAST(round(least(v1 + 0.1 * (v1 - v0 + 1), 29.0), 6) AS DOUBLE) AS bottom, CAST(round(greatest(u0 - 0.1 * (u1 - u0 + 1), 0.0), 6) AS DOUBLE) AS \"left\", CAST(round(least(u1 + 0.1 * (u1 - u0 + 1), 23.0), 6) AS DOUBLE) AS \"right\", v, u FROM box JOIN far USING (sample_id)"
+    ),
+    "f19_photometric": _toned("{px}"),
+    "r04_depth_noise": (
+        "WITH px AS (SELECT * FROM {px} AS raw), base AS (SELECT p.* FROM px AS p JOIN (" + _INNER + ") AS i ON i.sample_id = p.sample_id AND i.v = p.v AND i.u = p.u WHERE p.depth > 0), "
+        f"smooth AS (SELECT a.sample_id, a.v, a.u FROM base AS a JOIN base AS b ON a.sample_id = b.sample_id AND {_FOUR} <= 1 GROUP BY 1, 2, 3 HAVING count(*) = 5), "
+        "span AS (SELECT a.sample_id, a.v, a.u FROM px AS a JOIN px AS b ON a.sample_id = b.sample_id AND abs(a.v - b.v) <= 2 AND abs(a.u - b.u) <= 2 GROUP BY 1, 2, 3 HAVING max(coalesce(b.depth, 0)) - min(coalesce(b.depth, 0)) < 10), "
+        "inv AS (SELECT sample_id, v, u, CASE WHEN depth > 0 THEN 1 / depth ELSE 0 END AS x FROM px), "
+        f"bend AS (SELECT a.sample_id, a.v, a.u, sum(b.x) - 4 * any_value(a.x) AS r FROM inv AS a JOIN inv AS b ON a.sample_id = b.sample_id AND {_FOUR} = 1 GROUP BY 1, 2, 3 HAVING count(*) = 4), "
+        "res AS (SELECT sample_id, r FROM bend SEMI JOIN smooth USING (sample_id, v, u) SEMI JOIN span USING (sample_id, v, u)), mid AS (SELECT sample_id, median(r) AS m FROM res GROUP BY 1) "
+        "SELECT sample_id, round(median(abs(r - m)) / (0.6744897501960817 * sqrt(20)), 6) AS sigma_inverse, count(*) AS pixels FROM res JOIN mid USING (sample_id) GROUP BY 1"
+    ),
+    "g01_sample_surface": f"WITH {_surface_sql(_CORNERS, 2000, 'surface')} SELECT mesh_id, CAST(point_id AS INT) AS point_id, fid, {_ROUNDED} FROM surf",
+    "g06_near_duplicates": (
+        "WITH p AS (SELECT * FROM {points} AS raw), box AS (SELECT cloud, list_sort([max(x) - min(x), max(y) - min(y), max(z) - min(z)]) AS e FROM p GROUP BY 1), "
+        "c AS (SELECT a.cloud AS a, b.cloud AS b FROM box AS a JOIN box AS b ON a.cloud < b.cloud AND abs(a.e[1] - b.e[1]) <= 0.5 AND abs(a.e[2] - b.e[2]) <= 0.5 AND abs(a.e[3] - b.e[3]) <= 0.5), "
+        f"w AS ({_TURNED}), d AS (SELECT c.a, c.b, l.variant, l.point_id AS p, r.point_id AS q, {_GAP} AS d FROM c JOIN w AS l ON l.cloud = c.a JOIN p AS r ON r.cloud = c.b), "
+        "f AS (SELECT a, b, variant, p, min(d) AS d FROM d GROUP BY 1, 2, 3, 4), k AS (SELECT a, b, variant, q, min(d) AS d FROM d GROUP BY 1, 2, 3, 4), "
+        "s AS (SELECT a, b, variant FROM f WHERE p % 4 = 0 GROUP BY 1, 2, 3 HAVING avg(d) <= 2.0), "
+        "m AS (SELECT a, b, variant, avg(d) AS mean, quantile_cont(d, 0.95) AS p95 FROM (SELECT a, b, variant, d FROM f UNION ALL SELECT a, b, variant, d FROM k) AS x SEMI JOIN s USING (a, b, variant) GROUP BY 1, 2, 3) "
+        "SELECT a, b, variant, round(mean, 6) AS mean, round(p95, 6) AS p95 FROM m WHERE mean <= 1.0 AND p95 <= 1.0 QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY m.mean, variant) = 1"
+    ),
+    "g07_mask_components": (
+        "WITH RECURSIVE m AS (SELECT sample_id, v, u, v * 1000 + u AS id FROM {px} WHERE mask), e AS (SELECT a.sample_id, a.id AS x, b.id AS y FROM m AS a JOIN m AS b ON a.sample_id = b.sample_id AND " + _FOUR + " = 1), "
+        "r AS (SELECT sample_id, id AS x, id AS reach FROM m UNION SELECT r.sample_id, r.x, e.y FROM r JOIN e ON e.sample_id = r.sample_id AND e.x = r.reach) "
+        "SELECT sample_id, count(DISTINCT part) AS parts, count(*) AS pixels FROM (SELECT sample_id, x, min(reach) AS part FROM r GROUP BY 1, 2) AS y GROUP BY 1"
+    ),
+    "g21_sample_queries": (
+        f"WITH {_surface_sql(_CORNERS, 500, 'queries/near')}, roi AS {_ROI}, moved AS (SELECT s.mesh_id, s.point_id, {_OFFSET} FROM surf AS s JOIN t USING (mesh_id, fid)), "
+        "every AS (SELECT mesh_id, point_id, x, y, z, true AS near_surface FROM moved JOIN roi USING (mesh_id) WHERE greatest(abs(x - cx), abs(y - cy), abs(z - cz)) <= half "
+        f"UNION ALL SELECT mesh_id, point_id, {_FREE}, false FROM roi, range(500) AS q(point_id)) "
+        f"SELECT mesh_id, {_ROUNDED}, near_surface, row_number() OVER (PARTITION BY mesh_id ORDER BY sha256('queries/order/' || mesh_id || '/' || near_surface || '/' || point_id)) - 1 AS qid FROM every"
+    ),
+    "g25_residual_labels": (
+        f"WITH {_surface_sql(_POSED, 500, 'residual')}, near AS {_NEAR.replace(_CAM_PTS, '(SELECT mesh_id AS sample_id, point_id, x, y, z FROM surf)')} "
+        "SELECT sample_id, count(*) FILTER (hi IS NULL) AS unknown, count(*) FILTER (zc <= hi + 0.005) AS supported, count(*) FILTER (zc > hi + 0.005) AS hidden, count(*) AS points FROM near GROUP BY 1"
+    ),
+}
+SQL.update({name: duck(text) for name, text in _LONG.items()})

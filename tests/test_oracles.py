@@ -9,7 +9,7 @@ from reconlake import queries
 from reconlake.proxies import TABLES
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"g06_near_duplicates"}
+SLOW: set[str] = set()
 
 
 @pytest.fixture(scope="module")
