@@ -1263,13 +1263,13 @@ def x01_stream_progress(s, d):
 @query("SELECT event_id AS record, event_type AS binding FROM events")
 def x02_stream_commit(s, d):
     from reconlake.plans.lineage import scratch_path
-    from reconlake.streaming.views import stream_commit
+    from reconlake.streaming.views import committed, stream_commit
 
     out = scratch_path(s, "committed")
-    rows = _event_stream(s, d).select(F.col("event_id").alias("record"), F.col("event_type").alias("binding"), F.col("ts").cast("timestamp").alias("at"))
+    rows = _event_stream(s, d).select(F.col("event_id").alias("record"), F.col("event_type").alias("binding"))
     for k in range(2):  # the second run meets every record again
-        stream_commit(rows, out, scratch_path(s, f"state{k}"), "record", "binding", "at").awaitTermination()
-    return s.read.parquet(out).select("record", "binding")
+        stream_commit(rows, out, scratch_path(s, f"state{k}"), "record", "binding").awaitTermination()
+    return committed(s, out).select("record", "binding")
 
 
 @query("SELECT event_type AS run, CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, count(*) AS steps, round(avg(value), 6) AS loss, max(value) AS longest FROM events GROUP BY 1, 2")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,29 +19,66 @@ def stream_progress(stream: DataFrame, status: str = "status") -> DataFrame:
     return stream.groupBy(status).agg(F.count("*").alias("n"))
 
 
+def committed(spark: SparkSession, path: str) -> DataFrame:
+    """All records committed under a path, by batches or by streams."""
+    return spark.read.option("recursiveFileLookup", "true").parquet(path)
+
+
+def _folder(spark: SparkSession, path: str, make: bool = False) -> bool:
+    """True if the folder exists; with `make` it is made if it doesn't."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.exists(jpath) or (make and files.mkdirs(jpath))
+
+
+_REFUSED = "a record's binding differs from the committed one"
+
+
 def commit_batch(batch: DataFrame, path: str, key: str, binding: str) -> None:
     """Appends records whose key isn't committed yet. A batch with two bindings for a key, or another binding than the
-    committed one, is refused; records committed already are left out."""
+    committed one, is refused; records committed already are left out. Reads the whole table: streams use stream_commit."""
     spark = batch.sparkSession
     one = batch.groupBy(key).agg(F.min(binding).alias("_lo"), F.max(binding).alias("_hi"))
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    old = spark.read.parquet(path) if jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath) else None
     bad = one.where("_lo <> _hi").select(key)
     fresh = batch.dropDuplicates([key])
-    if old is not None:
-        known = old.select(key, F.col(binding).alias("_b"))
+    if _folder(spark, path):
+        known = committed(spark, path).select(key, F.col(binding).alias("_b"))
         bad = bad.unionByName(one.join(known, key).where("_lo <> _b").select(key))
         fresh = fresh.join(known.select(key), key, "left_anti")
     if bad.limit(1).count():
-        raise ValueError("a record's binding differs from the committed one")
+        raise ValueError(_REFUSED)
     fresh.write.mode("append").parquet(path)
 
 
-def stream_commit(stream: DataFrame, path: str, checkpoint: str, key: str, binding: str, event_time: str, delay: str = "1 hour", **trigger) -> StreamingQuery:
-    """Commits a stream's records once each. Repeats within the watermark are dropped in state, later ones against the table."""
-    # repeats of one key with different bindings must reach commit_batch, so both are part of the state's key
-    once = stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key, binding])
-    return once.writeStream.foreachBatch(lambda df, _: commit_batch(df, path, key, binding)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+def stream_commit(stream: DataFrame, path: str, checkpoint: str, key: str, binding: str, **trigger) -> StreamingQuery:
+    """Commits a stream's records once each; another binding for a key, whenever it comes, stops the query before its batch is written.
+
+    What is known of a key (its bindings, first record, and when it first came) is keyed state, so a batch costs what its own keys cost,
+    not what the table holds. The table is a second source of the same state: what others committed before this stream began is met
+    in its first batch, and what this stream wrote once more in the next. Each batch has a folder of its own that a retry
+    overwrites. State is one row a key for good; a session with many keys should keep it in RocksDB
+    (spark.sql.streaming.stateStore.providerClass). Of several records of a key in its first batch the smallest is taken, so records
+    can be ordered, thus hold no maps. Records without a key count as one key.
+    """
+    spark = stream.sparkSession
+    _folder(spark, path, make=True)
+    run = f"{path}/run-{hashlib.sha256(checkpoint.encode()).hexdigest()[:16]}"
+    old = spark.readStream.schema(stream.schema).option("recursiveFileLookup", "true").parquet(path)
+    seen = lambda df, at: df.select(F.col(key).alias("_k"), F.col(binding).alias("_b"), F.struct(*[F.col(f"`{c}`") for c in stream.columns]).alias("_record"), at.alias("_at"))
+    both = seen(stream, F.current_timestamp()).unionByName(seen(old, F.timestamp_seconds(F.lit(0))))
+    keys = both.groupBy("_k").agg(F.min("_b").alias("_lo"), F.max("_b").alias("_hi"), F.min("_at").alias("_first"), F.max("_at").alias("_last"), F.min("_record").alias("_record"))
+
+    def commit(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()  # else a second use would go through the state again
+        try:
+            if batch.where("_lo <> _hi").limit(1).count():
+                raise ValueError(_REFUSED)
+            fresh = batch.where((F.col("_first") == F.col("_last")) & (F.col("_first") > F.timestamp_seconds(F.lit(0))))
+            fresh.select("_record.*").write.mode("overwrite").parquet(f"{run}/batch-{number}")
+        finally:
+            batch.unpersist()
+
+    return keys.writeStream.outputMode("update").foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def stream_steps(stream: DataFrame, event_time: str, run: str = "run", step: str = "step", window: str = "10 minutes", delay: str = "10 minutes") -> DataFrame:
