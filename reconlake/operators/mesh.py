@@ -14,6 +14,7 @@ from reconlake.functions.expr import cross, hash_normal, hash_rank, hash_uniform
 from reconlake.operators.neighbours import AXES, nn_join
 from reconlake.operators.quantiles import with_quantiles
 from reconlake.operators.spatial import TRIANGLE, candidate_pairs, running_total
+from reconlake.plans.lineage import stored
 
 _CORNERS = [tuple(TRIANGLE[3 * k : 3 * k + 3]) for k in range(3)]
 
@@ -102,13 +103,15 @@ def sample_surface(tri: DataFrame, n: int, seed: str = "surface") -> DataFrame:
     return hit.select("mesh_id", "point_id", "fid", *[(w[0] * F.col(f"a{x}") + w[1] * F.col(f"b{x}") + w[2] * F.col(f"c{x}")).alias(x) for x in AXES])
 
 
-def axis_variants(pts: DataFrame, yaw_only: bool = False) -> DataFrame:
+def axis_variants(pts: DataFrame, yaw_only: bool = False, inverse: bool = False) -> DataFrame:
     """every point under the 48 axis permutations and reflections (8 that keep z in place with yaw_only), with variant from 0.
 
-    The variants are a constant array, so a point is expanded in place.
+    The variants are a constant array, so a point is expanded in place. inverse: under what undoes each variant.
     """
     ways = [(p, s) for p in permutations(range(3)) for s in product((1, -1), repeat=3) if not yaw_only or (p[2] == 2 and s[2] == 1)]
-    one = [F.struct(F.lit(k).alias("variant"), *[(s[i] * F.col(AXES[p[i]])).alias(AXES[i]) for i in range(3)]) for k, (p, s) in enumerate(ways)]
+    back = lambda p, s: ([p.index(i) for i in range(3)], [s[p.index(i)] for i in range(3)])
+    turns = [back(p, s) if inverse else (p, s) for p, s in ways]
+    one = [F.struct(F.lit(k).alias("variant"), *[(s[i] * F.col(AXES[p[i]])).alias(AXES[i]) for i in range(3)]) for k, (p, s) in enumerate(turns)]
     rest = [c for c in pts.columns if c not in AXES]
     return pts.select(*rest, F.explode(F.array(*one)).alias("_v")).select(*rest, "_v.*")
 
@@ -118,19 +121,24 @@ def near_duplicates(assets: DataFrame, pts: DataFrame, key: str, sizes: list[str
 
     pts (key, point_id, x, y, z) are normalised. A screen on every `coarse`-th point of a passes variants up to slack times the mean.
     All links are returned, also between assets that are connected already; of a pair the variant with the smallest mean.
+
+    Each asset's points are laid out for the search once, as they are: points of a are sought among b's under the variant, and points
+    of b among a's under what undoes it, which is as far. Only those that pass the screen are sought in full.
     """
     pairs = candidate_pairs(assets, key, sizes, tol)
-    left = pts.select(F.col(key).alias("a"), "point_id", *AXES).join(pairs, "a")
-    left = axis_variants(left, yaw_only)
-    right = pts.select(F.col(key).alias("b"), F.col("point_id").alias("other"), *AXES).join(pairs, "b")
     by = ["a", "b", "variant"]
-    variants = left.select(*by).distinct()
-    right = right.join(variants, ["a", "b"])
-    few = nn_join(left.where(F.col("point_id") % coarse == 0), right, by, "point_id", "other")
-    open_ = few.groupBy(*by).agg(F.avg("distance").alias("m")).where(F.col("m") <= slack * mean).select(*by)
-    l, r = left.join(open_, by, "left_semi"), right.join(open_, by, "left_semi")
-    back = nn_join(r.withColumnRenamed("other", "q"), l.withColumnRenamed("point_id", "o"), by, "q", "o").select(*by, "distance")
-    both = nn_join(l, r, by, "point_id", "other").select(*by, "distance").unionByName(back)
+    named = lambda c: pts.select(F.col(key).alias(c), "point_id", *AXES)
+
+    def sought(points: DataFrame, among: str) -> DataFrame:
+        asked = points.select(among, F.struct(*by, "point_id").alias("_q"), *AXES)
+        near = nn_join(asked, named(among).withColumnRenamed("point_id", "other"), [among], "_q", "other")
+        return near.select(*[F.col(f"_q.{c}").alias(c) for c in by], "distance")
+
+    left = axis_variants(named("a").join(pairs, "a"), yaw_only)
+    few = sought(left.where(F.col("point_id") % coarse == 0), "b")
+    open_ = stored(few.groupBy(*by).agg(F.avg("distance").alias("m")).where(F.col("m") <= slack * mean).select(*by), "screened")
+    right = axis_variants(named("b").join(open_.select("a", "b").distinct(), "b"), yaw_only, inverse=True).join(open_, by, "left_semi")
+    both = sought(left.join(open_, by, "left_semi"), "b").unionByName(sought(right, "a"))
     got = with_quantiles(both.groupBy(*by).agg(F.avg("distance").alias("mean")), both, by, "distance", {"p95": 0.95}).where((F.col("mean") <= mean) & (F.col("p95") <= p95))
     best = got.groupBy("a", "b").agg(F.min(F.struct("mean", "variant", "p95")).alias("_m"))
     return best.select("a", "b", "_m.variant", "_m.mean", "_m.p95")
