@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -166,9 +167,10 @@ def calibrated(tree: Tree, truth: list[tuple[int, int]], queries: dict[int, np.n
 def search(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = SAMPLE, recall: float = RECALL, calibrate: int = CALIBRATED) -> DataFrame:
     """(query_id, rank, vec_id, score): for ids divisible by `every`, the k rows found nearest by cosine, ties to smaller ids.
 
-    Rows with a null id, and vectors that are null, zero, of another length than the sample's longest, or with null or
-    non-finite components take no part. Of equal vectors the k + 1 smallest ids can be among the nearest, so those are
-    searched. Repeated rows of one id count once. No usable vector: an empty result. Other columns are not read.
+    Rows with a null id, and vectors that are null, zero, of another length than most of the sample (ties: the longer), or with null
+    or non-finite components take no part. Of equal vectors the k + 1 smallest ids can be among the nearest, so those are
+    searched. Repeated rows of one id count once, with the smallest of their vectors. Queries that met fewer than k rows visit four
+    times as many leaves, until they have k or have visited all. No usable vector: an empty result. Other columns are not read.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
@@ -177,10 +179,11 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_i
     some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
     if not some:
         return spark.createDataFrame([], schema)
-    size = max(len(r["v"]) for r in some)
+    lengths = Counter(len(r["v"]) for r in some)
+    size = max(lengths, key=lambda n: (lengths[n], n))
     fitted = _unit(np.array([r["v"] for r in some if len(r["v"]) == size]))
     tree = fit(fitted)
-    rows = rows.where(F.size("v") == size)
+    rows = rows.where(F.size("v") == size).groupBy("vec_id").agg(F.min("v").alias("v"))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -189,7 +192,7 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_i
 
     # equal vectors: a group limit before the shuffle keeps the k + 1 smallest ids of each
     copies = Window.partitionBy("v").orderBy("vec_id")
-    kept = rows.dropDuplicates(["vec_id", "v"]).withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).select("vec_id", "v")
+    kept = rows.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).select("vec_id", "v")
     index = stored(kept.mapInArrow(assign, "vec_id long, v array<double>, leaf int"), "leaves")
     asked = rows.where(F.col("vec_id") % every == 0)
     tried = {r["vec_id"]: np.array(r["v"]) for r in asked.orderBy(F.xxhash64("vec_id"), "vec_id").limit(calibrate).collect()}
@@ -198,13 +201,27 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_i
     truth = [(r["query_id"], r["leaf"]) for r in exact(index, tried, k).collect()]
     visits = calibrated(tree, truth, tried, recall)
 
+    asked, out = stored(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "queries"), None
+    while True:
+        found = stored(_met(index, asked, tree, visits, k), "found")
+        out = found if out is None else out.unionByName(found)
+        full = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
+        short = stored(asked.join(full, "query_id", "left_anti"), "short")
+        if visits >= tree.leaves or short.isEmpty():
+            return _top(out.dropDuplicates(["query_id", "vec_id"]), k).select("query_id", "rank", "vec_id", "score")
+        asked, visits = short, min(4 * visits, tree.leaves)
+
+
+def _met(index: DataFrame, asked: DataFrame, tree: Tree, visits: int, k: int) -> DataFrame:
+    """(query_id, vec_id, score, rank): the k nearest of the index (vec_id, v, leaf) for each query (query_id, q) in its first `visits` leaves."""
+
     def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 found = [tree.visits(q, visits) for q in _unit(_matrix(b.column(1)))]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int32()))], names=["query_id", "q", "leaves"])
 
-    asked = stored(asked.dropDuplicates(["vec_id"]).mapInArrow(plan, "query_id long, q array<double>, leaves array<int>"), "visits")
+    asked = stored(asked.select("query_id", "q").mapInArrow(plan, "query_id long, q array<double>, leaves array<int>"), "visits")
     asked = asked.select("query_id", "q", F.explode("leaves").alias("leaf"))
     # a leaf with many vectors or queries is dealt over cells of bounded size; leaves are as many as the tree has
     counts = lambda df: dict(map(tuple, df.groupBy("leaf").count().collect()))
@@ -223,4 +240,4 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_i
 
     keys = ["leaf", "part", "ask"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, "query_id long, vec_id long, score double")
-    return _top(found, k).select("query_id", "rank", "vec_id", "score")
+    return _top(found, k)

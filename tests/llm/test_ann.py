@@ -49,3 +49,32 @@ def test_few_and_no_vectors(spark):
     assert got == [(0, 1, 1), (0, 2, 2)]
     assert ann_tree.search(df.limit(0)).count() == 0
     assert ann_tree.search(df.where("vec_id = 1")).count() == 0
+
+
+def test_tight_clusters_still_give_k(spark):
+    """400 clusters of 6 or 7: a query's own leaf has few rows, so it visits more until it has k."""
+    r = np.random.default_rng(17)
+    centres = r.normal(size=(400, 16))
+    rows = [(k, (centres[k % 400] + 1e-4 * r.normal(size=16)).tolist()) for k in range(2600)]
+    got = ann_tree.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=10)
+    per = {}
+    for x in got.collect():
+        per.setdefault(x["query_id"], []).append((x["rank"], x["vec_id"]))
+    assert len(per) == 260 and all(sorted(n for n, _ in v) == [1, 2, 3, 4, 5] and len({i for _, i in v}) == 5 for v in per.values())
+    few = ann_tree.search(spark.createDataFrame(rows[:3], "vec_id long, embedding array<double>"), every=1)
+    assert few.count() == 6
+
+
+def test_odd_length_and_repeated_ids(spark):
+    """One vector of another length takes no part; of an id's vectors the smallest counts."""
+    r = np.random.default_rng(18)
+    rows = [(k, r.normal(size=16).tolist()) for k in range(200)] + [(900, r.normal(size=40).tolist())]
+    plain = sorted(map(tuple, ann_tree.search(spark.createDataFrame(rows[:200], "vec_id long, embedding array<double>"), every=20).collect()))
+    with_odd = sorted(map(tuple, ann_tree.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=20).collect()))
+    assert plain == with_odd and len(plain) == 50
+    again = rows[:200] + [(k, [99.0, *v[1:]]) for k, v in rows[:60]] + rows[:5]
+    x = np.array([v for _, v in rows[:200]])
+    got = ann_tree.search(spark.createDataFrame(again, "vec_id long, embedding array<double>"), every=20).collect()
+    assert len({(r["query_id"], r["vec_id"]) for r in got}) == len(got) == 50
+    for g in got:
+        assert abs(g["score"] - ann_tree.cosine(x[g["vec_id"]][None], x[g["query_id"]])[0]) < 1e-12
