@@ -14,9 +14,11 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reconlake.plans.lineage import scratch_path, stored
@@ -25,8 +27,8 @@ from reconlake.plans.lineage import scratch_path, stored
 LEAST_REVISIT = 1000
 #: Payload bytes of a shard: a 256th of all, within these bounds. Compressed bytes after which a file is closed.
 SHARD_BYTES, ROLL_BYTES = (256 << 10, 256 << 20), 32 << 20
-#: Ranges of page_id that shards are put together from.
-RANGES = 4096
+#: Ranges of page_id that shards are put together from, about: as many ids are sampled, and as many sums reach the driver.
+RANGES = 1 << 16
 #: The date of records, fixed so that the same pages give the same bytes.
 DATE = "2020-01-01T00:00:00Z"
 
@@ -65,16 +67,23 @@ def _payloads(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> Dat
     return rows.withColumn("size", F.octet_length("html").cast("long")).withColumn("digest", F.sha1(F.encode("html", "UTF-8")))
 
 
-def _spread(slim: DataFrame, shard_bytes: int | None) -> tuple[int, int, list[int], int]:
-    """Least id, width of a range, by range the shard (consecutive ranges are put together up to shard_bytes), and how many shards."""
-    low, high = slim.agg(F.min("page_id"), F.max("page_id")).first()
-    low = 0 if low is None else low
-    width = max(1, -(-((high if high is not None else 0) - low + 1) // RANGES))
-    at = F.coalesce(((F.col("page_id") - low) / width).cast("int"), F.lit(0)).alias("at")
-    sizes = {r["at"]: r["b"] for r in slim.groupBy(at).agg(F.sum("size").alias("b")).collect()}
+def _edges(slim: DataFrame) -> np.ndarray:
+    """Ids that part the pages into ranges of about equally many: every id of a hash sample of about RANGES ids, rising, distinct.
+
+    The sample follows from the ids alone. Of up to RANGES pages all ids are edges.
+    """
+    n = slim.count()
+    some = slim.where(F.col("page_id").isNotNull() & (F.pmod(F.xxhash64("page_id"), F.lit(max(n, 1))) < RANGES)).select("page_id").distinct()
+    return np.unique(some.toArrow()["page_id"].to_numpy())
+
+
+def _spread(slim: DataFrame, at: Column, ranges: int, shard_bytes: int | None) -> tuple[list[int], int]:
+    """The shard of each range (consecutive ranges are put together up to shard_bytes), and how many shards there are."""
+    got = slim.groupBy(at.alias("at")).agg(F.sum("size").alias("b")).toArrow()
+    sizes = dict(zip(got["at"].to_pylist(), got["b"].to_pylist()))
     shard_bytes = shard_bytes or min(max(sum(sizes.values()) // 256, SHARD_BYTES[0]), SHARD_BYTES[1])
     shard, held, out = 0, 0, []
-    for k in range(max(sizes, default=0) + 1):
+    for k in range(ranges):
         b = sizes.get(k, 0)
         if held and held + b > shard_bytes:
             shard, held = shard + 1, 0
@@ -82,7 +91,7 @@ def _spread(slim: DataFrame, shard_bytes: int | None) -> tuple[int, int, list[in
         held += b
         if held > shard_bytes:  # a range of its own, over as many parts as it needs
             shard, held = shard + -(-held // shard_bytes), 0
-    return low, width, out, shard + bool(held)
+    return out, shard + bool(held)
 
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shard_bytes: int | None = None, roll_bytes: int = ROLL_BYTES, least: int = LEAST_REVISIT) -> DataFrame:
@@ -91,25 +100,33 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     Of equal payloads of `least` bytes or more, the largest page_id is a response and the others revisit it. Rows of
     that page_id are responses all. Null html and urls count as empty; null page_ids come first and are never referred to,
     unless all equal payloads have null ids: then all are responses. Files have names by shard and part, so the same pages
-    give the same files. Tasks write under temporary names, one for each attempt; the driver renames the files of finished tasks and
+    give the same files; shards follow ranges of page_id, and only a range that is larger than a shard is dealt over several. Tasks write under temporary names, one for each attempt; the driver renames the files of finished tasks and
     then writes manifest.json, whose presence means that the archive is complete. Other columns are not read.
     """
     spark = pages.sparkSession
     rows = _payloads(pages, id_col, url_col, html_col)
     slim = stored(rows.select("page_id", "size", "digest"), "digests")
-    low, width, shards, last = _spread(slim, shard_bytes)
+    edges = _edges(slim)
+
+    @F.pandas_udf("int")
+    def ranged(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges, ids.to_numpy(), "right").astype(np.int32))
+
+    # null ids come first, with what is below the first edge
+    at = ranged(F.coalesce("page_id", F.lit(-(1 << 63))))
+    shards, last = _spread(slim, at, len(edges) + 1, shard_bytes)
     first = slim.where(F.col("size") >= least).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     again = slim.join(first, "digest").where(F.col("first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < F.col("first"))))
     again = again.select("page_id", F.col("digest").alias("d"), "first").distinct()
     listed = lambda x: F.split(F.lit(",".join(map(str, x or [0]))), ",").cast("array<int>")
-    at = F.coalesce(((F.col("page_id") - low) / width).cast("int"), F.lit(0))
     # a range larger than a shard is dealt over the shard numbers that are free up to the next range's
     free = [b - a for a, b in zip(shards, [*shards[1:], last])]
-    parts = F.greatest(F.get(listed(free), at), F.lit(1))
-    shard = F.get(listed(shards), at) + F.pmod(F.xxhash64("page_id", "digest"), parts)
+    parts = F.greatest(F.get(listed(free), F.col("at")), F.lit(1))
+    dealt = F.get(listed(shards), F.col("at")) + F.pmod(F.xxhash64("page_id", "digest"), parts)
+    shard = dealt.cast("int").alias("shard")
     nulls = lambda **kinds: [F.lit(None).cast(k).alias(c) for c, k in kinds.items()]
-    told = again.withColumnRenamed("d", "digest").select(shard.cast("int").alias("shard"), "page_id", "digest", F.lit(0).alias("kind"), "first", *nulls(url="string", html="string"))
-    full = rows.select(shard.cast("int").alias("shard"), "page_id", "digest", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("first"), "url", "html")
+    told = again.withColumnRenamed("d", "digest").withColumn("at", at).select(shard, "page_id", "digest", F.lit(0).alias("kind"), "first", *nulls(url="string", html="string"))
+    full = rows.withColumn("at", at).select(shard, "page_id", "digest", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("first"), "url", "html")
     both = told.unionByName(full).repartition(max(1, last), "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
     root = path.rstrip("/")
     names = ["temporary", "file", "shard", "records", "bytes", "sha256"]

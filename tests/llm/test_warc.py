@@ -57,3 +57,27 @@ def test_empty_table_and_damage(spark, tmp_path):
         warc.parse(raw.replace(b"payload", b"pay1oad"))
     with pytest.raises(FileNotFoundError):
         warc.read(spark, f"{tmp_path}/nothing")
+
+
+def test_shards_follow_the_ids(spark, tmp_path):
+    """Ids at both ends of long and one far from the rest: files of different shards hold ids of ranges that don't overlap."""
+    ends = [-(1 << 63), -(1 << 63) + 1, 1 << 62, (1 << 63) - 2, (1 << 63) - 1]
+    data = [(i, "u", f"{i} " * 40) for i in [*range(3000), *ends]]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string").repartition(4)
+    for name, most in (("all", warc.RANGES), ("sampled", 500)):
+        old, warc.RANGES = warc.RANGES, most
+        try:
+            warc.write(pages, f"{tmp_path}/{name}", shard_bytes=60_000)
+        finally:
+            warc.RANGES = old
+        spans = {}
+        for m in json.load(open(f"{tmp_path}/{name}/manifest.json")):
+            raw = open(f"{tmp_path}/{name}/{m['file']}", "rb").read()
+            ids = [int(warc.parse(x)[1].split()[0]) for x in warc.members(raw)]
+            assert ids == sorted(ids)
+            shard = m["file"].split("-")[1]
+            low, high = spans.get(shard, (ids[0], ids[0]))
+            spans[shard] = min(low, *ids), max(high, *ids)
+        spans = [spans[k] for k in sorted(spans)]
+        assert len(spans) >= 5 and all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+        assert sorted(r["page_id"] for r in warc.read(spark, f"{tmp_path}/{name}").collect()) == sorted(i for i, *_ in data)
