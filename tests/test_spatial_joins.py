@@ -62,3 +62,14 @@ def test_first_hits_equal_brute_force(spark):
         for k, d in enumerate(near):
             assert (d is None and got["g", k] is None) or abs(got["g", k] - d) < 1e-9 * max(1, d)
     assert sum(d is not None for d in near) > 150
+
+
+def test_candidate_pairs_equal_brute_force_without_a_broadcast(spark):
+    r = np.random.default_rng(10)
+    rows = [(k, *map(float, np.round(r.uniform(-2, 2, 2), 1))) for k in range(300)]
+    rows += [(1000 + k, *rows[k % 3][1:]) for k in range(60)]
+    odd = [(2000, float("nan"), 0.0), (2001, None, 0.0), (2002, float("inf"), 0.0), (2003, float("inf"), 0.0)]
+    got = J.candidate_pairs(spark.createDataFrame(rows + odd, "k long, w double, h double"), "k", ["w", "h"], 0.25)
+    near = lambda a, b: all(abs(x - y) <= 0.25 for x, y in zip(sorted(a[1:]), sorted(b[1:])))
+    assert sorted(map(tuple, got.collect())) == sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and near(a, b))
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
