@@ -73,3 +73,15 @@ def test_candidate_pairs_equal_brute_force_without_a_broadcast(spark):
     near = lambda a, b: all(abs(x - y) <= 0.25 for x, y in zip(sorted(a[1:]), sorted(b[1:])))
     assert sorted(map(tuple, got.collect())) == sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and near(a, b))
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_distances_of_many_copies(spark):
+    """60,000 points at 12 places and 60,000 triangles of 12 shapes, all within reach: 3.6 billion pairs, 144 different ones."""
+    shapes = [(float(k), 0.0, 0.0, k + 1.0, 0.0, 0.0, float(k), 1.0, 0.0) for k in range(12)]
+    tri = spark.createDataFrame([("s", k, *t) for k, t in enumerate(shapes)], "g string, k int, " + ", ".join(f"{c} double" for c in J.TRIANGLE))
+    tri = tri.join(spark.range(5000), F.lit(True)).drop("k", "id")
+    pts = spark.range(60_000).selectExpr("'s' AS g", "id AS point", "id % 12 + 0.25D AS x", "0.25D AS y", "(id % 12 + 1) / 2D AS z")
+    odd = spark.createDataFrame([("s", -1, None, 0.0, 0.0), ("s", -2, float("nan"), 0.0, 0.0), ("t", -3, 0.0, 0.0, 0.0), (None, -4, 0.0, 0.0, 0.0)], "g string, point long, x double, y double, z double")
+    got = J.point_mesh_distance(pts.unionByName(odd), tri, ["g"], "point", 20.0)
+    assert got.where("distance = (point % 12 + 1) / 2").count() == 60_000
+    assert sorted(r["point"] for r in got.where("distance is null").collect()) == [-4, -3, -2, -1]
