@@ -85,3 +85,11 @@ def test_distances_of_many_copies(spark):
     got = J.point_mesh_distance(pts.unionByName(odd), tri, ["g"], "point", 20.0)
     assert got.where("distance = (point % 12 + 1) / 2").count() == 60_000
     assert sorted(r["point"] for r in got.where("distance is null").collect()) == [-4, -3, -2, -1]
+
+
+def test_registration_of_many_copies(spark):
+    from reconlake.operators import mesh as G
+
+    tri = spark.range(50_000).selectExpr("'s' AS g", *[f"{v}D AS {c}" for c, v in zip(J.TRIANGLE, (0, 0, 0, 1, 0, 0, 0, 1, 0))])
+    pts = spark.range(50_001).selectExpr("'s' AS g", "id AS point", "0.25D AS x", "0.25D AS y", "CASE WHEN id < 25000 THEN 0.5D WHEN id = 25000 THEN 1D ELSE 30D END AS z")
+    assert [tuple(r) for r in G.registration(pts, tri, ["g"], "point", 2.0).collect()] == [("s", 1.0, 2.0, 50_001)]
