@@ -93,3 +93,10 @@ def test_registration_of_many_copies(spark):
     tri = spark.range(50_000).selectExpr("'s' AS g", *[f"{v}D AS {c}" for c, v in zip(J.TRIANGLE, (0, 0, 0, 1, 0, 0, 0, 1, 0))])
     pts = spark.range(50_001).selectExpr("'s' AS g", "id AS point", "0.25D AS x", "0.25D AS y", "CASE WHEN id < 25000 THEN 0.5D WHEN id = 25000 THEN 1D ELSE 30D END AS z")
     assert [tuple(r) for r in G.registration(pts, tri, ["g"], "point", 2.0).collect()] == [("s", 1.0, 2.0, 50_001)]
+
+
+def test_first_hits_of_many_copies(spark):
+    """50,000 equal rays and 50,000 triangles of 10 shapes, one behind the other."""
+    tri = spark.range(50_000).selectExpr("'s' AS g", *[f"{v}D * (2 + id % 10) AS {c}" for c, v in zip(J.TRIANGLE, (-1, -1, -1, 1, -1, -1, 0, 1, -1))])
+    rays = spark.range(50_000).selectExpr("'s' AS g", "id AS ray", "0D AS dx", "0D AS dy")
+    assert J.first_hits(rays, tri, ["g"], "ray", 0.5).where("abs(depth - 2) < 1e-12").count() == 50_000
