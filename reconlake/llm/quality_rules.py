@@ -10,10 +10,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reconlake.operators.quantiles import quantiles
+
 #: Hash buckets of the multinomials; weights are kept in units of 1 / SCALE nats.
 BUCKETS, SCALE = 16384, 10_000
-#: Labelled documents that the target multinomial is fitted on, at most: those of smallest hash.
-MAX_TRUSTED = 50_000
+#: Labelled documents that the target multinomial is fitted on, at most, those of smallest hash; None: all of them.
+MAX_TRUSTED: int | None = None
 #: A document is rejected if its mean log-likelihood ratio for an n-gram is under that of all but this share of the trusted
 #: documents of at least MIN_WORDS words, each scored by a target that it is not part of.
 MAX_REJECTED, MIN_WORDS = 0.01, 10
@@ -89,19 +91,21 @@ def _bucket(*words: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(*words), F.lit(buckets)).cast("int")
 
 
-def trusted_ids(labels: DataFrame, most: int = MAX_TRUSTED) -> DataFrame:
-    """(trusted, fold): distinct non-null doc_id of quality 1, the `most` of smallest hash, in two folds by hash."""
+def trusted_ids(labels: DataFrame, most: int | None = MAX_TRUSTED) -> DataFrame:
+    """(trusted, fold): all distinct non-null doc_id of quality 1, or the `most` of smallest hash, in two folds by hash."""
     ids = labels.where(F.col("quality") == 1).select(F.col("doc_id").alias("trusted")).where("trusted is not null").distinct()
-    return ids.orderBy(F.xxhash64("trusted"), "trusted").limit(most).withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "trusted"), F.lit(2)).cast("int"))
+    if most is not None:
+        ids = ids.orderBy(F.xxhash64("trusted"), "trusted").limit(most)
+    return ids.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "trusted"), F.lit(2)).cast("int"))
 
 
 def bucket_counts(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
     """(bucket, raw, target_0, target_1): occurrences of hashed words and word pairs in all documents and in the trusted ones of each fold.
 
-    trusted holds MAX_TRUSTED ids at most, hence the broadcast.
+    trusted grows with the labels, so Spark chooses how it is joined.
     """
     rows = docs.select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("w"))
-    rows = rows.join(F.broadcast(trusted), F.col("id") == F.col("trusted"), "left")
+    rows = rows.join(trusted, F.col("id") == F.col("trusted"), "left")
     rows = rows.select("fold", F.explode(F.arrays_zip(F.col("w").alias("a"), _next(F.col("w")).alias("b"))).alias("g"))
     pair = F.when(F.col("g.b").isNotNull(), _bucket(F.col("g.a"), F.col("g.b"), buckets=buckets))
     rows = rows.select("fold", F.explode(F.array(_bucket(F.col("g.a"), buckets=buckets), pair)).alias("bucket")).where("bucket is not null")
@@ -140,19 +144,19 @@ def _n_grams() -> Column:
 def held_out_threshold(docs: DataFrame, trusted: DataFrame, raw: list[int], targets: list[list[int]], id_col: str = "doc_id", text_col: str = "text", rejected: float = MAX_REJECTED) -> int | None:
     """The mean score, in whole units, that all but this share of the trusted documents reach when scored by the other fold's target.
 
-    None if a fold is empty: then no score tells anything. MAX_TRUSTED documents at most are scored; one number reaches the driver.
+    None if a fold is empty: then no score tells anything. Every trusted document is scored; one number reaches the driver.
     """
     if not all(map(sum, targets)):
         return None
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = rows.join(F.broadcast(trusted), F.col("id") == F.col("trusted")).select("fold", "text")
+    rows = rows.join(trusted, F.col("id") == F.col("trusted")).select("fold", "text")
     rows = rows.withColumn("words", words_of(F.col("text"))).where(F.size("words") >= MIN_WORDS)
     other = F.when(F.col("fold") == 0, _score(log_ratios(raw, targets[1]))).otherwise(_score(log_ratios(raw, targets[0])))
-    low = rows.select(F.percentile(other / _n_grams(), F.lit(rejected)).alias("t")).first()["t"]
-    return None if low is None else math.floor(low)
+    low = quantiles(rows.select((other / _n_grams()).alias("mean")), [], "mean", {"t": rejected}).first()
+    return None if low is None or low["t"] is None else math.floor(low["t"])
 
 
-def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, threshold: float | None = None, rejected: float = MAX_REJECTED, most: int = MAX_TRUSTED) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, threshold: float | None = None, rejected: float = MAX_REJECTED, most: int | None = MAX_TRUSTED) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score_units, n_grams and kept.
 
     kept: the base rules hold and score_units / n_grams, the mean log-likelihood ratio of the document's words and word

@@ -57,3 +57,11 @@ def test_columns_of_any_name_stay(spark):
     got = {r["doc_id"]: r for r in quality_rules.quality(wide, labels).collect()}
     for r in quality_rules.quality(docs, labels).collect():
         assert got[r["doc_id"]]["kept"] == r["kept"] and [got[r["doc_id"]][c] for c in names] == list(range(len(names)))
+
+
+def test_all_labelled_documents_are_trusted(spark):
+    labels = spark.range(120_000).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS quality")
+    both = labels.unionByName(labels).unionByName(spark.createDataFrame([(None, 1)], "doc_id long, quality int"))
+    got = quality_rules.trusted_ids(both)
+    assert got.count() == 60_000 and got.select("trusted").distinct().count() == 60_000
+    assert {r["fold"] for r in got.select("fold").distinct().collect()} == {0, 1}
