@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from reconlake.operators.graph import connected_components
 from reconlake.plans.lineage import stored
 
+#: Texts of one bucket that are compared in one task, at most; larger buckets are cut into parts, each compared with each other.
+CROWD = 8192
 #: Fingerprints of one bucket up to this many are compared pair by pair; larger buckets take the exact way of _links_by_flips.
 PAIRWISE = 48
 
@@ -221,56 +223,110 @@ def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.mapInArrow(run, "t long, set array<long>")
 
 
-def _candidates(sketches: DataFrame, similarity: float, distance: int, blocks: int, shared: int, pairwise: int = PAIRWISE) -> DataFrame:
-    """(a, b), a < b: texts that in one of their fingerprints agree on `shared` of the blocks and in both together are within `distance` bits.
+def _keyed(sketches: DataFrame, blocks: int, shared: int) -> DataFrame:
+    """sketches (t, size, p, q, ...) once for each of their buckets (key): texts that agree on `shared` blocks of one fingerprint."""
+    masks = [F.lit(_signed(m)).cast("long") for m in _blocks(blocks - shared, shared)]
+    keys = [F.xxhash64(F.lit(f), F.lit(k), F.col(fp).bitwiseAND(m)) for f, fp in enumerate("pq") for k, m in enumerate(masks)]
+    return sketches.where("size > 0").select(F.explode(F.array(*keys)).alias("key"), *sketches.columns)
 
-    Buckets of up to `pairwise` texts give their pairs. In larger ones every text meets the smallest of the bucket, and the
-    bucket's texts are dealt again over more blocks, until buckets are small or their fingerprints equal.
+
+def _alike(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, similarity: float, distance: int) -> pa.RecordBatch:
+    """(a, b), a < b: those pairs of rows i and j whose sizes allow the similarity and whose fingerprints are near."""
+    size, t = x["size"], x["t"]
+    apart = sum(np.bitwise_count((x[c][i] ^ x[c][j]).view(np.uint64)).astype(int) for c in "pq")
+    near = (apart <= distance) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j])) & (t[i] != t[j])
+    a, b = t[i[near]], t[j[near]]
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def _joined(held: dict[str, np.ndarray], b: pa.RecordBatch) -> dict[str, np.ndarray]:
+    new = {c: b.column(c).to_numpy(zero_copy_only=False) for c in b.schema.names}
+    return {c: np.concatenate((held[c], v)) for c, v in new.items()} if held else new
+
+
+def _stars(sketches: DataFrame, similarity: float, distance: int, blocks: int, shared: int) -> DataFrame:
+    """(a, b), a < b: texts alike with the smallest text of one of their buckets; passed through in order, a bucket of any size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first: dict[str, np.ndarray] = {}
+        for b in batches:
+            if b.num_rows:
+                x = _joined(first, b)
+                at = np.arange(len(x["key"]))
+                start = np.maximum.accumulate(np.where(np.diff(x["key"], prepend=x["key"][0]) != 0, at, 0))
+                yield _alike(x, start, at, similarity, distance)
+                first = {c: v[start[-1] : start[-1] + 1] for c, v in x.items()}
+
+    rows = _keyed(sketches, blocks, shared)
+    return rows.repartition("key").sortWithinPartitions("key", "t").mapInArrow(run, "a long, b long").distinct()
+
+
+def _across(sketches: DataFrame, similarity: float, distance: int, blocks: int, shared: int, crowd: int = CROWD) -> DataFrame:
+    """(a, b), a < b: all alike texts that share a bucket and lie in different components (`comp`).
+
+    Buckets of over `crowd` texts in different components are cut into parts, and each two parts are a bucket.
     """
-    rows = sketches.where("size > 0").select(F.struct("t", "size", F.get("fps", F.lit(0)).alias("p"), F.get("fps", F.lit(1)).alias("q")).alias("x"), F.explode(F.array(F.lit(0), F.lit(1))).alias("f"))
-    apart = lambda a, b: F.bit_count(a["p"].bitwiseXOR(b["p"])) + F.bit_count(a["q"].bitwiseXOR(b["q"]))
-    alike = lambda a, b: (F.least(a["size"], b["size"]) >= F.lit(similarity) * F.greatest(a["size"], b["size"])) & (apart(a, b) <= distance)
-    found = []
-    for agree in sorted({shared, shared + 1, (shared + 1 + blocks) // 2, blocks}):
-        fp = F.when(F.col("f") == 0, F.col("x.p")).otherwise(F.col("x.q"))
-        keys = F.array(*[F.xxhash64("f", F.lit(k), fp.bitwiseAND(F.lit(_signed(m)).cast("long"))) for k, m in enumerate(_blocks(blocks - agree, agree))])
-        keyed = rows.select("x", "f", F.explode(keys).alias("key"))
-        large = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > pairwise).select("key"), "large")
-        lists = keyed.join(large, "key", "left_anti").groupBy("key").agg(F.collect_list("x").alias("xs")).where(F.size("xs") > 1)
-        pairs = lists.select("xs", F.explode("xs").alias("a")).select("a", F.explode("xs").alias("b"))
-        found.append(pairs.where((F.col("a.t") < F.col("b.t")) & alike(F.col("a"), F.col("b"))).select(F.col("a.t").alias("a"), F.col("b.t").alias("b")))
-        if large.isEmpty():
-            break
-        crowd = stored(keyed.join(large, "key"), "crowd")
-        least = crowd.groupBy("key").agg(F.min("x").alias("a"))
-        found.append(crowd.join(least, "key").where((F.col("a.t") < F.col("x.t")) & alike(F.col("a"), F.col("x"))).select(F.col("a.t").alias("a"), F.col("x.t").alias("b")))
-        rows = stored(crowd.select("x", "f").distinct(), "again")
-    return reduce(DataFrame.unionByName, found).distinct()
-
-
-def similar_links(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 30, blocks: int = 8, shared: int = 2) -> DataFrame:
+
+    def pairs(x: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        key, comp = x["key"], x["comp"]
+        at, step = np.arange(len(key)), 0
+        while len(at):
+            step += 1
+            at = at[at + step < len(key)]
+            at = at[key[at] == key[at + step]]
+            i = at[comp[at] != comp[at + step]]
+            if len(i):
+                yield _alike(x, i, i + step, similarity, distance)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+        for b in batches:
+            if b.num_rows:
+                x = _joined(held, b)
+                last = np.searchsorted(x["key"], x["key"][-1])
+                yield from pairs({c: v[:last] for c, v in x.items()})
+                held = {c: v[last:] for c, v in x.items()}
+        if held:
+            yield from pairs(held)
+
+    rows = _keyed(sketches, blocks, shared)
+    crowded = stored(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowd), "crowded")
+    if not crowded.isEmpty():
+        among = rows.join(crowded, "key")
+        mixed = stored(among.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"), "mixed")
+        among = among.join(mixed, "key").withColumn("n", F.ceil(F.col("n") / F.lit(crowd / 2)).cast("int")).withColumn("i", F.pmod(F.xxhash64("t"), F.col("n")).cast("int"))
+        among = among.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+        among = among.withColumn("key", F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j"))).select(*rows.columns)
+        rows = rows.join(crowded, "key", "left_anti").select(*rows.columns).unionByName(among)
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+
+
+def similar_links(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 30, blocks: int = 8, shared: int = 2, crowd: int = CROWD) -> DataFrame:
     """(a, b): links between texts (t, text), t distinct, whose sets of `shingle`-word windows have that Jaccard similarity.
 
     Each link is verified on the whole sets of 64-bit window hashes. Candidates differ in at most `distance` of the 128 bits of two
     fingerprints: those within blocks - shared bits in one of them are met, wider ones with the likelihood that their differing
-    bits leave `shared` blocks free; where many texts crowd in a bucket,
-    through its smallest text or by agreeing on more blocks. So links can be missed, but none is wrong. Pairs already connected through each
-    one's smallest neighbour are not verified, so that groups are those of all verified pairs. Texts without words have no link.
+    bits leave `shared` blocks free. So links can be missed, but none is wrong. First each text is compared with the smallest
+    text that it meets as its bucket's smallest; then all candidates in different components of these links, whatever their bucket's
+    size. So groups are those of all verified candidates, and copies give a link each, not all their pairs. Texts without
+    words have no link.
     """
-    pairs = stored(_candidates(stored(_sketches(texts, shingle), "sketches"), similarity, distance, blocks, shared), "candidates")
-    need = pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct()
-    sets = stored(_shingle_sets(texts.join(need, "t", "left_semi").select("t", "text"), shingle), "sets")
+    sketches = stored(_sketches(texts, shingle).select("t", "size", F.get("fps", F.lit(0)).alias("p"), F.get("fps", F.lit(1)).alias("q")), "sketches")
+    how = {"similarity": similarity, "distance": distance, "blocks": blocks, "shared": shared}
 
-    def verified(some: DataFrame, name: str) -> DataFrame:
-        both = some.join(sets.select(F.col("t").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("t").alias("b"), F.col("set").alias("set_b")), "b")
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        need = pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct()
+        sets = stored(_shingle_sets(texts.join(need, "t", "left_semi").select("t", "text"), shingle), "sets")
+        both = pairs.join(sets.select(F.col("t").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("t").alias("b"), F.col("set").alias("set_b")), "b")
         both = both.withColumn("common", F.size(F.array_intersect("set_a", "set_b")))
         union = F.size("set_a") + F.size("set_b") - F.col("common")
         return stored(both.where(F.col("common") >= F.lit(similarity) * union).select("a", "b"), name)
 
-    star = verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "star")
+    star = stored(_stars(sketches, **how).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "stars")
+    star = verified(star, "star")
     comp = connected_components(star, "a", "b")
-    at = lambda c: comp.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
-    rest = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+    placed = sketches.join(comp, F.col("t") == F.col("node"), "left").select(*sketches.columns, F.coalesce("component", "t").alias("comp"))
+    rest = stored(_across(stored(placed, "placed"), crowd=crowd, **how), "rest")
     return star.unionByName(verified(rest, "links")).distinct()
 
 

@@ -100,3 +100,33 @@ def test_near_copies_go_by_jaccard(spark):
         want += [ids[0], ids[2]]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     assert sorted(x["doc_id"] if x["doc_id"] is not None else -1 for x in P.near_dedup(spark, docs, SF).collect()) == want
+
+
+def test_crowded_buckets_lose_no_partner(spark):
+    """Texts of one bucket in pairs that are alike: no pair holds the bucket's smallest text, whatever the size of the parts."""
+    import random
+
+    from reconlake.llm import simhash
+
+    r = random.Random(7)
+    rows = [(k, 10, 0, _spread(r.getrandbits(24))) for k in range(400)]
+    rows += [(1000 + t, n, p, q ^ 1) for t, n, p, q in rows[1:]]
+    sketches = spark.createDataFrame([(*x, x[0]) for x in rows], "t long, size int, p long, q long, comp long")
+    near = lambda x, y: bin(x[3] ^ y[3]).count("1") <= 4
+    want = sorted((x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and near(x, y))
+    for crowd in (32, 8192):
+        got = simhash._across(sketches, 0.8, 4, 8, 2, crowd)
+        assert sorted(map(tuple, got.collect())) == want and len(want) >= 399
+
+
+def _spread(x):
+    """24 bits, each over two places of 48."""
+    return sum(((x >> k) & 1) * (3 << (2 * k)) for k in range(24))
+
+
+def test_copies_give_no_pairs_across(spark):
+    sketches = spark.range(3000).selectExpr("id AS t", "10 AS size", "id % 4 AS p", "id % 8 AS q", "0L AS comp")
+    from reconlake.llm import simhash
+
+    assert simhash._across(sketches, 0.8, 30, 8, 2, 256).count() == 0
+    assert simhash._stars(sketches, 0.8, 30, 8, 2).count() <= 8 * 3000
