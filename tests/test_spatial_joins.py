@@ -100,3 +100,49 @@ def test_first_hits_of_many_copies(spark):
     tri = spark.range(50_000).selectExpr("'s' AS g", *[f"{v}D * (2 + id % 10) AS {c}" for c, v in zip(J.TRIANGLE, (-1, -1, -1, 1, -1, -1, 0, 1, -1))])
     rays = spark.range(50_000).selectExpr("'s' AS g", "id AS ray", "0D AS dx", "0D AS dy")
     assert J.first_hits(rays, tri, ["g"], "ray", 0.5).where("abs(depth - 2) < 1e-12").count() == 50_000
+
+
+def crossing(r, n, m):
+    """n points and m triangles that span the same thin box."""
+    box = lambda *k: r.uniform(0, 1, (*k, 3)) * (5.0, 0.1, 0.8)
+    return box(n), box(m, 3).reshape(m, 9)
+
+
+def test_parts_of_points_meet_few_triangles(monkeypatch):
+    p, tri = crossing(np.random.default_rng(11), 1500, 4000)
+    tri[:20, 3:] = np.tile(tri[:20, :3], 2)  # points and, below, segments
+    tri[20:40, 6:] = tri[20:40, 3:6]
+    for name, value in {"LEAF": 16, "FEW": 64}.items():
+        monkeypatch.setattr(J, name, value)
+    plain, met = J._distances, []
+    want = {limit: plain(p, tri, limit) for limit in (0.25, 1e-4, np.inf)}
+    monkeypatch.setattr(J, "_distances", lambda q, t, limit: met.append(len(q) * len(t)) or plain(q, t, limit))
+    for limit, d in want.items():
+        met.clear()
+        assert (J._least_distances(p, tri, limit) == d).all() and sum(met) < len(p) * len(tri) / 2
+
+
+def test_parts_of_rays_meet_few_triangles(monkeypatch):
+    p, tri = crossing(np.random.default_rng(12), 1500, 4000)
+    tri[:, 2::3] = -tri[:, 2::3] - 1
+    tri[:300, 2::3] = -1.5  # at one depth
+    d = p[:, :2] / 2
+    plain, met = J._depths, []
+    monkeypatch.setattr(J, "_depths", lambda q, t, slack: met.append(len(q) * len(t)) or plain(q, t, slack))
+    assert (J._first_depths(d, tri, 1e-9) == plain(d, tri, 1e-9)).all() and sum(met) < len(d) * len(tri) / 4
+
+
+def test_registration_measures_once(spark, monkeypatch):
+    from reconlake.operators import mesh as G
+
+    seen, plain = spark.sparkContext.accumulator(0), J.point_mesh_distance
+
+    def counted(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    monkeypatch.setattr(J, "point_mesh_distance", lambda *a: plain(*a).mapInPandas(counted, "g string, point long, distance double"))
+    tri = spark.range(1).selectExpr("'s' AS g", *[f"{v}D AS {c}" for c, v in zip(J.TRIANGLE, (0, 0, 0, 1, 0, 0, 0, 1, 0))])
+    pts = spark.range(101).selectExpr("'s' AS g", "id AS point", "0.25D AS x", "0.25D AS y", "id / 100D AS z")
+    assert [tuple(r) for r in G.registration(pts, tri, ["g"], "point", 2.0).collect()] == [("s", 0.5, 0.95, 101)] and seen.value == 101
