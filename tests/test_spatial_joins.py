@@ -112,7 +112,7 @@ def test_parts_of_points_meet_few_triangles(monkeypatch):
     p, tri = crossing(np.random.default_rng(11), 1500, 4000)
     tri[:20, 3:] = np.tile(tri[:20, :3], 2)  # points and, below, segments
     tri[20:40, 6:] = tri[20:40, 3:6]
-    for name, value in {"LEAF": 16, "FEW": 64}.items():
+    for name, value in {"LEAF": 8, "FEW": 64}.items():
         monkeypatch.setattr(J, name, value)
     plain, met = J._distances, []
     want = {limit: plain(p, tri, limit) for limit in (0.25, 1e-4, np.inf)}
