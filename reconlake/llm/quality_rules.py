@@ -11,9 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reconlake.operators.quantiles import quantiles
+from reconlake.plans.lineage import stored
 
 #: Hash buckets of the multinomials; weights are kept in units of 1 / SCALE nats.
 BUCKETS, SCALE = 16384, 10_000
+#: Slots of 32 bits that the trusted ids' hashes are marked in.
+SLOTS = 1 << 17
 #: Labelled documents that the target multinomial is fitted on, at most, those of smallest hash; None: all of them.
 MAX_TRUSTED: int | None = None
 #: A document is rejected if its mean log-likelihood ratio for an n-gram is under that of all but this share of the trusted
@@ -99,17 +102,31 @@ def trusted_ids(labels: DataFrame, most: int | None = MAX_TRUSTED) -> DataFrame:
     return ids.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "trusted"), F.lit(2)).cast("int"))
 
 
-def bucket_counts(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
-    """(bucket, raw, target_0, target_1): occurrences of hashed words and word pairs in all documents and in the trusted ones of each fold.
+def labelled(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(fold, text): the trusted documents, stored once.
 
-    trusted grows with the labels, so Spark chooses how it is joined.
+    trusted grows with the labels, so this join is shuffled. Bits of the trusted ids, SLOTS * 32 at most, are broadcast to leave
+    texts that can't be trusted out of the shuffle; they give false positives only, so the join decides.
     """
-    rows = docs.select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("w"))
-    rows = rows.join(trusted, F.col("id") == F.col("trusted"), "left")
-    rows = rows.select("fold", F.explode(F.arrays_zip(F.col("w").alias("a"), _next(F.col("w")).alias("b"))).alias("g"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = dict(rows.dtypes)["id"]
+    if kind == dict(trusted.dtypes)["trusted"] and kind in ("tinyint", "smallint", "int", "bigint", "string"):
+        h = lambda c: F.xxhash64(F.lit("bits"), c)
+        slot = lambda c: F.pmod(F.shiftright(h(c), 6), F.lit(SLOTS)).cast("int")
+        bit = lambda c: F.pow(F.lit(2.0), F.pmod(h(c), F.lit(32))).cast("long")
+        bits = trusted.groupBy(slot(F.col("trusted")).alias("slot")).agg(F.bit_or(bit(F.col("trusted"))).alias("bits"))
+        rows = rows.where("id is not null").withColumn("slot", slot(F.col("id"))).join(F.broadcast(bits), "slot")
+        rows = rows.where(F.col("bits").bitwiseAND(bit(F.col("id"))) != 0).select("id", "text")
+    return stored(rows.join(trusted.hint("merge"), F.col("id") == F.col("trusted")).select("fold", "text"), "labelled")
+
+
+def bucket_counts(rows: DataFrame, by: tuple[str, ...] = (), text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
+    """(by, bucket, n): occurrences of hashed words and word pairs."""
+    rows = rows.select(*by, words_of(F.col(text_col)).alias("w"))
+    rows = rows.select(*by, F.explode(F.arrays_zip(F.col("w").alias("a"), _next(F.col("w")).alias("b"))).alias("g"))
     pair = F.when(F.col("g.b").isNotNull(), _bucket(F.col("g.a"), F.col("g.b"), buckets=buckets))
-    rows = rows.select("fold", F.explode(F.array(_bucket(F.col("g.a"), buckets=buckets), pair)).alias("bucket")).where("bucket is not null")
-    return rows.groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if(F.col("fold") == 0).alias("target_0"), F.count_if(F.col("fold") == 1).alias("target_1"))
+    rows = rows.select(*by, F.explode(F.array(_bucket(F.col("g.a"), buckets=buckets), pair)).alias("bucket")).where("bucket is not null")
+    return rows.groupBy(*by, "bucket").agg(F.count("*").alias("n"))
 
 
 def weights(counts: DataFrame, buckets: int = BUCKETS, **how) -> list[int]:
@@ -141,15 +158,14 @@ def _n_grams() -> Column:
     return F.greatest(2 * F.size("words").cast("long") - 1, F.lit(0))
 
 
-def held_out_threshold(docs: DataFrame, trusted: DataFrame, raw: list[int], targets: list[list[int]], id_col: str = "doc_id", text_col: str = "text", rejected: float = MAX_REJECTED) -> int | None:
+def held_out_threshold(rows: DataFrame, raw: list[int], targets: list[list[int]], rejected: float = MAX_REJECTED) -> int | None:
     """The mean score, in whole units, that all but this share of the trusted documents reach when scored by the other fold's target.
 
-    None if a fold is empty: then no score tells anything. Every trusted document is scored; one number reaches the driver.
+    rows: the trusted documents as `labelled` gives them. None if a fold is empty: then no score tells anything. Every trusted
+    document is scored; one number reaches the driver.
     """
     if not all(map(sum, targets)):
         return None
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = rows.join(trusted, F.col("id") == F.col("trusted")).select("fold", "text")
     rows = rows.withColumn("words", words_of(F.col("text"))).where(F.size("words") >= MIN_WORDS)
     other = F.when(F.col("fold") == 0, _score(log_ratios(raw, targets[1]))).otherwise(_score(log_ratios(raw, targets[0])))
     low = quantiles(rows.select((other / _n_grams()).alias("mean")), [], "mean", {"t": rejected}).first()
@@ -164,11 +180,13 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     Without trusted documents every score is zero and the base rules alone decide. Columns of docs with those names are
     replaced, columns of any other name stay as they are; labels may repeat ids or hold nulls. Null texts have no words.
     """
-    trusted = trusted_ids(labels, most)
+    rows = labelled(docs, trusted_ids(labels, most), id_col, text_col)
     raw, targets = [0] * buckets, [[0] * buckets, [0] * buckets]
-    for r in bucket_counts(docs, trusted, id_col, text_col, buckets).collect():  # `buckets` rows, no more
-        raw[r["bucket"]], targets[0][r["bucket"]], targets[1][r["bucket"]] = r["raw"], r["target_0"], r["target_1"]
-    least = held_out_threshold(docs, trusted, raw, targets, id_col, text_col, rejected) if threshold is None else round(threshold * SCALE)
+    for r in bucket_counts(docs, text_col=text_col, buckets=buckets).collect():  # `buckets` rows, no more
+        raw[r["bucket"]] = r["n"]
+    for r in bucket_counts(rows, ("fold",), buckets=buckets).collect():  # and twice as many
+        targets[r["fold"]][r["bucket"]] = r["n"]
+    least = held_out_threshold(rows, raw, targets, rejected) if threshold is None else round(threshold * SCALE)
     both = log_ratios(raw, [a + b for a, b in zip(*targets)])
     out = _base(_rows(docs, text_col)).withColumn("score_units", _score(both)).withColumn("n_grams", _n_grams())
     passed = F.lit(True) if least is None else F.col("score_units") >= F.lit(least) * F.col("n_grams")

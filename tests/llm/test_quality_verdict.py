@@ -65,3 +65,20 @@ def test_all_labelled_documents_are_trusted(spark):
     got = quality_rules.trusted_ids(both)
     assert got.count() == 60_000 and got.select("trusted").distinct().count() == 60_000
     assert {r["fold"] for r in got.select("fold").distinct().collect()} == {0, 1}
+
+
+def test_only_trusted_texts_are_shuffled(spark):
+    docs = spark.range(40_000).selectExpr("id AS doc_id", "CASE WHEN id % 7 = 0 THEN NULL ELSE concat('text ', id) END AS text")
+    ids = quality_rules.trusted_ids(spark.range(0, 40_000, 4).selectExpr("id AS doc_id", "1 AS quality"))
+    shuffled = []
+    plain = quality_rules.stored
+    quality_rules.stored = lambda df, name: shuffled.append(df) or plain(df, name)
+    try:
+        got = quality_rules.labelled(docs.unionByName(docs.where("doc_id < 8")), ids)
+    finally:
+        quality_rules.stored = plain
+    assert got.count() == 10_002 and got.where("text is null").count() == 1430  # 0 twice
+    plan = shuffled[0]._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin [slot" in plan
+    text = spark.range(9).selectExpr("CAST(id AS STRING) AS doc_id", "'a' AS text")
+    assert quality_rules.labelled(text, ids).count() == 3
