@@ -9,6 +9,7 @@ from reconlake.functions.expr import fscore, pixel_of, project
 from reconlake.operators.neighbours import nn_join, within
 from reconlake.operators.quantiles import quantiles, with_quantiles
 from reconlake.operators.spatial import patch_join
+from reconlake.plans.lineage import stored
 
 THRESHOLDS = (0.002, 0.005, 0.010)
 
@@ -138,7 +139,7 @@ def free_violations(flags: DataFrame, by: list[str]) -> DataFrame:
 def compare_clouds(a: DataFrame, b: DataFrame, by: list[str], point: str = "point_id") -> DataFrame:
     """Mean, 95 % quantile and maximum of nearest distances both ways, and whether the clouds are equal point by point."""
     f, g = distances(a, b, by, point)
-    both = f.unionByName(g)
+    both = stored(f.unionByName(g), "distances")  # read by the mean and by the quantiles
     d = with_quantiles(both.groupBy(*by).agg(F.avg("distance").alias("mean"), F.max("distance").alias("max")), both, by, "distance", {"p95": 0.95}).select(*by, "mean", "p95", "max")
     x = a.select(*by, point, *[F.col(c).alias(f"_a{c}") for c in "xyz"], F.lit(1).alias("_l"))
     y = b.select(*by, point, *[F.col(c).alias(f"_b{c}") for c in "xyz"], F.lit(1).alias("_r"))

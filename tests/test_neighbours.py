@@ -72,3 +72,28 @@ def test_cells_stay_small(spark):
     placed, depth = _placed(sites, ["g"], ("x", "y", "z"), CELL)
     sizes = [r["count"] for r in placed.groupBy("g", "node").count().collect()]
     assert sum(sizes) == 100_000 and max(sizes) <= 2 * CELL and depth <= 6
+
+
+def test_near_duplicates_seek_neighbours_once(spark, monkeypatch):
+    from reconlake.operators import mesh as G
+
+    seen, plain = [], G.nn_join
+
+    def counted(a, b, by, key, other, *rest):
+        count = spark.sparkContext.accumulator(0)
+        seen.append(count)
+
+        def run(batches):
+            for x in batches:
+                count.add(x.num_rows)
+                yield x
+
+        got = plain(a, b, by, key, other, *rest)
+        return got.mapInArrow(run, got.schema)
+
+    monkeypatch.setattr(G, "nn_join", counted)
+    pts = spark.range(80).selectExpr("id % 2 AS cloud", "id DIV 2 AS point_id", "id DIV 2 / 8D AS x", "id DIV 2 % 3 / 1D AS y", "id DIV 2 % 5 / 1D AS z")
+    box = spark.createDataFrame([(0, 1.0, 1.0, 1.0), (1, 1.0, 1.0, 1.0)], "cloud long, w double, h double, d double")
+    got = G.near_duplicates(box, pts, "cloud", ["w", "h", "d"], 0.5, 100.0, 100.0, 4, 2.0, True).collect()
+    assert [tuple(r) for r in got] == [(0, 1, 0, 0.0, 0.0)]
+    assert [c.value for c in seen] == [8 * 10, 8 * 40, 8 * 40]
