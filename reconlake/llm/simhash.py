@@ -18,6 +18,8 @@ from reconlake.plans.lineage import stored
 
 #: Texts of one bucket that are compared in one task, at most; larger buckets are cut into parts, each compared with each other.
 CROWD = 8192
+#: Texts, and windows of words in them, whose sets meet in one task at most (a larger pair of texts meets alone).
+MEMBERS, LOAD = 4096, 1 << 21
 #: Fingerprints of one bucket up to this many are compared pair by pair; larger buckets take the exact way of _links_by_flips.
 PAIRWISE = 48
 
@@ -213,14 +215,15 @@ def _sketches(texts: DataFrame, shingle: int) -> DataFrame:
 
 
 def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """(t, set): distinct hashes of the windows of `shingle` words."""
+    """(family, parts, t, set): distinct hashes of the windows of `shingle` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [np.unique(_windows(_word_hashes(x.as_py()), shingle)).view(np.int64) for x in b.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["t", "set"])
+            sets = [np.unique(_windows(_word_hashes(x.as_py()), shingle)).view(np.int64) for x in b.column("text").cast(pa.binary())]
+            kept = ["family", "parts", "t"]
+            yield pa.RecordBatch.from_arrays([*map(b.column, kept), pa.array(sets, pa.list_(pa.int64()))], names=[*kept, "set"])
 
-    return texts.mapInArrow(run, "t long, set array<long>")
+    return texts.select("family", "parts", "t", "text").mapInArrow(run, "family long, parts int, t long, set array<long>")
 
 
 def _keyed(sketches: DataFrame, blocks: int, shared: int) -> DataFrame:
@@ -230,12 +233,17 @@ def _keyed(sketches: DataFrame, blocks: int, shared: int) -> DataFrame:
     return sketches.where("size > 0").select(F.explode(F.array(*keys)).alias("key"), *sketches.columns)
 
 
-def _alike(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, similarity: float, distance: int) -> pa.RecordBatch:
-    """(a, b), a < b: those pairs of rows i and j whose sizes allow the similarity and whose fingerprints are near."""
+def _near(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, similarity: float, distance: int) -> np.ndarray:
+    """Which pairs of rows i and j are of different texts, with sizes that allow the similarity and near fingerprints."""
     size, t = x["size"], x["t"]
     apart = sum(np.bitwise_count((x[c][i] ^ x[c][j]).view(np.uint64)).astype(int) for c in "pq")
-    near = (apart <= distance) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j])) & (t[i] != t[j])
-    a, b = t[i[near]], t[j[near]]
+    return (apart <= distance) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j])) & (t[i] != t[j])
+
+
+def _alike(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, similarity: float, distance: int) -> pa.RecordBatch:
+    """(a, b), a < b: those pairs of rows i and j that are near."""
+    near = _near(x, i, j, similarity, distance)
+    a, b = x["t"][i[near]], x["t"][j[near]]
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
@@ -261,20 +269,38 @@ def _stars(sketches: DataFrame, similarity: float, distance: int, blocks: int, s
     return rows.repartition("key").sortWithinPartitions("key", "t").mapInArrow(run, "a long, b long").distinct()
 
 
-def _across(sketches: DataFrame, similarity: float, distance: int, blocks: int, shared: int, crowd: int = CROWD) -> DataFrame:
+def _merged(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least label of each label's component, root, once labels a and b are linked."""
+    while (root[a] != root[b]).any():
+        np.minimum.at(root, np.maximum(root[a], root[b]), np.minimum(root[a], root[b]))
+        while (root[root] != root).any():
+            root = root[root]
+    return root
+
+
+def _across(sketches: DataFrame, similarity: float, distance: int, blocks: int, shared: int, crowd: int = CROWD, joining: bool = False) -> DataFrame:
     """(a, b), a < b: all alike texts that share a bucket and lie in different components (`comp`).
 
     Buckets of over `crowd` texts in different components are cut into parts, and each two parts are a bucket.
+    joining: instead of all of them, links that join the same components, without those between what a task has joined already.
     """
 
     def pairs(x: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key, comp = x["key"], x["comp"]
+        key = x["key"]
+        label = np.unique(x["comp"], return_inverse=True)[1]
+        root = np.arange(len(label))
         at, step = np.arange(len(key)), 0
         while len(at):
             step += 1
             at = at[at + step < len(key)]
             at = at[key[at] == key[at + step]]
-            i = at[comp[at] != comp[at + step]]
+            u, v = root[label[at]], root[label[at + step]]
+            i = at[u != v]
+            if len(i) and joining:
+                i = i[_near(x, i, i + step, similarity, distance)]
+                u, v = root[label[i]], root[label[i + step]]
+                i = i[np.unique(np.minimum(u, v) * len(root) + np.maximum(u, v), return_index=True)[1]]
+                root = _merged(root, label[i], label[i + step])
             if len(i):
                 yield _alike(x, i, i + step, similarity, distance)
 
@@ -301,33 +327,103 @@ def _across(sketches: DataFrame, similarity: float, distance: int, blocks: int,
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
 
 
-def similar_links(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 30, blocks: int = 8, shared: int = 2, crowd: int = CROWD) -> DataFrame:
-    """(a, b): links between texts (t, text), t distinct, whose sets of `shingle`-word windows have that Jaccard similarity.
+def _links_within(size: np.ndarray, values: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """(i, j): links that connect sets of that Jaccard similarity, of all pairs of sets; `values` are the sets' elements one after another.
 
-    Each link is verified on the whole sets of 64-bit window hashes. Candidates differ in at most `distance` of the 128 bits of two
-    fingerprints: those within blocks - shared bits in one of them are met, wider ones with the likelihood that their differing
-    bits leave `shared` blocks free. So links can be missed, but none is wrong. First each text is compared with the smallest
-    text that it meets as its bucket's smallest; then all candidates in different components of these links, whatever their bucket's
-    size. So groups are those of all verified candidates, and copies give a link each, not all their pairs. Texts without
-    words have no link.
+    Sets are told by their differences to the elements that most of them hold, since two sets differ as much as their
+    differences do; elements of one difference only are counted with its size.
     """
-    sketches = stored(_sketches(texts, shingle).select("t", "size", F.get("fps", F.lit(0)).alias("p"), F.get("fps", F.lit(1)).alias("q")), "sketches")
-    how = {"similarity": similarity, "distance": distance, "blocks": blocks, "shared": shared}
+    m = len(size)
+    _, col, held = np.unique(values, return_inverse=True, return_counts=True)
+    owner, major = np.repeat(np.arange(m), size), held > m / 2
+    common = major[col]
+    has = np.zeros((m, int(major.sum())), bool)
+    has[owner[common], (np.cumsum(major) - 1)[col[common]]] = True
+    lacks, lacked = np.nonzero(~has)
+    owner, col = np.concatenate((owner[~common], lacks)), np.concatenate((col[~common], np.flatnonzero(major)[lacked]))
+    differs = np.bincount(owner, minlength=m)
+    shared = np.bincount(col, minlength=len(held))[col] > 1
+    owner, col = owner[shared], col[shared]
+    by_col = np.lexsort((owner, col))
+    holders, sorted_col = owner[by_col], col[by_col]
+    by_owner = np.lexsort((col, owner))
+    low = np.searchsorted(sorted_col, col[by_owner])
+    bound = np.searchsorted(owner[by_owner], np.arange(m + 1))
+    count = np.bincount(col, minlength=len(held))[col[by_owner]]
+    label, out = np.arange(m), []
+    for i in range(1, m):
+        first, n = low[bound[i] : bound[i + 1]], count[bound[i] : bound[i + 1]]
+        places = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        both = np.bincount(holders[places], minlength=m)[:i]
+        sum_ = size[i] + size[:i]
+        common = (sum_ - (differs[i] + differs[:i] - 2 * both)) // 2
+        hit = np.flatnonzero(common >= similarity * (sum_ - common))
+        if len(hit):
+            labels, at = np.unique(label[hit], return_index=True)
+            out += [(int(j), i) for j in hit[at]]
+            label[:i][np.isin(label[:i], labels)] = labels[0]
+            label[i] = labels[0]
+    return out
+
+
+def _verified(texts: DataFrame, families: DataFrame, shingle: int, similarity: float, members: int = MEMBERS, load: int = LOAD) -> DataFrame:
+    """(a, b), a < b: links that connect the texts of each family (t, size, family) with that Jaccard similarity, on whole sets.
+
+    All pairs of a family are judged in the tasks that hold their sets. Families of over `members` texts or `load` windows are cut
+    into parts, and each two parts meet in a task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, t, sets = None, [], []
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        need = pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct()
-        sets = stored(_shingle_sets(texts.join(need, "t", "left_semi").select("t", "text"), shingle), "sets")
-        both = pairs.join(sets.select(F.col("t").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("t").alias("b"), F.col("set").alias("set_b")), "b")
-        both = both.withColumn("common", F.size(F.array_intersect("set_a", "set_b")))
-        union = F.size("set_a") + F.size("set_b") - F.col("common")
-        return stored(both.where(F.col("common") >= F.lit(similarity) * union).select("a", "b"), name)
+        def links() -> Iterator[pa.RecordBatch]:
+            found = _links_within(np.array([len(x) for x in sets]), np.concatenate(sets), similarity) if len(t) > 1 else []
+            if found:
+                a, b = np.array(t)[np.array(found).T]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
+        for b in batches:
+            held = b.column("set")
+            values, ends = held.values.to_numpy(), held.offsets.to_numpy()
+            for k, (key, text) in enumerate(zip(b.column("block").to_pylist(), b.column("t").to_pylist())):
+                if key != block:
+                    yield from links()
+                    block, t, sets = key, [], []
+                t.append(text)
+                sets.append(values[ends[k] : ends[k + 1]].copy())
+        yield from links()
+
+    total = families.groupBy("family").agg(F.count("*").alias("n"), F.sum("size").alias("windows")).where("n > 1")
+    needed = F.greatest(F.col("n") / F.lit(members), F.col("windows") / F.lit(load))
+    total = total.select("family", F.when(needed <= 1, 1).otherwise(F.ceil(2 * needed)).cast("int").alias("parts"))
+    placed = families.join(total, "family").select("family", "parts", "t")
+    sets = _shingle_sets(texts.join(placed, "t"), shingle).withColumn("i", F.pmod(F.xxhash64("t"), F.col("parts")).cast("int"))
+    sets = sets.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("parts = 1 or i <> j")
+    rows = sets.select(F.xxhash64("family", F.least("i", "j"), F.greatest("i", "j")).alias("block"), "t", "set")
+    return rows.repartition("block").sortWithinPartitions("block", "t").mapInArrow(run, "a long, b long")
+
+
+def similar_links(
+    texts: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 30, blocks: int = 8, shared: int = 2, crowd: int = CROWD, members: int = MEMBERS, load: int = LOAD
+) -> DataFrame:
+    """(a, b): links that connect texts (t, text), t distinct, whose sets of `shingle`-word windows have that Jaccard similarity.
+
+    Candidates differ in at most `distance` of the 128 bits of two fingerprints: those within blocks - shared bits in one of
+    them are met, wider ones with the likelihood that their differing bits leave `shared` blocks free. So links can be missed, but
+    none is wrong. Candidates are joined to families, by links to the smallest texts of their buckets first, then by those between
+    what these leave apart. Then all pairs of a family are judged on whole sets of 64-bit window hashes, in tasks that hold the
+    sets; what leaves a task are links that connect, less than its texts, not all pairs. So groups are at least those of all
+    candidates. Texts without words have no link.
+    """
+    sketches = stored(_sketches(texts, shingle).select("t", "size", F.get("fps", F.lit(0)).alias("p"), F.get("fps", F.lit(1)).alias("q")), "sketches")
+    how = {"similarity": similarity, "distance": distance, "blocks": blocks, "shared": shared}
     star = stored(_stars(sketches, **how).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "stars")
-    star = verified(star, "star")
     comp = connected_components(star, "a", "b")
     placed = sketches.join(comp, F.col("t") == F.col("node"), "left").select(*sketches.columns, F.coalesce("component", "t").alias("comp"))
-    rest = stored(_across(stored(placed, "placed"), crowd=crowd, **how), "rest")
-    return star.unionByName(verified(rest, "links")).distinct()
+    rest = stored(_across(stored(placed, "placed"), crowd=crowd, joining=True, **how), "rest")
+    family = connected_components(star.unionByName(rest), "a", "b").select(F.col("node").alias("t"), F.col("component").alias("family"))
+    families = stored(sketches.select("t", "size").join(family, "t"), "families")
+    return stored(_verified(texts, families, shingle, similarity, members, load), "links").distinct()
 
 
 def one_of_each(docs: DataFrame, columns: list[str], id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

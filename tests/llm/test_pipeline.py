@@ -130,3 +130,68 @@ def test_copies_give_no_pairs_across(spark):
 
     assert simhash._across(sketches, 0.8, 30, 8, 2, 256).count() == 0
     assert simhash._stars(sketches, 0.8, 30, 8, 2).count() <= 8 * 3000
+
+
+def near_misses(r, n=150):
+    """Texts of one template that are near by fingerprint but not alike to one another, and after each third one a text that is alike to it."""
+    fresh = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    template = [fresh() for _ in range(200)]
+    out = []
+    for k in range(n):
+        words = list(template)
+        for at in r.sample(range(200), 4):
+            words[at] = fresh()
+        out.append(" ".join(words))
+        if k % 3 == 0:
+            out.append(" ".join([*words[:-1], fresh()]))
+    return out
+
+
+def test_near_misses_give_no_pairs(spark, monkeypatch):
+    """A group of texts that only look alike: groups equal brute force, and no table between the steps holds all pairs."""
+    from reconlake.llm import simhash
+
+    rows, made = near_misses(random.Random(9)), {}
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+
+    def counted(df, name="stage"):
+        out = stored(df, name)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "stored", counted)
+    got = {x["doc_id"] for x in P.near_dedup(spark, docs, SF).collect()}
+    assert got == brute_groups(dict(enumerate(rows))) and len(got) == 150
+    assert max(made.values()) <= 4 * len(rows), made
+
+
+def test_families_in_parts_equal_brute_force(spark):
+    from reconlake.llm import simhash
+
+    r = random.Random(10)
+    texts = {k: t for k, t in enumerate(near_misses(r, 40))}
+    texts |= {100 + k: t for k, t in enumerate(near_misses(r, 20))}
+    docs = spark.createDataFrame(list(texts.items()), "t long, text string").repartition(3)
+    families = spark.createDataFrame([(t, len(x.split()) - 4, t // 100) for t, x in texts.items()], "t long, size int, family long")
+    for members, load in ((4096, 1 << 21), (7, 1 << 21), (4096, 900), (1, 1)):
+        links = [tuple(x) for x in simhash._verified(docs, families, 5, 0.8, members, load).collect()]
+        least = {t: t for t in texts}
+        for _ in texts:
+            for a, b in links:
+                least[a] = least[b] = min(least[a], least[b])
+        assert set(least.values()) == brute_groups(texts) and all(a < b for a, b in links)
+        assert members < 4096 or load < 1 << 21 or len(links) < len(texts)
+
+
+def test_joining_links_connect_what_all_pairs_do(spark):
+    from reconlake.llm import simhash
+    from reconlake.operators.graph import connected_components
+
+    r = random.Random(11)
+    rows = [(k, 10, 0, _spread(r.getrandbits(9)), k) for k in range(300)]
+    sketches = spark.createDataFrame(rows, "t long, size int, p long, q long, comp long")
+    for crowd in (32, 8192):
+        every = simhash._across(sketches, 0.8, 2, 8, 2, crowd)
+        few = simhash._across(sketches, 0.8, 2, 8, 2, crowd, joining=True)
+        assert few.subtract(every).isEmpty() and few.count() < every.count()
+        assert sorted(connected_components(few, "a", "b").collect()) == sorted(connected_components(every, "a", "b").collect())
