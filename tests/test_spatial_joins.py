@@ -146,3 +146,48 @@ def test_registration_measures_once(spark, monkeypatch):
     tri = spark.range(1).selectExpr("'s' AS g", *[f"{v}D AS {c}" for c, v in zip(J.TRIANGLE, (0, 0, 0, 1, 0, 0, 0, 1, 0))])
     pts = spark.range(101).selectExpr("'s' AS g", "id AS point", "0.25D AS x", "0.25D AS y", "id / 100D AS z")
     assert [tuple(r) for r in G.registration(pts, tri, ["g"], "point", 2.0).collect()] == [("s", 0.5, 0.95, 101)] and seen.value == 101
+
+
+def small_blocks(monkeypatch):
+    for name, value in {"BLOCK": 128, "SHAPES": 1024, "FIRST": 256, "ROUND": 64, "DEALT": 4}.items():
+        monkeypatch.setattr(J, name, value, raising=False)
+
+
+def test_blocks_of_triangles_are_not_shuffled_for_each_block_of_points(spark, monkeypatch):
+    """32 blocks of points and 20 of triangles: what is shuffled grows with the triangles, not with pairs of blocks."""
+    small_blocks(monkeypatch)
+    store = spark.sparkContext._jsc.sc().statusStore()
+    doubles = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    written = lambda: (lambda stages: sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size())))(store.stageList(None, False, False, doubles, None))
+    tri = spark.range(20_000).selectExpr("'s' AS g", *[f"rand({k}) AS {c}" for k, c in enumerate(J.TRIANGLE)])
+    pts = spark.range(4096).selectExpr("'s' AS g", "id AS point", "rand(21) AS x", "rand(22) AS y", "rand(23) + 0.001 AS z")
+    before = written()
+    assert J.point_mesh_distance(pts, tri, ["g"], "point", 0.25).where("distance < 0.25").count() == 4096
+    assert 0 < written() - before < 10 * 20_000 * 72
+
+
+def test_distances_of_groups_of_all_sizes(spark, monkeypatch):
+    """Groups of 3000, 700, 12 and no triangles, in rounds over blocks, equal brute force; so do hits."""
+    small_blocks(monkeypatch)
+    r = np.random.default_rng(13)
+    sizes, tri, pts, rays, want, hits = {"a": 3000, "b": 700, "c": 12, "d": 0}, [], [], [], {}, {}
+    for g, n in sizes.items():
+        p, t = crossing(r, 300, n)
+        p += (0.3, 0.05, 0)
+        f = t.copy()
+        f[:, 2::3] = -f[:, 2::3] - 1
+        tri += [(g, *map(float, x)) for x in f]
+        p[:, 2] = -p[:, 2] - 1
+        d = p[:, :2] / 2
+        pts += [(g, k, *map(float, x)) for k, x in enumerate(p)]
+        rays += [(g, k, *map(float, x)) for k, x in enumerate(d)]
+        want |= {(g, k): v for k, v in enumerate(J._distances(p, f, 0.1) if n else [np.inf] * 300)}
+        hits |= {(g, k): v for k, v in enumerate(J._depths(d, f, 1e-9) if n else [np.inf] * 300)}
+    tri = spark.createDataFrame(tri, TRI)
+    got = J.point_mesh_distance(spark.createDataFrame(pts, "g string, point long, x double, y double, z double"), tri, ["g"], "point", 0.1)
+    got = {(x["g"], x["point"]): np.inf if x["distance"] is None else x["distance"] for x in got.collect()}
+    assert got.keys() == want.keys() and all(got[k] == v or abs(got[k] - v) < 1e-11 for k, v in want.items())
+    assert 100 < sum(v < np.inf for v in want.values()) < 1000
+    got = J.first_hits(spark.createDataFrame(rays, "g string, ray long, dx double, dy double"), tri, ["g"], "ray", 1.0)
+    got = {(x["g"], x["ray"]): np.inf if x["depth"] is None else x["depth"] for x in got.collect()}
+    assert got == hits and sum(v < np.inf for v in hits.values()) > 300
