@@ -166,6 +166,22 @@ def test_blocks_of_triangles_are_not_shuffled_for_each_block_of_points(spark, mo
     assert 0 < written() - before < 10 * 20_000 * 72
 
 
+def test_rows_at_zero_meet_no_more_triangles(spark, monkeypatch):
+    """Nine in ten points lie on a large triangle of which there are many shifted ones; only the others meet all triangles."""
+    small_blocks(monkeypatch)
+    met = spark.sparkContext.accumulator(0)
+
+    def least(p, t, so_far):
+        met.add(len(p) * len(t))
+        return J._least_distances(p, t, 9.0, so_far)
+
+    tri = spark.range(20_000).selectExpr("'s' AS g", "-id / 1e6D AS ax", *[f"{v}D AS {c}" for c, v in zip(J.TRIANGLE[1:], (0, 0, 4, 0, 0, 0, 4, 0))])
+    pts = spark.range(2000).selectExpr("'s' AS g", "1 + id / 4000D AS _x", "1D AS _y", "CASE WHEN id % 10 = 0 THEN 1 + id / 1e4D ELSE 0D END AS _z")
+    got = J._least_of_blocks(pts, tri, ["g"], ["_x", "_y", "_z"], "distance", least)
+    assert got.count() == 2000 and got.where("abs(distance - _z) < 1e-12").count() == 2000
+    assert met.value < 2000 * 20_000 / 4
+
+
 def test_distances_of_groups_of_all_sizes(spark, monkeypatch):
     """Groups of 3000, 700, 12 and no triangles, in rounds over blocks, equal brute force; so do hits."""
     small_blocks(monkeypatch)
@@ -191,3 +207,18 @@ def test_distances_of_groups_of_all_sizes(spark, monkeypatch):
     got = J.first_hits(spark.createDataFrame(rays, "g string, ray long, dx double, dy double"), tri, ["g"], "ray", 1.0)
     got = {(x["g"], x["ray"]): np.inf if x["depth"] is None else x["depth"] for x in got.collect()}
     assert got == hits and sum(v < np.inf for v in hits.values()) > 300
+
+
+def test_points_as_far_as_their_limit_count_and_ties_are_not_measured_again(monkeypatch):
+    """All triangles have a corner at x = 1, by which the points lie at a distance of exactly 0.25."""
+    r = np.random.default_rng(14)
+    p = np.column_stack([np.full(2000, 1.25), r.uniform(0.2, 0.8, (2000, 2))])
+    tri = r.uniform(0, 1, (6000, 9))
+    tri[:, 0] = 1
+    tri[0] = 1, -9, -9, 1, 9, -9, 1, 0, 9
+    plain, measured = J._heights, []
+    monkeypatch.setattr(J, "_heights", lambda q, t, n: measured.append(len(t)) or plain(q, t, n))
+    assert (J._least_distances(p, tri, 0.25) == 0.25).all() and (J._distances(p[:50], tri, 0.25) == 0.25).all()
+    assert np.isinf(J._least_distances(p, tri, 0.2499999)).all()
+    measured.clear()
+    assert np.isinf(J._least_distances(p, tri, 1.0, 0.25)).all() and sum(measured) < 1000
